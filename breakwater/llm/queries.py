@@ -6,15 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import packing, sequences, simhash
 from .common import table
 
 
+def op7_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.encode_and_read_back(table(spark, sf_dir, "documents"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_arrow_sequences": op7_arrow_sequences,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op10_simhash_groups": op10_simhash_groups,
 }
 
