@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sequences, simhash
+from . import language_model, packing, sequences, simhash
 from .common import table
 
 
+def op3_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def op7_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.encode_and_read_back(table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,7 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_pitman_yor_scores": op3_pitman_yor_scores,
     "op7_arrow_sequences": op7_arrow_sequences,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_simhash_groups": op10_simhash_groups,
