@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_model, packing, sequences, simhash
+from . import language_model, packing, quality, sequences, simhash
 from .common import table
 
 
+def op1_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,7 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_discriminant": op1_quality_discriminant,
     "op3_pitman_yor_scores": op3_pitman_yor_scores,
     "op7_arrow_sequences": op7_arrow_sequences,
     "op8_best_fit_packing": op8_best_fit_packing,
