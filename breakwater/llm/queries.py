@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_model, packing, quality, sequences, simhash
+from . import language_model, neighbours, packing, quality, sequences, simhash
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op3_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,7 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_discriminant": op1_quality_discriminant,
+    "op2_nearest_vectors": op2_nearest_vectors,
     "op3_pitman_yor_scores": op3_pitman_yor_scores,
     "op7_arrow_sequences": op7_arrow_sequences,
     "op8_best_fit_packing": op8_best_fit_packing,
