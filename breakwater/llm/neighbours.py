@@ -44,6 +44,14 @@ def _quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return codes, scale, np.linalg.norm(meant, axis=1), np.linalg.norm(x - meant, axis=1)
 
 
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products row by row, summed in the order of the components."""
+    out = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        out += a[:, j] * b[:, j]
+    return out
+
+
 def _cell(k: int):
     def of(left: pa.Table, right: pa.Table) -> pa.Table:
         keys, query_ids, ids = left["query_key"].to_numpy(), left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
@@ -64,7 +72,7 @@ def _cell(k: int):
                 low[own] = -np.inf
                 floor = np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(low), -np.inf)
                 r, c = np.nonzero((near + miss >= floor[:, None]) & ~own)
-                score = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", q[at + r[i : i + 65536]], x[c[i : i + 65536]]) for i in range(0, len(r), 65536))])
+                score = np.concatenate([np.zeros(0), *(_products(q[at + r[i : i + 65536]], x[c[i : i + 65536]]) for i in range(0, len(r), 65536))])
                 order = np.lexsort((ids[c], -score, r))
                 r, c, score = r[order], c[order], score[order]
                 nth = np.arange(len(r)) - np.searchsorted(r, r)
@@ -113,3 +121,18 @@ def nearest(vectors: DataFrame, modulus: int = 20, k: int = 20, id_col: str = "v
     right = rows.withColumn("down", block(down, 2)).withColumn("across", every(across))
     met = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(_cell(k), FOUND)
     return met.repartition("query_key").sortWithinPartitions("query_key").mapInArrow(_merge(k), "query_id long, rank int, vec_id long, score double")
+
+
+ORACLE = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+)
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM pairs)
+WHERE rank <= 20
+"""

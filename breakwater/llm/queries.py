@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import language_model, neighbours, packing, quality, sequences, simhash
+from . import audio, html_cut, language_model, licences, mixing, neighbours, packing, quality, sequences, simhash
 from .common import table
 
 
@@ -22,6 +23,20 @@ def op3_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(table(spark, sf_dir, "documents"))
 
 
+def op4_poisson_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op5_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes of each whole text are the samples of a recording: no table has a media column."""
+    recordings = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("audio"))
+    return audio.align(audio.fingerprint(recordings, "doc_id", "audio", "u8"))
+
+
 def op7_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.encode_and_read_back(table(spark, sf_dir, "documents"))
 
@@ -30,6 +45,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_main_text_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_cut.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,9 +57,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_discriminant": op1_quality_discriminant,
     "op2_nearest_vectors": op2_nearest_vectors,
     "op3_pitman_yor_scores": op3_pitman_yor_scores,
+    "op4_poisson_mixture": op4_poisson_mixture,
+    "op5_licence_rules": op5_licence_rules,
+    "op6_chroma_alignment": op6_chroma_alignment,
     "op7_arrow_sequences": op7_arrow_sequences,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_main_text_cut": op9_main_text_cut,
     "op10_simhash_groups": op10_simhash_groups,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_nearest_vectors": neighbours.ORACLE,
+    "op4_poisson_mixture": mixing.ORACLE,
+    "op5_licence_rules": licences.oracle(),
+}
