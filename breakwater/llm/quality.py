@@ -165,15 +165,20 @@ def discriminant(moments: np.ndarray, to_pooled: float, to_identity: float, temp
     return Discriminant(prior, means, np.stack(out), scale, temper)
 
 
-def classify(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_class: int = 0, threshold: float = 0.3, to_pooled: float = 0.8, to_identity: float = 0.01, temper: float = 4.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted of every row of docs."""
-    stats = stored(vectors(docs, id_col, text_col, modulus, held_class), "quality-statistics")
+def fit(stats: DataFrame, labels: DataFrame, to_pooled: float = 0.8, to_identity: float = 0.01, temper: float = 4.0) -> Discriminant:
+    """The discriminant of the labelled rows of vectors() that are not held out."""
     marks = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = stats.where(~F.col("held_out")).join(marks, "doc_id").select("stats", "quality")
     summed = known.mapInArrow(_moments, "quality int, place int, value double").groupBy("quality", "place").agg(F.sum("value").alias("value")).toPandas()
     moments = np.zeros((2, 1 + D + D * D))
     moments[summed["quality"], summed["place"]] = summed["value"]
-    model = discriminant(moments, to_pooled, to_identity, temper)
+    return discriminant(moments, to_pooled, to_identity, temper)
+
+
+def classify(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_class: int = 0, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, score, predicted of every row of docs."""
+    stats = stored(vectors(docs, id_col, text_col, modulus, held_class), "quality-statistics")
+    model = fit(stats, labels)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -181,3 +186,16 @@ def classify(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_class: i
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return stats.mapInArrow(of, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_class: int = 0, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that score at least the threshold. Their texts are read twice, to learn and to score, and never shuffled."""
+    model = fit(stored(vectors(docs, id_col, text_col, modulus, held_class), "quality-statistics"), labels)
+    place = docs.columns.index(text_col)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            stats = np.array([statistics(t.as_py()) for t in b.column(place)], np.float64).reshape(-1, D)
+            yield b.filter(pa.array(model.score(stats) >= threshold))
+
+    return docs.mapInArrow(of, docs.schema)
