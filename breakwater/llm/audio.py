@@ -31,7 +31,7 @@ from .common import key_runs, stored
 
 FRAME, HOP, RATE = 256, 64, 8000
 SPAN = 16  # frames a packed integer sees
-QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 8192
+QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 32_768
 LOW, HIGH = 200.0, 3520.0
 STEP = 0.06  # quantiser: below -STEP, below 0, below STEP, above
 GRAY = np.array([0, 1, 3, 2], np.uint32)
