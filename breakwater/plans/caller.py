@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import depth
 from ..params import Params
+from ..sources.tables import stored
 from . import calls, complexes, evidence, genotyping, scoring
 
 
@@ -25,16 +26,16 @@ def coverage(reads: DataFrame, contigs: DataFrame, default: float, min_mapq: int
 
 
 def call_variants(alignments: DataFrame, contigs: DataFrame, repeats: DataFrame, chunks: DataFrame | None = None, p: Params | None = None) -> DataFrame:
-    """Calls with genotype, quality and filter. alignments, contigs, repeats and chunks: the tables of schema."""
+    """Calls with genotype, quality and filter. alignments, contigs, repeats and chunks: the tables of schema. Each step is a table in the shared folder."""
     p = p or Params()
     reads = evidence.usable(alignments)
     p = replace(p, coverage=coverage(reads, contigs, p.coverage))
-    simple = evidence.everything(alignments, contigs, p)
+    simple = stored(evidence.everything(alignments, contigs, p), "evidence")
     windows = complexes.single_read_windows(simple.where("NOT startswith(read_name, 'depth_')"))
-    found = calls.summed(calls.clusters(simple.unionByName(windows), p), p)
+    found = stored(calls.summed(calls.clusters(simple.unionByName(windows), p), p), "calls")
     events = complexes.shared_read_events(found.where("NOT is_complex"), p)
     events = events.withColumns({"sv_type": F.lit("CPX"), "cluster": F.lit(0), "af": F.col("support") / max(1.0, p.coverage), "is_complex": F.lit(True), "std_pos": F.lit(0.0), "std_len": F.lit(0.0), "precise": F.lit(False), "source": F.lit("split_read"), "split_support": F.lit(0), "spanning_support": F.lit(0), "depth_support": F.lit(0)})
     every = found.unionByName(events, allowMissingColumns=True).withColumn("call_id", F.xxhash64("sv_type", "chrom", "start", "stop", "size", "cluster"))
-    noted = calls.with_repeats(every, repeats, chunks)
+    noted = stored(calls.with_repeats(every, repeats, chunks), "annotated")
     typed = genotyping.strands(genotyping.genotype(noted, reads, contigs, p), reads)
     return scoring.with_filters(scoring.with_quality(typed, p), p)
