@@ -21,7 +21,7 @@ class Encoder:
     are ordinary text.
     """
 
-    def __init__(self, path: str, kept: int = 600_000) -> None:
+    def __init__(self, path: str, kept: int = 200_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is its share; set before the library starts threads
         import regex
         from public_tokenizers import PATTERN
