@@ -65,3 +65,14 @@ def near_codewords(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     words = words.astype(np.int64)
     patterns = _tables()[2][_syndrome(words)]
     return (words[:, None] ^ np.where(patterns < 0, 0, patterns)) >> CHECK, patterns >= 0
+
+
+@lru_cache(maxsize=1)
+def _codewords() -> np.ndarray:
+    words = np.arange(1 << (LENGTH - CHECK)) << CHECK
+    return words | _syndrome(words)
+
+
+def codeword(index: np.ndarray) -> np.ndarray:
+    """The 23-bit codewords of 12-bit indices."""
+    return _codewords()[index]

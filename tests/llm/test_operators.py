@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from breakwater.llm import audio, golay, html_cut, language_model, licences, mixing, neighbours, packing, quality, sequences, simhash
+from breakwater.llm import audio, golay, html_cut, language_model, licences, mixing, neighbours, packing, quality, sequences, similar_text, simhash
 
 SF = "/root/testdata/sf0.001"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
@@ -268,23 +268,64 @@ def test_simhash_against_all_pairs(spark, docs, none):
     assert kept.columns == docs.columns and kept.count() == len(set(group))
 
 
-def test_pipeline_against_its_operators(spark):
-    d, lab = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
-    good = {r.doc_id for r in quality.classify(d, lab).where("predicted = 1").collect()}
-    texts = {r.doc_id: r.text for r in d.collect()}
-    marks = {i: fingerprint(texts[i]) for i in sorted(good)}
-    root = {i: i for i in marks}
+def similar_groups(texts):
+    """The smallest id of each text's group: word sets of five at similarity 0.8, or three bits of their fingerprints, by all pairs."""
+    sets, marks, root = {}, {}, {i: i for i in texts}
+    for i, t in texts.items():
+        ws = t.encode().lower().split() if t else []
+        sets[i] = {xxhash.xxh64_intdigest(b" ".join(ws[k : k + 5]), 42) for k in range(max(1, len(ws) - 4))} if ws else set()
+        marks[i] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in sets[i]) > len(sets[i]))
 
     def top(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    for a, b in itertools.combinations(marks, 2):
-        if (marks[a] ^ marks[b]).bit_count() <= 3:
+    for a, b in itertools.combinations(sorted(texts), 2):
+        either = len(sets[a] | sets[b])
+        if (marks[a] ^ marks[b]).bit_count() <= 3 or len(sets[a] & sets[b]) >= 0.8 * either:
             x, y = sorted((top(a), top(b)))
             root[y] = x
-    first = {top(i) for i in marks}
+    return {i: top(i) for i in texts}
+
+
+def test_similar_texts_against_all_pairs(spark, docs, none):
+    rng, texts = np.random.default_rng(5), {}
+    for base in range(12):
+        words = text_of(100 + base, int(rng.integers(60, 400))).split()
+        for copy in range(5):
+            for at in rng.choice(len(words), copy * len(words) // 150, replace=False):
+                words[at] = f"other{at}"
+            texts[len(texts)] = " ".join(words)
+    for n in (5, 8, 12, 20):  # few shingles: one more word, and one less alike
+        texts[len(texts)] = text_of(900 + n, n)
+        texts[len(texts)] = text_of(900 + n, n) + " nu"
+        texts[len(texts)] = text_of(900 + n, n) + " nu xi omicron pi rho sigma"
+    want = similar_groups(texts)
+    made = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("node", "label", "u", "soft")})
+    firsts, grouped = similar_text.groups(made)
+    nodes, found = {r.node for r in firsts.collect()}, {r.u: r.v for r in grouped.collect()}
+    assert nodes == {min(i for i, t in texts.items() if t == u) for u in texts.values()}
+    assert len(set(want.values())) < len(nodes) - 12 and {i: found.get(i, i) for i in nodes} == {i: want[i] for i in nodes}
+    kept = similar_text.first_of_each_group(made)
+    assert kept.columns == made.columns and {r.doc_id for r in kept.collect()} == set(want.values())
+    odd = similar_text.first_of_each_group(docs)
+    assert odd.columns == docs.columns and {r.doc_id for r in odd.collect()} == {None, *similar_groups(dict(enumerate(TEXTS))).values()}
+    assert similar_text.first_of_each_group(none).count() == 0
+
+
+def test_soft_keys_meet_at_the_threshold():
+    rng, cosine, n = np.random.default_rng(3), 8 / 9, 2000  # the least cosine of two sets of similarity 0.8
+    a = rng.standard_normal((n, similar_text.BITS))
+    b = cosine * a + (1 - cosine**2) ** 0.5 * rng.standard_normal(a.shape)
+    (ka, ra), (kb, rb) = (similar_text.soft_keys(np.clip(np.rint(32 * x), -127, 127).astype(np.int8)) for x in (a, b))
+    assert len({r for _, r in set(zip(ka.tolist(), ra.tolist(), strict=True)) & set(zip(kb.tolist(), rb.tolist(), strict=True))}) >= 0.97 * n
+
+
+def test_pipeline_against_its_operators(spark):
+    d, lab = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    good = {r.doc_id for r in quality.classify(d, lab).where("predicted = 1").collect()}
+    first = set(similar_groups({r.doc_id: r.text for r in d.collect() if r.doc_id in good}).values())
     mixed = Counter(r.doc_id for r in mixing.mix(d.where(F.col("doc_id").isin(*first))).collect())
     got = corpus_pipeline.run(spark, SF).collect()
     assert Counter(r.doc_id for r in got if r.piece == 0) == mixed
