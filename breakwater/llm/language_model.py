@@ -3,8 +3,8 @@
 The restaurant of a context has the words that follow it as dishes; its tables are customers of the root restaurant, which all contexts
 share as parent, and whose own base is uniform over the known words and one unknown. A context is the preceding word, addressed by a
 16-bit hash, so there are 65,536 context restaurants at every size of corpus and rare words share theirs. Seats are sampled by Gibbs:
-customers leave their table and sit down anew, at a table in proportion to its size less the discount or at a new one in proportion to
-the parent's probability. Scores use the predictive probabilities averaged over the samples, each with its own totals, so that each
+in every sweep all customers of a dish leave and sit down anew, at tables in proportion to their size less the discount or at new ones in
+proportion to the parent's probability, in one exact draw however many they are. Scores use the predictive probabilities averaged over the samples, each with its own totals, so that each
 sample's distribution sums to one.
 
 How it runs. Tasks cut their documents into blocks and count (word, context, document) in each; the counts go to buckets by the word's hash,
@@ -41,6 +41,7 @@ from .common import ascii_words, checksum_class, stored
 
 CONTEXTS = 1 << 16
 BLOCK_TOKENS, BLOCK_DOCS = 1_500_000, 30_000
+CELLS = 500_000
 START, END = b"\n", b" "  # no words
 NAMES = ["bucket", "block", "words", "pairs", "contexts", "entries", "docs", "counts", "ids", "held", "tokens"]
 BLOCK = "bucket int, block string, " + ", ".join(f"{n} binary" for n in NAMES[2:])
@@ -228,52 +229,58 @@ class _Bucket:
         return np.where(self.hot < 0, x, hot[self.hot] if len(hot) else 0)
 
 
-def _reseat(count: np.ndarray, tables: np.ndarray, mass: np.ndarray, discount: float, steps: int, rng: np.random.Generator) -> np.ndarray:
-    """One customer of every dish, picked evenly, leaves and sits down again; `steps` times. count: customers of each dish (2 or more);
-    tables: how many tables they begin with, of like sizes; mass: the parent's share for a new table. Returns the tables of each dish."""
-    dish = np.repeat(np.arange(len(count)), tables)
-    nth = np.arange(len(dish)) - np.repeat(np.cumsum(tables) - tables, tables)
-    size = count[dish] // tables[dish] + (nth < count[dish] % tables[dish])
-    for _ in range(steps):
-        n = np.bincount(dish, minlength=len(count))
-        last = np.cumsum(n) - 1
-        first = last - n + 1
-        filled = np.cumsum(size)
-        leaves = np.searchsorted(filled, filled[first] - size[first] + np.floor(rng.random(len(count)) * count), side="right")
-        size[leaves] -= 1
-        left = n - (size[leaves] == 0)
-        weight = np.where(size > 0, size - discount, 0.0)
-        filled = np.cumsum(weight)
-        base = filled[first] - weight[first]
-        opens = rng.random(len(count)) * (mass + count - 1 - discount * left) < mass
-        joins = np.searchsorted(filled, base + rng.random(len(count)) * (filled[last] - base), side="right")
-        joins = np.clip(joins, first, last)[~opens]
-        size[joins] += 1
-        fresh = np.flatnonzero(opens)
-        kept = size > 0
-        dish = np.concatenate((dish[kept], fresh))
-        size = np.concatenate((size[kept], np.ones(len(fresh), size.dtype)))
-        order = np.argsort(dish, kind="stable")
-        dish, size = dish[order], size[order]
-    return np.bincount(dish, minlength=len(count))
-
-
-def _first_tables(count: np.ndarray, mass: np.ndarray) -> np.ndarray:
-    """Tables to begin with: those expected of a restaurant that opens tables at the rate `mass`."""
-    return np.clip(np.rint(mass * np.log1p(count / mass)), 1, count).astype(np.int64)
-
-
-def _seat(count: np.ndarray, mass: np.ndarray, discount: float, steps: int, rng: np.random.Generator, begin: np.ndarray | None = None) -> np.ndarray:
+def _seatings(counts: np.ndarray, widths: np.ndarray, discount: float) -> list[np.ndarray]:
+    """For each of the ascending counts c: log S(c, t) - log S(c, 1) of t = 1 to its width. S are the generalised Stirling numbers, sums over all
+    seatings of c customers at t tables of the tables' rising factorials; the recurrence runs on their ratios, exact in floating point."""
+    rooms = np.maximum.accumulate(widths[::-1])[::-1]
+    ratio, share, n, out = np.zeros(rooms[0]), discount * np.arange(1, rooms[0] + 1), 1, []
+    for c, width, room in zip(counts.tolist(), widths.tolist(), rooms.tolist(), strict=True):
+        while n < c:
+            k = min(n, room)
+            r, joined = ratio[:k], n - share[:k]
+            above = 1 + (joined - discount) * r
+            joined[1:] += 1 / r[:-1]
+            np.divide(above, joined, out=r)
+            n += 1
+        out.append(np.concatenate(([0.0], np.cumsum(np.log(ratio[: width - 1])))))
+    return out
+
+
+def _reseat(count: np.ndarray, mass: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """All customers of every dish leave and sit down anew: the dish's tables t are drawn from their exact distribution given the rest, which is
+    as mass^t S(count, t). count: 2 or more. Widths grow until what is beyond has no weight; the distribution is log-concave."""
+    out = np.empty(len(count), np.int64)
+    todo, spread = np.argsort(count, kind="stable"), mass / discount
+    reach = 40 + spread + 10 * np.sqrt(spread)
+    while len(todo):
+        counts, sizes = _runs(count[todo])
+        starts, again = np.cumsum(sizes) - sizes, []
+        widths = np.minimum(counts, np.maximum.reduceat(np.minimum(reach[todo], count[todo]), starts).astype(np.int64))
+        for c, width, first, n, row in zip(counts, widths, starts, sizes, _seatings(counts, widths, discount), strict=True):
+            step = max(1, CELLS // width)
+            for k in range(first, first + n, step):
+                at = todo[k : min(k + step, first + n)]
+                weight = row + np.log(mass[at])[:, None] * np.arange(width)
+                weight = np.exp(weight - weight.max(1, keepdims=True))
+                filled = np.cumsum(weight, 1)
+                out[at] = 1 + (filled < rng.random((len(at), 1)) * filled[:, -1:]).sum(1)
+                if width < c:
+                    again.append(at[weight[:, -1] > 1e-12 * filled[:, -1]])
+        todo = np.concatenate(again) if again else todo[:0]
+        reach[todo] *= 2
+    return out
+
+
+def _seat(count: np.ndarray, mass: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
     """Tables of dishes with any number of customers: none has none, one has one."""
     out = np.minimum(count, 1)
     many = np.flatnonzero(count > 1)
     if len(many):
-        c, m = count[many], np.maximum(mass[many], 1e-12)
-        out[many] = _reseat(c, _first_tables(c, m) if begin is None else begin[many], m, discount, steps, rng)
+        out[many] = _reseat(count[many], np.maximum(mass[many], 1e-12), discount, rng)
     return out
 
 
-def _chain(b: _Bucket, totals: Totals, burn_in: int, samples: int, steps: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _chain(b: _Bucket, totals: Totals, burn_in: int, samples: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Samples of the bucket's seats: tables of the pairs, customers and tables of the root's dishes. The totals of the round before
     (their mean over its samples) stand for those of other buckets."""
     rng = np.random.default_rng([20, b.number])
@@ -286,12 +293,12 @@ def _chain(b: _Bucket, totals: Totals, burn_in: int, samples: int, steps: int) -
     for s in range(burn_in + samples + 1):
         customers = np.bincount(b.word, t, minlength=len(b.types)).astype(np.int64)
         own = b.own(customers)
-        root = _seat(own, np.full(len(own), base), d0, steps, rng)
+        root = _seat(own, np.full(len(own), base), d0, rng)
         if s > burn_in:  # the seats after burn_in + 1 sweeps are the first sample
             yield t, customers, root
         if s < burn_in + samples:
             parent = b.at_hot((own - d0 * root + base) / (STRENGTHS[1] + root_n), hot_parent)
-            t = _seat(b.count, strength * parent[b.word], d, steps, rng, None if s == 0 else t)
+            t = _seat(b.count, strength * parent[b.word], d, rng)
 
 
 SUMS = "sample int, context int, customers long, tables long"
@@ -327,7 +334,7 @@ def _first_round(hot: np.ndarray):
     return of
 
 
-def _next_round(totals: Totals, chain: tuple[int, int, int]):
+def _next_round(totals: Totals, chain: tuple[int, int]):
     """Totals of each sample. Context -1: the root's customers and tables, hot words left out; of hot words: customers, 0."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,7 +358,7 @@ def _discount(once: int, twice: int) -> float:
     return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
 
 
-def _learn(state: DataFrame, hot: np.ndarray, rounds: int, chain: tuple[int, int, int]) -> tuple[Totals, Totals]:
+def _learn(state: DataFrame, hot: np.ndarray, rounds: int, chain: tuple[int, int]) -> tuple[Totals, Totals]:
     """Totals that the last chain runs on, and those of its own samples."""
     places = -10 - np.arange(len(hot))
     got = _summed(state.mapInArrow(_first_round(hot), SUMS)).set_index("context")[["customers", "tables"]]
@@ -372,7 +379,7 @@ def _learn(state: DataFrame, hot: np.ndarray, rounds: int, chain: tuple[int, int
         for _, g in sorted(got.groupby("sample")):
             g = g.set_index("context").reindex(np.concatenate((np.arange(CONTEXTS), [-1], places)), fill_value=0)
             n = g.loc[places, "customers"].to_numpy()
-            t = _seat(n, np.full(len(n), base), discounts[1], chain[2], rng)
+            t = _seat(n, np.full(len(n), base), discounts[1], rng)
             by_sample.append((g.loc[np.arange(CONTEXTS), "tables"].to_numpy(), g.loc[-1, "customers"] + n.sum(), g.loc[-1, "tables"] + t.sum(), n, t))
         if by_sample:
             tables, root_n, root_t, n, t = map(np.array, zip(*by_sample, strict=True))
@@ -384,7 +391,7 @@ PART = "block string, doc binary, known binary, base binary, score binary, ids b
 PART_NAMES = [x.split()[0] for x in PART.split(", ")]
 
 
-def _score(before: Totals, last: Totals, chain: tuple[int, int, int]):
+def _score(before: Totals, last: Totals, chain: tuple[int, int]):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d, d0 = last.discounts
         for batch in batches:
@@ -435,14 +442,14 @@ def _by_document(train_tokens: int):
     return of
 
 
-def score(docs: DataFrame, modulus: int = 7, held_class: int = 2, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1, burn_in: int = 2, samples: int = 3, steps: int = 4) -> DataFrame:
+def score(docs: DataFrame, modulus: int = 7, held_class: int = 2, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1, burn_in: int = 2, samples: int = 3) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document; documents of the held class teach nothing."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (checksum_class(id_col, modulus) == held_class).alias("held"))
     hot, parts = _hot_words(rows.select("text"), buckets)
     state = stored(rows.mapInArrow(_blocks(buckets, hot, parts), BLOCK).groupBy("bucket").applyInArrow(_gathered, STATE), "language-model")
-    chain = (burn_in, samples, steps)
+    chain = (burn_in, samples)
     before, last = _learn(state, hot, rounds, chain)
     parts = state.mapInArrow(_score(before, last, chain), PART)
     return parts.groupBy("block").applyInArrow(_by_document(last.words), SCORES)

@@ -90,6 +90,22 @@ def test_language_model(spark, docs, none):
     assert language_model.score(none).count() == 0
 
 
+def test_every_customer_of_a_dish_is_reseated():
+    for count, mass, d in ((5, 3.0, 0.9), (40, 2.0, 0.3), (300, 5.0, 0.95), (3000, 60.0, 0.6)):
+        logs, t = np.full(count + 1, -np.inf), np.arange(count + 1)
+        logs[1] = 0
+        with np.errstate(divide="ignore"):
+            for n in range(1, count):
+                logs = np.logaddexp(np.concatenate(([-np.inf], logs[:-1])), logs + np.log(np.maximum(n - d * t, 0)))
+        weight = np.exp((logs + t * np.log(mass)) - (logs + t * np.log(mass)).max())
+        weight /= weight.sum()
+        got = language_model._seat(np.full(4000, count), np.full(4000, mass), d, np.random.default_rng(7))
+        mean = weight @ t
+        assert abs(got.mean() - mean) < 5 * (weight @ (t - mean) ** 2 / 4000) ** 0.5
+        assert np.abs(np.cumsum(np.bincount(got, minlength=len(t))) / 4000 - np.cumsum(weight)).max() < 0.03
+    assert language_model._seat(np.array([0, 1, 2]), np.full(3, 1e9), 0.5, np.random.default_rng(7)).tolist() == [0, 1, 2]
+
+
 def test_language_model_beats_the_base(spark):
     got = language_model.score(spark.read.parquet(f"{SF}/documents.parquet")).where("held_out").toPandas()
     assert got.score.sum() > got.base_score.sum()
