@@ -36,6 +36,8 @@ STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table
 BAD_WORDS = frozenset("ad ads advert adverts advertisement banner sponsor sponsored promo cookie cookies consent notice alert popup modal nav navbar navigation menu breadcrumb breadcrumbs sidebar widget footer foot masthead toolbar share sharing social related recommended comment comments disqus respond reply replies subscribe newsletter signup login search pagination pager complementary contentinfo banner".split())
 GOOD_WORDS = frozenset("article content entry post story main body text".split())
 WORD = re.compile(r"[a-z]+")
+STATES = frozenset("has no not is with without open closed enabled disabled".split())  # such a name says what the page has, not what the element is
+WHOLE = frozenset("html body article main".split())  # what they are called is no reason to drop what they hold
 
 # What an ancestor adds to the log odds; the strongest of each sign counts.
 INSIDE = {"nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "menu": -9.0, "dialog": -9.0, "header": -4.0, "article": 5.0, "main": 4.0}
@@ -51,21 +53,27 @@ class Block:
     name: str
 
 
-def _standing(name: str, attributes: str) -> float:
+def _standing(name: str, attributes: str) -> tuple[float, bool]:
+    """The log odds that an element gives to what it holds, and whether it is called by a bad word."""
     odds = INSIDE.get(name, 0.0)
     if attributes:
-        words = {w for m in MARKS.finditer(attributes) for w in WORD.findall((m[1] or m[2] or m[3] or "").lower())}
-        if words & BAD_WORDS:
-            odds = min(odds, BAD)
-        elif words & GOOD_WORDS:
+        tokens = [set(WORD.findall(t)) for m in MARKS.finditer(attributes) for t in (m[1] or m[2] or m[3] or "").lower().split()]
+        if name not in WHOLE and any(t & BAD_WORDS and not t & STATES for t in tokens):
+            return odds, True
+        if any(t & GOOD_WORDS for t in tokens):
             odds = max(odds, GOOD)
-    return odds
+    return odds, False
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's blocks of text, in order."""
+    """The page's blocks of text, in order. An element called by a bad word spoils what it holds, unless that is most of the page's text and
+    no article, main or element called by a good word stands elsewhere."""
     out: list[Block] = []
-    stack: list[tuple[str, int, float, float]] = [("", 0, 0.0, 0.0)]  # name, number, lowest and highest odds so far
+    # name, number, lowest and highest odds so far, elements around called by bad words, landmarks around
+    stack: list[tuple[str, int, float, float, tuple[int, ...], int]] = [("", 0, 0.0, 0.0, (), 0)]
+    suspects: list[tuple[int, ...]] = []  # of each block
+    inside: dict[int, int] = {}  # by suspect: landmarks in it and around it
+    landmarks = 0
     parts: list[str] = []
     linked = links = number = at = 0
 
@@ -74,7 +82,8 @@ def blocks(page: str) -> list[Block]:
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            _, _, low, high = stack[-1]
+            _, _, low, high, around, _ = stack[-1]
+            suspects.append(around)
             inner = next((s for s in reversed(stack) if s[0] in BLOCKS), stack[0])
             path = tuple(s[1] for s in stack if s[0] in BLOCKS)
             out.append(Block(text, min(linked, len(text)), path, low if low < 0 else high, inner[0]))
@@ -142,11 +151,27 @@ def blocks(page: str) -> list[Block]:
             parts.append("\n")
         if name not in VOID:
             number += 1
-            odds = _standing(name, attributes)
-            _, _, low, high = stack[-1]
-            stack.append((name, number, min(low, odds), max(high, odds)))
+            odds, bad = _standing(name, attributes)
+            _, _, low, high, around, over = stack[-1]
+            if bad:
+                inside[number] = over
+                around = (*around, number)
+            elif odds > 0:
+                landmarks += 1
+                over += 1
+                for k in around:
+                    inside[k] += 1
+            stack.append((name, number, min(low, odds), max(high, odds), around, over))
             links += name == "a"
     flush()
+    held = dict.fromkeys(inside, 0)
+    for b, around in zip(out, suspects, strict=True):
+        for k in around:
+            held[k] += len(b.text)
+    half = sum(len(b.text) for b in out) / 2
+    for b, around in zip(out, suspects, strict=True):
+        if any(held[k] <= half or inside[k] < landmarks for k in around):
+            b.odds = min(b.odds, BAD)
     return out
 
 

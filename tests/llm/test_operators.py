@@ -242,6 +242,16 @@ def test_main_text(spark):
     assert [g[1] for g in got] == [("A long plain paragraph of text stands here. " * 3).strip(), want, want, "", "", ""] and all(len(t) == n for _, t, n in got)
 
 
+def test_main_text_under_names_of_layout():
+    story, said = "A paragraph of the story stands here, with some words. " * 9, "Nice article, thank you very much for it. " * 40
+    want = story.strip()
+    for around in ('<body class="single has-sidebar">%s', '<body><article class="post comments-open">%s</article>', '<body><div id="page" class="content no-sidebar">%s</div>', '<html class="cookie-consent"><body>%s', '<body><div class="widget">%s</div>'):
+        assert html_cut.main_text(around % f"<p>{story}</p>") == want
+    for name in ("comments", "comment-list", "site-footer"):  # even where they hold most of the text
+        assert html_cut.main_text(f'<body class="has-sidebar"><article><p>{story}</p></article><div class="{name}"><p>{said}</p></div>') == want
+        assert html_cut.main_text(f'<body><div class="post"><p>{story}</p></div><div class="{name}"><p>{said}</p></div>') == want
+
+
 def test_golay():
     rng = np.random.default_rng(2)
     words = rng.integers(0, 1 << 23, 4000)
