@@ -1,5 +1,9 @@
 """Hand cases of the rules, and the sources' round trips."""
 
+import random
+import re
+import statistics
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,6 +164,18 @@ def test_trimmed_median(spark):
     assert depth.trimmed_median(spark.range(1, 4), "id").first()[0] is None
 
 
+def test_trimmed_median_sorts_all_rows_in_no_task(spark):
+    rng = random.Random(4)
+    for n in (5, 6, 99, 400):
+        values = [rng.choice((rng.randrange(9), rng.random() * 1e6, -3)) * 1.0 for _ in range(n)]
+        kept = sorted(values)[n // 5 : n - n // 5]
+        got = depth.trimmed_median(spark.createDataFrame([(v,) for v in [*values, None]], "v double"), "v")
+        assert got.first()[0] == pytest.approx(statistics.median(kept))
+    assert depth.trimmed_median(spark.createDataFrame([(7,)] * 9, "v long"), "v").first()[0] == 7
+    keys = re.findall(r"windowspecdefinition\((\w+)", got._jdf.queryExecution().optimizedPlan().toString())
+    assert keys and set(keys) <= {"_bin", "specifiedwindowframe"}
+
+
 def test_vcf_fields(spark):
     def line(pos, alt, info, form="GT", sample="0/1", qual="5"):
         return ("\t".join(("chr1", str(pos), "x", "N", alt, qual, "PASS", info, form, sample)),)
