@@ -3,8 +3,9 @@
 A document is its ids and an end id. Those longer than a sequence are cut into pieces of the full length, the first of which may be
 shorter. Best-fit decreasing then runs over counts: at most `length` numbers (how many pieces have each length) reach the driver, however
 many documents there are, and one step places all equal pieces that best-fit would treat alike. The plan says, for each length, which
-ranks go to which sequences and offset; pieces take their slots by joining on their rank within their length. Ranks are counted in
-buckets of a hash of the id, so that a length that a third of all pieces share is no task of its own.
+ranks go to which sequences and offset; each piece looks its slot up by its rank within its length. Ranks are counted in buckets of a hash
+of the id, as many as there are shuffle partitions, so that a length that a third of all pieces share is no task of its own. The plan is
+sent to the tasks: its rows are bounded by the lengths (a few thousand for 1024), not by the pieces.
 
 Edge cases: null and empty texts are a document of the end id alone; repeated rows are documents of their own; a null id stays null;
 an empty table gives no rows; only the id and text columns are read.
@@ -17,7 +18,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from .common import stored
 from .tokens import default_vocabulary, encoder
 
-BUCKETS = 256  # with 1024 lengths, at most 262,144 counts reach the driver
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
@@ -105,23 +104,37 @@ def plan(counts: dict[int, int], length: int = 1024) -> list[tuple[int, int, int
     return rows
 
 
+def _slots(planned: list[tuple[int, int, int, int, int]], length: int):
+    """Gives each ranked piece its sequence and offset: the plan's row of its length with the greatest first rank that isn't beyond its own."""
+    rows = np.array(sorted(planned), np.int64).reshape(-1, 5)
+    starts = np.searchsorted(rows[:, 0], np.arange(length + 2))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()
+            at = np.empty(len(size), np.int64)
+            for n in np.unique(size):
+                mine = size == n
+                at[mine] = starts[n] + np.searchsorted(rows[starts[n] : starts[n + 1], 1], rank[mine], "right") - 1
+            out = [b.column(c) for c in b.schema.names if c != "rank"]
+            out += [pa.array(rows[at, 3] + rank - rows[at, 1]), pa.array(rows[at, 4])]
+            yield pa.RecordBatch.from_arrays(out, [*(c for c in b.schema.names if c != "rank"), "sequence_id", "offset"])
+
+    return of
+
+
 def pack(docs: DataFrame, vocabulary: str | None = None, length: int = 1024, end: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """The pieces with sequence_id and offset; with_ids adds the ids, so that a sequence is its pieces' ids by offset."""
     spark = docs.sparkSession
     cut = stored(pieces(docs, vocabulary or default_vocabulary(), length, end, id_col, text_col, with_ids), "packing-pieces")
-    buckets = min(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
-    counted = cut.groupBy("length", "bucket").agg(F.count("*").alias("n")).toPandas()  # at most length x buckets numbers
-    counted = counted.sort_values(["length", "bucket"])
-    counted["before"] = counted.groupby("length")["n"].cumsum() - counted["n"]
-    planned = plan({int(k): int(n) for k, n in counted.groupby("length")["n"].sum().items()}, length)
-    slots = pd.DataFrame(planned, columns=["length", "first_rank", "ranks", "first_sequence", "offset"]).astype({"length": "int32", "first_rank": "int64", "ranks": "int64", "first_sequence": "int64", "offset": "int64"})
-    before = spark.createDataFrame(counted[["length", "bucket", "before"]].astype({"length": "int32", "bucket": "int32", "before": "int64"}), "length int, bucket int, before long")
-    # One array of slots a length, by rank: a piece finds its slot without a join on a range.
-    by_length = spark.createDataFrame(slots, "length int, first_rank long, ranks long, first_sequence long, offset long")
+    counted = stored(cut.groupBy("length", "bucket").agg(F.count("*").alias("n")), "packing-counts")
+    sizes = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `length` rows
+    earlier = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = counted.select("length", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     ordered = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = cut.withColumn("nth", F.row_number().over(ordered)).join(F.broadcast(before), ["length", "bucket"])  # bounded by length x buckets
-    ranked = ranked.withColumn("rank", F.col("before") + F.col("nth") - 1)
-    joined = ranked.join(F.broadcast(by_length), "length").where("rank >= first_rank AND rank < first_rank + ranks")  # bounded by the lengths
-    kept = ["doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", (F.col("first_sequence") + F.col("rank") - F.col("first_rank")).alias("sequence_id"), "offset"]
-    return joined.select(*kept, *(["ids"] if with_ids else []))
+    ranked = cut.withColumn("nth", F.row_number().over(ordered)).join(before, ["length", "bucket"])
+    kept = ["doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", *(["ids"] if with_ids else []), (F.col("before") + F.col("nth") - 1).alias("rank")]
+    placed = PIECES.replace("length int", "length long") + (", ids array<int>" if with_ids else "") + ", sequence_id long, offset long"
+    return ranked.select(*kept).mapInArrow(_slots(plan(sizes, length), length), placed)

@@ -17,8 +17,8 @@ class Encoder:
 
     The pattern never joins a character to white space that follows it, so a text may be cut before a blank that stands between two
     characters other than white space. These pieces recur, and so do the pattern's words in them; both are remembered, the first `kept`
-    of each. Only new words reach the tokenizer's model. A text in which a blank stands elsewhere is encoded whole. Strings of special tokens
-    are ordinary text.
+    of each. Only new words reach the tokenizer's model. A text in which a blank stands elsewhere is encoded whole. A string of an added token
+    is that token's id, as the library has it, and parts the text: what stands before and after it is encoded on its own.
     """
 
     def __init__(self, path: str, kept: int = 200_000) -> None:
@@ -28,7 +28,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = {t.content: n for n, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.added = {content: array("I", [n]).tobytes() for content, n in added.items()}
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")").split if added else None
         self.split = regex.compile(PATTERN).findall
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves, by the format
         rest = [b for b in range(256) if b not in plain]
@@ -66,6 +68,12 @@ class Encoder:
         """The ids of a text, without an end; null counts as empty."""
         if not text:
             return b""
+        if any(content in text for content in self.added):
+            return b"".join(self.added[part] if part in self.added else self._plain(part) for part in self.cut(text) if part)
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
+        """The ids of a text without added tokens."""
         head, *pieces = text.split(" ")
         if not head or head[-1] in SPACE:
             return self.whole(text)

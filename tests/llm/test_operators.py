@@ -23,7 +23,7 @@ def text_of(seed, n):
     return " ".join(WORDS[i] for i in rng.integers(0, len(WORDS), n))
 
 
-TEXTS = [None, "", " \n\t", "One", text_of(1, 40), text_of(1, 40), text_of(1, 40) + " nu", text_of(2, 3000), "É ß 中文 …", "Released under the MIT License.\nx", text_of(3, 900)]
+TEXTS = [None, "", " \n\t", "One", text_of(1, 40), text_of(1, 40), text_of(1, 40) + " nu", text_of(2, 3000), "É ß 中文 …", "Released under the MIT License.\nx", text_of(3, 900), "a <|endoftext|> b<|endoftext|><|endoftext|>\n c <|endoftext |>"]
 
 
 @pytest.fixture(scope="module")
@@ -169,7 +169,6 @@ def test_audio(spark, docs):
 
 def encoded(end):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     return lambda t: [*tok.encode(t or "", add_special_tokens=False).ids, end]
 
 
@@ -182,6 +181,8 @@ def test_sequences(spark, docs, none):
         at += len(ids)
     assert sorted(map(tuple, sequences.encode_and_read_back(docs).collect()), key=lambda r: r[1]) == want
     assert sequences.encode_and_read_back(none).count() == 0
+    ids, mask = sequences.SequenceFile(sequences.write_sequences(docs.where("doc_id = 10"), f"{spark.conf.get('spark.checkpoint.dir')}/masks")[0].path).sequence(0)
+    assert len(ids) == len(mask) == 1024 and mask.dtype == np.uint8 and not mask.flags.owndata and int(mask.sum()) == min(1024, len(enc(TEXTS[10])))
 
 
 def test_packing(spark, docs, none):
@@ -197,6 +198,10 @@ def test_packing(spark, docs, none):
         places.sort()
         assert places[0][0] == 0 and all(a + b == c for (a, b), (c, _) in itertools.pairwise(places)) and sum(places[-1]) <= 1024
     assert packing.pack(none).count() == 0
+    many = spark.range(900).selectExpr("id AS doc_id", "CASE WHEN id % 3 > 0 THEN repeat('alpha beta ', cast(id % 700 AS int)) END AS text")
+    got = packing.pack(many, with_ids=True).collect()
+    assert sorted(r.doc_id for r in got if r.piece == 0) == list(range(900)) and len({(r.sequence_id, r.offset) for r in got}) == len(got)
+    assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in got)
 
 
 def test_plan_is_best_fit():
