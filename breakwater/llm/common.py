@@ -50,6 +50,14 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, spread: str, salts: i
     return left.join(right, [key, "_salt"]).drop("_salt")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A name that no column of df has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def checksum_class(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
@@ -60,8 +68,9 @@ def ascii_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def key_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Cuts key-sorted batches between keys only, so that no run of equal keys is split over two tables."""
+def key_runs(batches: Iterator[pa.RecordBatch], key: str, most: int | None = None) -> Iterator[pa.Table]:
+    """Cuts key-sorted batches between keys only, so that no run of equal keys is split over two tables; but a run of `most` rows or more,
+    if given, comes in several tables."""
     rest: pa.Table | None = None
     for batch in batches:
         if not batch.num_rows:
@@ -70,6 +79,8 @@ def key_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         now = pa.concat_tables([rest, now]) if rest is not None else now
         col = now[key].to_numpy()
         cut = int(np.searchsorted(col, col[-1]))
+        if most and now.num_rows - cut >= most:
+            cut = now.num_rows
         if cut:
             yield now.slice(0, cut)
         rest = now.slice(cut)

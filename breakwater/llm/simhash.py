@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, discard, key_runs, salted_join, stored
+from .common import ascii_words, discard, key_runs, salted_join, stored, unused
 from .components import components
 from .golay import codeword_index, near_codewords
 
@@ -202,13 +202,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     low = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     member = stored(salted_join(rooted.where("root <> fingerprint"), low, "root", "fingerprint").select("fingerprint", "component_id").unionAll(low.select("root", "component_id")), "simhash-members")
     discard(spark, joined, nodes)
-    return marked.join(member, "fingerprint").select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+    return salted_join(marked, member, "fingerprint", "doc_id").select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def first_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 3) -> DataFrame:
     """The rows of docs, all columns, that stand for their group of near-duplicates: the one with the smallest id. A row without an id takes a
     negative one from its text for this; of rows with one id, one stays for each group that the id is the smallest of."""
-    rows = docs.withColumn("_key", F.coalesce(F.col(id_col).cast("long"), -1 - F.pmod(F.xxhash64(text_col), F.lit(1 << 62))))
-    grouped = near_duplicates(rows, "_key", text_col, words, max_bits)
-    stay = grouped.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
-    return rows.join(stay, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    key = unused(docs, "key")
+    rows = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), -1 - F.pmod(F.xxhash64(text_col), F.lit(1 << 62))))
+    grouped = near_duplicates(rows, key, text_col, words, max_bits)
+    stay = grouped.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    return rows.join(stay, key, "left_semi").dropDuplicates([key]).select(*docs.columns)

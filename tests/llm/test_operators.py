@@ -300,12 +300,11 @@ def test_simhash_against_all_pairs(spark, docs, none):
 
 
 def similar_groups(texts):
-    """The smallest id of each text's group: word sets of five at similarity 0.8, or three bits of their fingerprints, by all pairs."""
-    sets, marks, root = {}, {}, {i: i for i in texts}
+    """The smallest id of each text's group: sets of five-word shingles at similarity 0.8, by all pairs."""
+    sets, root = {}, {i: i for i in texts}
     for i, t in texts.items():
         ws = t.encode().lower().split() if t else []
         sets[i] = {xxhash.xxh64_intdigest(b" ".join(ws[k : k + 5]), 42) for k in range(max(1, len(ws) - 4))} if ws else set()
-        marks[i] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in sets[i]) > len(sets[i]))
 
     def top(i):
         while root[i] != i:
@@ -314,7 +313,7 @@ def similar_groups(texts):
 
     for a, b in itertools.combinations(sorted(texts), 2):
         either = len(sets[a] | sets[b])
-        if (marks[a] ^ marks[b]).bit_count() <= 3 or len(sets[a] & sets[b]) >= 0.8 * either:
+        if len(sets[a] & sets[b]) >= 0.8 * either:
             x, y = sorted((top(a), top(b)))
             root[y] = x
     return {i: top(i) for i in texts}
@@ -345,6 +344,26 @@ def test_similar_texts_against_all_pairs(spark, docs, none):
     assert similar_text.first_of_each_group(none).count() == 0
 
 
+def test_a_large_group_of_near_copies(spark):
+    """All link to one text and few to each other; beside them as many that are just too far from it."""
+    rng, base, texts, near = np.random.default_rng(11), text_of(77, 204).split(), {0: text_of(77, 204)}, 0
+    for i in range(1, 5001):
+        words = base.copy()
+        for at in rng.choice(40, 4 if i % 2 else 8, replace=False) * 5 + 2:
+            words[at] = f"w{i}x{at}"
+        texts[i] = " ".join(words)
+    kept = similar_text.first_of_each_group(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).select("doc_id").collect()
+    near = {i for i in texts if i % 2}  # 20 of 200 shingles change: 180 / 220
+    assert len(kept) >= 2501
+    assert len(near & {r.doc_id for r in kept}) <= 0.02 * len(near)
+
+
+def test_texts_with_one_id(spark):
+    rows = [(1, text_of(1, 60)), (1, text_of(2, 60)), (1, text_of(1, 60).upper()), (2, text_of(2, 60)), (3, text_of(1, 60) + " nu")]
+    kept = similar_text.first_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text.lower()) for r in kept) == sorted((1, text_of(k, 60)) for k in (1, 2))
+
+
 def test_soft_keys_meet_at_the_threshold():
     rng, cosine, n = np.random.default_rng(3), 8 / 9, 2000  # the least cosine of two sets of similarity 0.8
     a = rng.standard_normal((n, similar_text.BITS))
