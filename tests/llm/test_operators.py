@@ -99,11 +99,21 @@ def test_every_customer_of_a_dish_is_reseated():
                 logs = np.logaddexp(np.concatenate(([-np.inf], logs[:-1])), logs + np.log(np.maximum(n - d * t, 0)))
         weight = np.exp((logs + t * np.log(mass)) - (logs + t * np.log(mass)).max())
         weight /= weight.sum()
-        got = language_model._seat(np.full(4000, count), np.full(4000, mass), d, np.random.default_rng(7))
+        got = language_model._seat(np.full(4000, count), np.full(4000, mass), d, np.random.default_rng(7).random(4000))
         mean = weight @ t
         assert abs(got.mean() - mean) < 5 * (weight @ (t - mean) ** 2 / 4000) ** 0.5
         assert np.abs(np.cumsum(np.bincount(got, minlength=len(t))) / 4000 - np.cumsum(weight)).max() < 0.03
-    assert language_model._seat(np.array([0, 1, 2]), np.full(3, 1e9), 0.5, np.random.default_rng(7)).tolist() == [0, 1, 2]
+    assert language_model._seat(np.array([0, 1, 2]), np.full(3, 1e9), 0.5, np.full(3, 0.5)).tolist() == [0, 1, 2]
+
+
+def test_language_model_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "BUCKET_BYTES", 50_000)  # several buckets, hot words among them
+    docs, found = spark.read.parquet(f"{SF}/documents.parquet"), []
+    for partitions, tasks in (("4", 1), ("9", 7)):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        found.append(language_model.score(docs.repartition(tasks)).toPandas().sort_values("doc_id"))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert np.allclose(found[0].score, found[1].score, atol=1e-9) and np.allclose(found[0].base_score, found[1].base_score)
 
 
 def test_language_model_beats_the_base(spark):
