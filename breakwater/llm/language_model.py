@@ -11,7 +11,7 @@ sample's distribution sums to one.
 How it runs. Tasks cut their documents into blocks and count (word, context, document) in each; the counts go to buckets by the word's hash,
 as packed arrays: that is the one shuffle of the corpus. A bucket has all customers of its words in every context, and the root's tables
 for them, so bucket work is local but for the restaurants' totals, one number a context and sample. There are as many buckets as the text
-fills at BUCKET_BYTES each, so a bucket has some 4 million tokens at every size. A word with more than half a bucket's tokens is hot: there
+fills at BUCKET_BYTES each, so a bucket has some 1.7 million tokens at every size. A word with more than half a bucket's tokens is hot: there
 are at most 2 x buckets of them. Its contexts are dealt over several buckets, and its place in the root becomes one of the totals. Draws are
 seeded by word and context: scores depend neither on partitions nor on settings, the scoring pass replays the chain whose totals the pass
 before has summed, and a lost executor's buckets come out as they were. Sums go back to each block's documents.
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import ascii_words, checksum_class, discard, stored
 
-BUCKET_BYTES = 24_000_000  # text in a bucket, some 4 million tokens
+BUCKET_BYTES = 10_000_000  # text in a bucket, some 1.7 million tokens
 BLOCK_TOKENS, BLOCK_DOCS = 1_500_000, 30_000
 EXACT = 1024  # customers of a dish up to which its seatings are counted exactly
 CELLS = 500_000
@@ -463,7 +463,7 @@ def _score(before: Totals, last: Totals, chain: tuple[int, int]):
                 word = b.word[pair]
                 doc, of_doc = np.unique(doc >> 1, return_inverse=True)
                 sums = [np.bincount(of_doc, count * x) for x in (seen[word] > 0, unigram[word], logs[pair])]
-                rows.append((row["block"][k], *(x.astype(kind).tobytes() for x, kind in zip((doc, *sums), ("<u2", "<u4", "<f8", "<f8"), strict=True)), None, None, None))
+                rows.append((row["block"][k], *(x.astype(kind).tobytes() for x, kind in zip((doc, *sums), ("<u2", "<u4", "<f8", "<f4"), strict=True)), None, None, None))
             rows += [(row["block"][k], None, None, None, None, i, row["held"][k], row["tokens"][k]) for k, i in enumerate(row["ids"]) if i is not None]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n == "block" else pa.binary()) for n, c in zip(PART_NAMES, zip(*rows, strict=True), strict=True)], PART_NAMES)
 
@@ -483,7 +483,7 @@ def _by_document(train_tokens: int):
             doc = np.frombuffer(p["doc"], "<u2")
             known[doc] += np.frombuffer(p["known"], "<u4")
             base[doc] += np.frombuffer(p["base"], "<f8")
-            score[doc] += np.frombuffer(p["score"], "<f8")
+            score[doc] += np.frombuffer(p["score"], "<f4")
         ids = pa.ipc.open_stream(about["ids"]).read_all()["id"].combine_chunks()
         cols = [ids, pa.array(_unpack(about["held"], "?")), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), train_tokens)), pa.array(base), pa.array(score)]
         return pa.table(cols, [x.split()[0] for x in SCORES.split(", ")])
