@@ -31,7 +31,6 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -42,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import ascii_words, checksum_class, discard, stored
 
 BUCKET_BYTES = 10_000_000  # text in a bucket, some 1.7 million tokens
-BLOCK_TOKENS, BLOCK_DOCS = 1_500_000, 30_000
+BLOCK_TOKENS, BLOCK_DOCS = 1_000_000, 30_000
 EXACT = 1024  # customers of a dish up to which its seatings are counted exactly
 CELLS = 500_000
 START, END = b"\n", b" "  # no words
@@ -327,12 +326,8 @@ def _chain(b: _Bucket, totals: Totals, burn_in: int, samples: int) -> Iterator[t
             t = _seat(b.count, strength * parent[b.word], d, _uniform(b.names, s))
 
 
-SUMS = "sample int, context int, customers long, tables long"
-
-
-def _sums(sample: int, context: np.ndarray, customers: np.ndarray, tables: np.ndarray) -> pa.RecordBatch:
-    cols = [np.full(len(context), sample, np.int32), context.astype(np.int32), customers.astype(np.int64), tables.astype(np.int64)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["sample", "context", "customers", "tables"])
+SUMS = "sample int, range int, packed binary"
+RANGE = 1 << 14
 
 
 class _Sums:
@@ -354,8 +349,9 @@ class _Sums:
 
     def batches(self) -> Iterator[pa.RecordBatch]:
         for sample, held in self.of.items():
-            at = np.flatnonzero(held.any(0))
-            yield _sums(sample, np.where(at < self.contexts, at, self.contexts - 1 - at), held[0, at], held[1, at])
+            for k, at in enumerate(range(0, held.shape[1], RANGE)):
+                row = [[sample], [k], [_pack(held[:, at : at + RANGE])]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["sample", "range", "packed"])
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -400,9 +396,15 @@ def _next_round(totals: Totals, chain: tuple[int, int]):
     return of
 
 
-def _summed(rows: DataFrame) -> pd.DataFrame:
-    """At most samples x (contexts + 3 + hot words) rows of sums."""
-    return rows.groupBy("sample", "context").agg(F.sum("customers").alias("customers"), F.sum("tables").alias("tables")).toPandas()
+def _added(key: tuple, rows: pa.Table) -> pa.Table:
+    whole = sum(_unpack(x.as_py(), "<i8") for x in rows["packed"])
+    return pa.table([pa.array([k.as_py()], pa.int32()) for k in key] + [pa.array([_pack(whole)], pa.binary())], ["sample", "range", "packed"])
+
+
+def _summed(rows: DataFrame) -> dict[int, np.ndarray]:
+    """By sample: customers and tables of the contexts, then of places -1, -2, ... (from -10 on those of hot words)."""
+    found = sorted(rows.groupBy("sample", "range").applyInArrow(_added, SUMS).collect())
+    return {s: np.concatenate([_unpack(r["packed"], "<i8").reshape(2, -1) for r in found if r["sample"] == s], 1) for s in {r["sample"] for r in found}}
 
 
 def _discount(once: int, twice: int) -> float:
@@ -411,26 +413,23 @@ def _discount(once: int, twice: int) -> float:
 
 def _learn(state: DataFrame, contexts: int, hot: np.ndarray, rounds: int, chain: tuple[int, int]) -> tuple[Totals, Totals]:
     """Totals that the last chain runs on, and those of its own samples."""
-    places, every = -10 - np.arange(len(hot)), np.arange(contexts)
-    got = _summed(state.mapInArrow(_first_round(contexts, hot), SUMS)).set_index("context")[["customers", "tables"]]
-    got = got.reindex(np.concatenate((every, [-1, -2, -3], places)), fill_value=0)
-    (words, types), pairs, root = (tuple(map(int, got.loc[k])) for k in (-1, -2, -3))
-    hot_words, hot_customers = got.loc[places, "customers"].to_numpy(), got.loc[places, "tables"].to_numpy()
+    size = contexts + 9 + len(hot)
+    got = _summed(state.mapInArrow(_first_round(contexts, hot), SUMS)).get(0, np.zeros((2, size + 1), np.int64))
+    (words, types), pairs, root = (tuple(map(int, got[:, contexts + k])) for k in range(3))
+    hot_words, hot_customers = got[:, contexts + 9 : size]
     words, types = words + int(hot_words.sum()), types + int((hot_words > 0).sum())
     discounts = (_discount(*pairs), _discount(*root))
-    customers, tables = (got.loc[every, c].to_numpy() for c in ("customers", "tables"))
+    customers, tables = got[:, :contexts]
     last = Totals(contexts, words, types, discounts, customers, tables[None], np.array([tables.sum()]), np.array([types]), hot, hot_words, hot_customers[None], np.minimum(hot_customers, 1)[None])
     before = last
     for _ in range(rounds):
         before = last
         base = (STRENGTHS[1] + discounts[1] * before.root_tables.mean()) / (types + 1)
         by_sample: list[tuple] = []
-        got = _summed(state.mapInArrow(_next_round(before, chain), SUMS))
-        for turn, g in sorted(got.groupby("sample")):
-            g = g.set_index("context").reindex(np.concatenate((every, [-1], places)), fill_value=0)
-            n = g.loc[places, "customers"].to_numpy()
+        for turn, g in sorted(_summed(state.mapInArrow(_next_round(before, chain), SUMS)).items()):
+            n = g[0, contexts + 9 : size]
             t = _seat(n, np.full(len(n), base), discounts[1], _uniform(hot, turn))
-            by_sample.append((g.loc[every, "tables"].to_numpy(), g.loc[-1, "customers"] + n.sum(), g.loc[-1, "tables"] + t.sum(), n, t))
+            by_sample.append((g[1, :contexts], g[0, contexts] + n.sum(), g[1, contexts] + t.sum(), n, t))
         if by_sample:
             tables, root_n, root_t, n, t = map(np.array, zip(*by_sample, strict=True))
             last = Totals(contexts, words, types, discounts, customers, tables, root_n, root_t, hot, hot_words, n, t)
@@ -463,7 +462,8 @@ def _score(before: Totals, last: Totals, chain: tuple[int, int]):
                 word = b.word[pair]
                 doc, of_doc = np.unique(doc >> 1, return_inverse=True)
                 sums = [np.bincount(of_doc, count * x) for x in (seen[word] > 0, unigram[word], logs[pair])]
-                rows.append((row["block"][k], *(x.astype(kind).tobytes() for x, kind in zip((doc, *sums), ("<u2", "<u4", "<f8", "<f4"), strict=True)), None, None, None))
+                packed = (_pack(np.diff(doc, prepend=0).astype("<u2")), _pack(sums[0].astype("<u4")), sums[1].astype("<f8").tobytes(), sums[2].astype("<f4").tobytes())
+                rows.append((row["block"][k], *packed, None, None, None))
             rows += [(row["block"][k], None, None, None, None, i, row["held"][k], row["tokens"][k]) for k, i in enumerate(row["ids"]) if i is not None]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n == "block" else pa.binary()) for n, c in zip(PART_NAMES, zip(*rows, strict=True), strict=True)], PART_NAMES)
 
@@ -479,9 +479,9 @@ def _by_document(train_tokens: int):
         about = next(p for p in parts if p["ids"] is not None)
         sizes = _unpack(about["tokens"], "<i8")
         known, base, score = np.zeros(len(sizes), np.int64), np.zeros(len(sizes)), np.zeros(len(sizes))
-        for p in sorted((p for p in parts if p["doc"] is not None), key=lambda p: p["doc"]):
-            doc = np.frombuffer(p["doc"], "<u2")
-            known[doc] += np.frombuffer(p["known"], "<u4")
+        for p in sorted((p for p in parts if p["doc"] is not None), key=lambda p: (p["doc"], p["base"])):
+            doc = np.cumsum(_unpack(p["doc"], "<u2"), dtype=np.int64)
+            known[doc] += _unpack(p["known"], "<u4")
             base[doc] += np.frombuffer(p["base"], "<f8")
             score[doc] += np.frombuffer(p["score"], "<f4")
         ids = pa.ipc.open_stream(about["ids"]).read_all()["id"].combine_chunks()
