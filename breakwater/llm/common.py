@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,19 @@ def discard(spark: SparkSession, *frames: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """Jobs run inside pass rows to Python in batches of that many bytes: for rows of megabytes, of which a batch by default holds 64 MB in the
+    JVM and again in Python."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def salted_join(many: DataFrame, one: DataFrame, key: str, spread: str, salts: int = 8) -> DataFrame:
     """Inner join of many rows a key with one row a key, each key dealt over `salts` tasks by the column `spread`: a key that holds a
     third of the rows is then no task of its own. `one` is repeated `salts` times."""

@@ -11,7 +11,7 @@ sample's distribution sums to one.
 How it runs. Tasks cut their documents into blocks and count (word, context, document) in each; the counts go to buckets by the word's hash,
 as packed arrays: that is the one shuffle of the corpus. A bucket has all customers of its words in every context, and the root's tables
 for them, so bucket work is local but for the restaurants' totals, one number a context and sample. There are as many buckets as the text
-fills at BUCKET_BYTES each, so a bucket has some 1.7 million tokens at every size. A word with more than half a bucket's tokens is hot: there
+fills at BUCKET_BYTES each, so a bucket has some million tokens at every size. A word with more than half a bucket's tokens is hot: there
 are at most 2 x buckets of them. Its contexts are dealt over several buckets, and its place in the root becomes one of the totals. Draws are
 seeded by word and context: scores depend neither on partitions nor on settings, the scoring pass replays the chain whose totals the pass
 before has summed, and a lost executor's buckets come out as they were. Sums go back to each block's documents.
@@ -38,10 +38,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, checksum_class, discard, stored
+from .common import ascii_words, checksum_class, discard, small_batches, stored
 
-BUCKET_BYTES = 10_000_000  # text in a bucket, some 1.7 million tokens
-BLOCK_TOKENS, BLOCK_DOCS = 1_000_000, 30_000
+BUCKET_BYTES = 6_000_000  # text in a bucket, some million tokens
+BLOCK_TOKENS, BLOCK_DOCS = 500_000, 30_000
 EXACT = 1024  # customers of a dish up to which its seatings are counted exactly
 CELLS = 500_000
 START, END = b"\n", b" "  # no words
@@ -497,9 +497,11 @@ def score(docs: DataFrame, modulus: int = 7, held_class: int = 2, id_col: str =
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = size // BUCKET_BYTES + 1
     contexts = 1 << max(16, int(np.ceil(np.log2(4 * (size + 1) ** 0.5))))
-    hot, parts = _hot_words(rows.select("text"), buckets)
-    state = stored(rows.mapInArrow(_blocks(buckets, contexts, hot, parts), BLOCK).groupBy("bucket").applyInArrow(_gathered, STATE), "language-model")
-    chain = (burn_in, samples)
-    before, last = _learn(state, contexts, hot, rounds, chain)
-    parts = state.mapInArrow(_score(before, last, chain), PART)
-    return parts.groupBy("block").applyInArrow(_by_document(last.words), SCORES)
+    with small_batches(docs.sparkSession):
+        hot, parts = _hot_words(rows.select("text"), buckets)
+        state = stored(rows.mapInArrow(_blocks(buckets, contexts, hot, parts), BLOCK).groupBy("bucket").applyInArrow(_gathered, STATE), "language-model")
+        chain = (burn_in, samples)
+        before, last = _learn(state, contexts, hot, rounds, chain)
+        scores = stored(state.mapInArrow(_score(before, last, chain), PART).groupBy("block").applyInArrow(_by_document(last.words), SCORES), "language-model-scores")
+    discard(docs.sparkSession, state)
+    return scores
