@@ -192,6 +192,7 @@ def _blocks(buckets: int, contexts: int, hot: np.ndarray, parts: np.ndarray):
                 tokens += len(words)
                 if tokens >= BLOCK_TOKENS or len(docs) >= BLOCK_DOCS:
                     yield made(f"{part}-{nth}", docs, spans, vocab)
+                    vocab.default_factory = None  # it refers to vocab, which would stay until the collector finds the circle
                     (docs, spans, vocab), tokens, nth = fresh(), 0, nth + 1
         if docs:
             yield made(f"{part}-{nth}", docs, spans, vocab)
