@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ORD = "((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey"
 TYPE = "case l_linenumber % 6 when 0 then 'BND' when 1 then 'DEL' when 2 then 'INS' when 3 then 'DUP' when 4 then 'INV' else 'CPX' end"
@@ -81,11 +82,14 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{source}.parquet").selectExpr(*(f"{e} AS `{c}`" for c, e in cols.items()))
 
 
-def contigs(spark: SparkSession) -> DataFrame:
-    return spark.range(5).selectExpr("cast(id as int) AS ord", "'chr' || cast(id as string) AS chrom", "(id + 1) * 200000 AS length")
+def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As long as the alignments and calls on them reach, so that every row lies on its contig at every scale."""
+    ends = view(spark, sf_dir, "aln").select("chrom", "stop").unionAll(view(spark, sf_dir, "cand").select("chrom", "stop"))
+    return ends.groupBy("chrom").agg(F.max("stop").alias("length")).select(F.substring("chrom", 4, 9).cast("int").alias("ord"), "chrom", "length")
 
 
-CONTIGS_SQL = "contigs AS (SELECT cast(i AS int) AS ord, 'chr' || i AS chrom, (i + 1) * 200000 AS length FROM range(0, 5) t(i))"
+_ENDS = " UNION ALL ".join(f"SELECT {cols['chrom']} AS chrom, {cols['stop']} AS stop FROM {source}" for source, cols in (VIEWS["aln"], VIEWS["cand"]))
+CONTIGS_SQL = f"contigs AS (SELECT cast(substr(chrom, 4) AS int) AS ord, chrom, max(stop) AS length FROM ({_ENDS}) e GROUP BY chrom)"
 
 
 def sql(*names: str) -> str:

@@ -13,7 +13,7 @@ from ..operators import intervals, sequences
 from ..params import Params
 
 LEAST_ROWS = {"DUP": 3, "CPX": 7}  # fixed values of the method
-CONTEXT = 50
+CONTEXT = 20
 
 
 def _by_type(table: dict, default: object) -> Column:
@@ -86,18 +86,21 @@ def summed(clustered: DataFrame, p: Params) -> DataFrame:
 
 
 def with_repeats(calls: DataFrame, repeats: DataFrame, chunks: DataFrame | None = None, chunk: int = 10_000, ids: tuple[str, ...] = ("sv_type", "chrom", "start", "stop")) -> DataFrame:
-    """Adds in_repeat and repeat_type: a listed repeat that touches the call (ends count), else a homopolymer within 50 bases of its start.
-    chunks: reference pieces of `chunk` bases that overlap the next by at least 2 x CONTEXT, schema.CHUNKS."""
+    """Adds in_repeat and repeat_type: a listed repeat that touches the call (ends count), else a homopolymer between CONTEXT bases before its start
+    and as many after its stop. chunks: reference pieces of `chunk` bases that overlap the next by a homopolymer's length at least, schema.CHUNKS."""
     found = intervals.covered(calls, repeats, "chrom", ids, closed=True)
     if chunks is None:
         near = found.withColumn("_run", F.lit(False))
     else:
-        left = F.greatest(F.lit(0), F.col("start") - CONTEXT)
-        keyed = found.withColumn("_chunk", (F.floor(left / chunk) * chunk).cast("bigint"))
-        pieces = chunks.select(F.col("chrom").alias("_c"), F.col("chunk_start").alias("_s"), "seq")
-        near = keyed.join(pieces, (F.col("chrom") == F.col("_c")) & (F.col("_chunk") == F.col("_s")), "left")
-        context = F.substring("seq", (left - F.col("_chunk") + 1).cast("int"), F.lit(2 * CONTEXT))
-        near = near.withColumn("_run", F.coalesce(has_homopolymer(context), F.lit(False))).drop("_c", "_s", "seq", "_chunk")
+        left, right = F.greatest(F.lit(0), F.col("start") - CONTEXT), F.col("stop") + CONTEXT
+        of_chunk = lambda at: (F.floor(at / chunk) * chunk).cast("bigint")
+        touched = F.sequence(of_chunk(left), F.greatest(of_chunk(left), of_chunk(right - 1)), F.lit(chunk).cast("bigint"))
+        keyed = found.select(*ids, left.alias("_left"), right.alias("_right"), F.explode(touched).alias("_s")).distinct()
+        pieces = chunks.select(F.col("chrom"), F.col("chunk_start").alias("_s"), "seq")
+        first = F.greatest(F.col("_left"), F.col("_s"))
+        part = F.substring("seq", (first - F.col("_s") + 1).cast("int"), F.greatest(F.lit(0), F.col("_right") - first).cast("int"))
+        runs = keyed.join(pieces, ["chrom", "_s"]).where(has_homopolymer(F.upper(part))).select(*ids).distinct()
+        near = found.join(runs.withColumn("_run", F.lit(True)), list(ids), "left").fillna(False, ["_run"])
     listed = F.col("covered") & ~F.col("is_complex")
     run = F.col("_run") & ~F.col("is_complex")
     return near.withColumn("in_repeat", listed | run).withColumn("repeat_type", F.when(listed, "tandem").when(run, "homopolymer")).drop("covered", "_run")

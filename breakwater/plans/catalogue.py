@@ -114,12 +114,12 @@ depths AS (SELECT chrom, ws AS start, we AS stop, count(*) AS depth, cast(sum(f)
 
 @query(sql("aln", "contigs") + DEPTHS + " SELECT * FROM depths")
 def depth_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return depth.window_depth(evidence.usable(view(spark, sf_dir, "aln")), contigs(spark), P.min_mapq).withColumn("distant_mappings", F.col("distant_mappings").cast("bigint"))
+    return depth.window_depth(evidence.usable(view(spark, sf_dir, "aln")), contigs(spark, sf_dir), P.min_mapq).withColumn("distant_mappings", F.col("distant_mappings").cast("bigint"))
 
 
 @query(sql("aln", "contigs") + DEPTHS + " SELECT chrom, start, stop, depth, CASE WHEN distant_mappings >= 3 THEN 'DEPTH_INTERSPERSED' ELSE 'DEPTH_TANDEM' END AS ev_type FROM depths WHERE depth > 2.0 * 1500 / 1000 * (3.8 - 0.5)")
 def depth_duplications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = depth.window_depth(evidence.usable(view(spark, sf_dir, "aln")), contigs(spark), P.min_mapq)
+    found = depth.window_depth(evidence.usable(view(spark, sf_dir, "aln")), contigs(spark, sf_dir), P.min_mapq)
     return depth.duplicated(found, 2.0, P.dup_depth_threshold).select("chrom", "start", "stop", "depth", "ev_type")
 
 
@@ -129,7 +129,7 @@ def depth_duplications(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT chrom, cast(k AS int) AS sample, k * step + 1000 AS start, least(k * step + 2000, length) AS stop FROM s WHERE k * step + 1000 < least(k * step + 2000, length)"""
 )
 def coverage_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return depth.sample_windows(contigs(spark))
+    return depth.sample_windows(contigs(spark, sf_dir))
 
 
 @query(
@@ -240,16 +240,16 @@ def point_in_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, translate(reverse(substr(text, 1, 80)), 'ATCG', 'TAGC') AS reverse_complement, regexp_matches(text, 'e{2}|t{2}|s{2}') AS doubled,
+    """SELECT doc_id, translate(array_to_string(list_reverse(regexp_extract_all(text, '(?s).')), ''), 'ATCG', 'TAGC') AS reverse_complement, regexp_matches(text, 'e{2}|t{2}|s{2}') AS doubled,
   substr(text, 1, 2) = substr(text, 3, 2) AND length(text) >= 4 AND NOT contains(substr(text, 1, 4), chr(10)) AS two, substr(text, 1, 3) = substr(text, 4, 3) AND length(text) >= 6 AND NOT contains(substr(text, 1, 6), chr(10)) AS three FROM documents"""
 )
 def base_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     text = F.col("text")
-    return docs.select("doc_id", bases.reverse_complement(F.substring("text", 1, 80)).alias("reverse_complement"), bases.has_homopolymer(text, 2, "ets").alias("doubled"), text.rlike(r"^(..)\1").alias("two"), text.rlike(r"^(...)\1").alias("three"))
+    return docs.select("doc_id", bases.reverse_complement(text).alias("reverse_complement"), bases.has_homopolymer(text, 2, "ets").alias("doubled"), text.rlike(r"^(..)\1").alias("two"), text.rlike(r"^(...)\1").alias("three"))
 
 
-REGION = """, reg AS (SELECT c.call_id, c.chrom, greatest(0, c.start - 1000) AS rs, least(g.length, CASE WHEN c.sv_type = 'BND' THEN c.start WHEN c.stop > c.start THEN c.stop ELSE c.start + greatest(c.size, 1) END + 1000) AS re
+REGION = """, reg AS (SELECT c.call_id, c.chrom, least(greatest(0, c.start - 1000), g.length - 1) AS rs, least(g.length, CASE WHEN c.sv_type = 'BND' THEN c.start WHEN c.stop > c.start THEN c.stop ELSE c.start + greatest(c.size, 1) END + 1000) AS re
   FROM cand c JOIN contigs g ON g.chrom = c.chrom)"""
 
 
@@ -267,7 +267,7 @@ SELECT call_id, alt AS alt_support, ref AS ref_support, CASE WHEN alt + ref = 0
 )
 def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "cand").withColumn("reads", F.array_distinct(F.array((F.col("call_id") % 50).cast("string"), (F.col("call_id") % 77).cast("string"))))
-    found = genotyping.genotype(rows, evidence.usable(view(spark, sf_dir, "aln")), contigs(spark), P)
+    found = genotyping.genotype(rows, evidence.usable(view(spark, sf_dir, "aln")), contigs(spark, sf_dir), P)
     return found.select("call_id", "alt_support", "ref_support", "genotype", "genotype_qual", F.round("af", 6).alias("af"))
 
 
@@ -395,7 +395,8 @@ def genotype_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     sql("cand")
     + """, b AS (SELECT sv_type, size, cast(least(23, greatest(0, floor((log10(size) - log10(10e0)) / ((log10(1e6) - log10(10e0)) / 24)))) AS bigint) AS bin FROM cand WHERE filter = 'PASS' AND size > 0)
-SELECT sv_type, bin, count(*) AS n, quantile_cont(size, 0.5) AS median FROM b GROUP BY 1, 2"""
+, m AS (SELECT sv_type, quantile_cont(size, 0.5) AS median FROM b GROUP BY 1)
+SELECT sv_type, bin, count(*) AS n, any_value(median) AS median FROM b JOIN m USING (sv_type) GROUP BY 1, 2"""
 )
 def size_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.size_histogram(view(spark, sf_dir, "cand"))

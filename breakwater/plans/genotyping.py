@@ -12,12 +12,13 @@ PAD, STRAND_READS = 1000, 50
 
 
 def regions(calls: DataFrame, contigs: DataFrame) -> DataFrame:
-    """call_id, chrom, start, stop of what is looked at around a call, cut at the contig; calls on no known contig have none."""
+    """call_id, chrom, start, stop of what is looked at around a call, cut at the contig, of which a call beyond it has the last
+    base; calls on no known contig have none."""
     lengths = contigs.select("chrom", "length")
     bnd = F.col("sv_type") == "BND"
     stop = F.when(bnd, F.col("start")).when(F.col("stop") > F.col("start"), F.col("stop")).otherwise(F.col("start") + F.greatest("size", F.lit(1)))
     rows = calls.join(lengths, "chrom")
-    return rows.select("call_id", "chrom", F.greatest(F.lit(0), F.col("start") - PAD).alias("start"), F.least("length", stop + PAD).alias("stop")).where("start < stop")
+    return rows.select("call_id", "chrom", F.least(F.greatest(F.lit(0), F.col("start") - PAD), F.col("length") - 1).alias("start"), F.least("length", stop + PAD).alias("stop")).where("start < stop")
 
 
 def genotype_of(af: Column) -> Column:

@@ -53,10 +53,12 @@ def genotype_classes(calls: DataFrame) -> DataFrame:
 
 
 def size_histogram(calls: DataFrame, low: float = 10.0, high: float = 1e6, bins: int = 24) -> DataFrame:
-    """By type, how many sizes fall into each of `bins` equal parts of the logarithm between low and high, and their median size."""
+    """By type, how many sizes fall into each of `bins` equal parts of the logarithm between low and high, and the median of all sizes of the
+    type."""
     step = F.floor((F.log10("size") - F.log10(F.lit(low))) / ((F.log10(F.lit(high)) - F.log10(F.lit(low))) / bins)).cast("bigint")
     rows = calls.where((F.col("filter") == "PASS") & (F.col("size") > 0)).withColumn("bin", F.least(F.lit(bins - 1), F.greatest(F.lit(0), step)).cast("bigint"))
-    return rows.groupBy("sv_type", "bin").agg(F.count("*").alias("n"), F.percentile("size", F.lit(0.5)).alias("median"))
+    medians = rows.groupBy("sv_type").agg(F.percentile("size", F.lit(0.5)).alias("median"))
+    return rows.groupBy("sv_type", "bin").agg(F.count("*").alias("n")).join(medians, "sv_type")
 
 
 def caller_overlap(calls: DataFrame, width: int = 100) -> DataFrame:

@@ -35,7 +35,7 @@ def parsed(records: DataFrame) -> DataFrame:
     gt = fields.genotype(F.col("format"), F.col("sample"))
     return rows.select(
         "chrom", pos.alias("pos"), stop.alias("stop"), "id", F.when(F.startswith(kind, F.lit("DUP")), "DUP").otherwise(kind).alias("type"), "alt", size.alias("size"),
-        F.coalesce(of("SUPPORT"), of("RE")).try_cast("double").alias("support"), of("AF").try_cast("double").alias("af"), "filter", F.coalesce(F.col("qual").try_cast("double"), F.lit(0.0)).alias("qual"),
+        F.coalesce(of("SUPPORT").try_cast("double"), F.lit(0.0)).alias("support"), F.coalesce(of("AF").try_cast("double"), F.lit(0.0)).alias("af"), "filter", F.coalesce(F.col("qual").try_cast("double"), F.lit(0.0)).alias("qual"),
         fields.repeat_flag(of("REPEAT")).alias("in_repeat"), fields.repeat_label(of("REPEAT")).alias("repeat_type"), parts.alias("components"), dup.alias("dup_subtype"), gt.alias("genotype"), fields.genotype_class(gt).alias("gt_class"),
         F.concat_ws(":", "chrom", fields.bucket(pos, 1000).cast("string"), kind).alias("key"),
     )

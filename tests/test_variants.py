@@ -239,3 +239,17 @@ def test_stream(spark, tmp_path):
     q.stop()
     got = {str(r.start): r.n for r in spark.table("windows").collect()}
     assert got["2024-01-01 00:00:00"] == 2 and got["2024-01-01 00:15:00"] == 1
+
+
+def test_homopolymers_beside_a_call(spark):
+    """Twelve equal bases between 20 before the start and 20 after the stop count, in whatever chunk they lie."""
+    seq = ["AC"[i % 2] for i in range(30_000)]
+    for at in (9_995, 20_112, 25_000):
+        seq[at : at + 12] = "T" * 12
+    whole = "".join(seq)
+    chunks = spark.createDataFrame([("chr1", s, whole[s : s + 10_100]) for s in range(0, 30_000, 10_000)], "chrom string, chunk_start long, seq string")
+    rows = [("DEL", 9_000, 20_105, True), ("DEL", 10_027, 20_000, False), ("DEL", 10_020, 10_030, False), ("INS", 10_010, 10_010, True), ("DUP", 24_000, 26_000, True), ("INV", 3, 9_960, False), ("INV", 3, 9_986, False), ("INV", 3, 9_987, True)]
+    made = spark.createDataFrame([(k, "chr1", a, z, False) for k, a, z, _ in rows], "sv_type string, chrom string, start long, stop long, is_complex boolean")
+    none = spark.createDataFrame([], "chrom string, start long, stop long, info string")
+    got = {(r.sv_type, r.start, r.stop): r.repeat_type for r in calls.with_repeats(made, none, chunks).collect()}
+    assert got == {(k, a, z): "homopolymer" if is_in else None for k, a, z, is_in in rows}
