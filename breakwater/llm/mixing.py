@@ -24,16 +24,21 @@ from .common import salted_join
 
 RATE_PART = 16.0
 BROADCAST_SOURCES = 10_000
-NAMES = ("_source", "_copies", "_cdf", "_parts", "_rate")
 
 
 def _source(col: str) -> Column:
     return F.coalesce(F.concat(F.lit("s"), F.col(col).cast("string")), F.lit("-"))
 
 
-def uniform(seed: int, id_col: str, part: Column) -> Column:
-    """A number in [0, 1) with 52 bits, from the hash of seed, id and part."""
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), part.cast("string")))
+def name_of(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """What a row's draws hang on: its id, or where it has none its text."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")) if text_col in docs.columns else F.lit("")
+    return F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null"), F.md5(text.cast("binary"))))
+
+
+def uniform(seed: int, name: Column, part: Column) -> Column:
+    """A number in [0, 1) with 52 bits, from the hash of seed, name and part."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), name, part.cast("string")))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
@@ -67,36 +72,37 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, targe
     return rated.select("_source", "_rate", "_parts", cumulative(F.col("_rate") / F.col("_parts")).alias("_cdf"))
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, target: int | None = None, temper: float = 0.5, seed: int = 42, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, target: int | None = None, temper: float = 0.5, seed: int = 42, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """docs with each row as often as it is drawn, in a global order by shuffle_key; copy counts a row's repetitions from 0."""
     docs = docs.drop("copy", "shuffle_key")
     rated = rates(docs, weights, target, temper, source_col)
     few = rated.agg(F.count("*")).first()[0] <= BROADCAST_SOURCES
-    rows = docs.withColumn("_source", _source(source_col))
-    met = rows.join(F.broadcast(rated), "_source") if few else salted_join(rows, rated, "_source", id_col)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), _source(source_col).alias("_source"), name_of(docs, id_col, text_col).alias("_name"))
+    met = rows.join(F.broadcast(rated), "_source") if few else salted_join(rows, rated, "_source", "_name")
     parts = F.sequence(F.lit(0), F.col("_parts") - 1)
-    draws = F.transform(parts, lambda p: (u := uniform(seed, id_col, p)) * 0 + F.size(F.filter(F.col("_cdf"), lambda c: c <= u)))
+    draws = F.transform(parts, lambda p: (u := uniform(seed, F.col("_name"), p)) * 0 + F.size(F.filter(F.col("_cdf"), lambda c: c <= u)))
     copies = F.aggregate(draws, F.lit(0.0), lambda a, x: a + x).cast("int")
     drawn = met.withColumn("_copies", copies).where("_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
-    key = F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("copy").cast("string")))
-    out = drawn.withColumn("shuffle_key", F.substring(key, 1, 16)).drop(*NAMES)
+    key = F.md5(F.concat_ws("|", F.lit(f"order{seed}"), "_name", F.col("copy").cast("string")))
+    out = drawn.select("row.*", "copy", F.substring(key, 1, 16).alias("shuffle_key"))
     return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
 ORACLE = """
-WITH counts AS (SELECT coalesce('s' || source, '-') AS src, count(*) AS n FROM documents GROUP BY 1),
+WITH named AS (SELECT *, coalesce(doc_id::VARCHAR, 'null' || md5(coalesce(text, ''))) AS name, coalesce('s' || source, '-') AS src FROM documents),
+counts AS (SELECT coalesce('s' || source, '-') AS src, count(*) AS n FROM documents GROUP BY 1),
 sums AS (SELECT sum(n) AS everything, sum(pow(n, 0.5)) AS weight FROM counts),
 rated AS (SELECT src, round(everything * pow(n, 0.5) / weight / n, 9) AS rate FROM counts, sums),
 parted AS (SELECT src, greatest(1, ceil(rate / 16.0))::INT AS parts, rate / greatest(1, ceil(rate / 16.0)) AS mean FROM rated),
 terms AS (SELECT src, k, exp(k * ln(mean) - mean - lgamma(k + 1)) AS p FROM parted, range(0, 200) AS r(k)),
 cdf AS (SELECT src, k, sum(p) OVER (PARTITION BY src ORDER BY k) AS c FROM terms),
 draws AS (
-  SELECT d.doc_id, d.src, p.part, ('0x' || substr(md5('42|' || coalesce(d.doc_id::VARCHAR, 'null') || '|' || p.part), 1, 13))::UBIGINT::DOUBLE / 4503599627370496.0 AS u
-  FROM (SELECT DISTINCT doc_id, coalesce('s' || source, '-') AS src FROM documents) d JOIN parted USING (src), range(0, parted.parts) AS p(part)
+  SELECT d.name, d.src, p.part, ('0x' || substr(md5('42|' || d.name || '|' || p.part), 1, 13))::UBIGINT::DOUBLE / 4503599627370496.0 AS u
+  FROM (SELECT DISTINCT name, src FROM named) d JOIN parted USING (src), range(0, parted.parts) AS p(part)
 ),
 copies AS (
-  SELECT d.doc_id, d.src, count(*) AS n FROM draws d JOIN cdf ON d.src = cdf.src AND cdf.c <= d.u AND cdf.k < 190 GROUP BY 1, 2
+  SELECT d.name, d.src, count(*) AS n FROM draws d JOIN cdf ON d.src = cdf.src AND cdf.c <= d.u AND cdf.k < 190 GROUP BY 1, 2
 )
-SELECT d.*, c.copy::INT AS copy, substr(md5('order42|' || coalesce(d.doc_id::VARCHAR, 'null') || '|' || c.copy), 1, 16) AS shuffle_key
-FROM documents d JOIN copies k ON d.doc_id IS NOT DISTINCT FROM k.doc_id AND coalesce('s' || d.source, '-') = k.src, range(0, k.n) AS c(copy)
+SELECT d.* EXCLUDE (name, src), c.copy::INT AS copy, substr(md5('order42|' || d.name || '|' || c.copy), 1, 16) AS shuffle_key
+FROM named d JOIN copies k ON d.name = k.name AND d.src = k.src, range(0, k.n) AS c(copy)
 """

@@ -65,14 +65,18 @@ def _cell(k: int):
             tile = xc.astype(exact).T
             for at in range(0, len(q), STRIP):
                 rows = slice(at, at + STRIP)
-                near = (qc[rows].astype(exact) @ tile).astype(np.float64) * qs[rows, None] * xs
-                miss = (qe[rows, None] * norm + qn[rows, None] * xe) * (1 + 1e-9) + 1e-12 * (qn[rows, None] + qe[rows, None]) * norm
+                with np.errstate(over="ignore", invalid="ignore"):
+                    near = (qc[rows].astype(exact) @ tile).astype(np.float64) * qs[rows, None] * xs
+                    miss = (qe[rows, None] * norm + qn[rows, None] * xe) * (1 + 1e-9) + 1e-12 * (qn[rows, None] + qe[rows, None]) * norm
+                unbounded = ~np.isfinite(near + miss)  # beyond double precision: such pairs survive and are recomputed
+                near[unbounded], miss[unbounded] = 0, np.inf
                 own = query_ids[rows, None] == ids
                 low = near - miss
                 low[own] = -np.inf
                 floor = np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(low), -np.inf)
                 r, c = np.nonzero((near + miss >= floor[:, None]) & ~own)
                 score = np.concatenate([np.zeros(0), *(_products(q[at + r[i : i + 65536]], x[c[i : i + 65536]]) for i in range(0, len(r), 65536))])
+                score[np.isnan(score)] = -np.inf  # infinity less infinity: last
                 order = np.lexsort((ids[c], -score, r))
                 r, c, score = r[order], c[order], score[order]
                 nth = np.arange(len(r)) - np.searchsorted(r, r)

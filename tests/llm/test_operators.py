@@ -1,5 +1,6 @@
 """The corpus operators against brute force on small tables, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import hashlib
 import itertools
 import zlib
 from collections import Counter, defaultdict
@@ -73,6 +74,8 @@ def test_neighbours(spark):
         want += [(q, k, i) for k, (_, i) in enumerate(s, 1)]
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == want
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    far = neighbours.nearest(spark.createDataFrame([(k, [k * 1e200, 1.0]) for k in range(60)], "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in far) == [(0, k, k) for k in range(1, 21)] + [(q, k + 1, i) for q in (20, 40) for k, i in enumerate([i for i in range(1, 60) if i != q][:20])]
 
 
 def test_language_model(spark, docs, none):
@@ -129,7 +132,8 @@ def test_mixture(spark, docs, none):
         rate = round(60 * {"s0": 3, "s1": 1, None: 1}.get(r.source, 0) / 5 / sizes["s" + r.source if r.source else "-"], 9)
         parts = max(1, int(np.ceil(rate / 16)))
         for p in range(parts):
-            u = int(__import__("hashlib").md5(f"42|{'null' if r.doc_id is None else r.doc_id}|{p}".encode()).hexdigest()[:13], 16) / 2**52
+            name = f"null{hashlib.md5((r.text or '').encode()).hexdigest()}" if r.doc_id is None else r.doc_id
+            u = int(hashlib.md5(f"42|{name}|{p}".encode()).hexdigest()[:13], 16) / 2**52
             k, term = 0, np.exp(-rate / parts)
             total = term
             while total <= u:
@@ -138,6 +142,10 @@ def test_mixture(spark, docs, none):
                 total += term
             want[r.doc_id, r.text] += k
     assert got == +want
+    clash = docs.withColumns({"_source": F.lit(1), "_copies": F.lit(2), "row": F.lit(3), "_name": F.lit(4)})
+    assert mixing.mix(clash).columns == [*(c for c in clash.columns if c != "copy"), "copy", "shuffle_key"]
+    blank = spark.range(4000).selectExpr("cast(null as long) AS doc_id", "concat('text ', id) AS text", "'a' AS source")
+    assert len({r.shuffle_key for r in mixing.mix(blank).collect()}) > 2000
     assert mixing.mix(none).count() == 0 and mixing.mix(docs, {}).count() == 0
     big = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS source")
     n = Counter(r.source for r in mixing.mix(big, {"a": 0.5, "b": 0.5}, target=6000).collect())
