@@ -1,14 +1,16 @@
 """Operator 5: licence scans by sentence-rule recognition, in DataFrame functions only.
 
-A text is cut into sentences at line ends and at . ! ? ; : before white space. Each sentence is normalised (A-Z to lower case, all but a-z and
-0-9 to one blank) and looked up among the known licence sentences; one that is not known becomes a gap, and gaps in a row are one. The
-resulting sequence of identifiers is matched against the rules in their order, longer ones first: a rule's identifiers must stand side by
-side, and what a rule has matched no later rule uses again. Identifiers that no rule matched are reported as leftovers.
+A text is cut into sentences at . ! ? ; : before white space, at blank lines (lines without a-z and 0-9, so a comment's frame counts as blank),
+at numbers of lists at the start of a line and around SPDX lines; copyright lines are left out. A sentence may be wrapped over lines. It is
+normalised (A-Z to lower case, all but a-z and 0-9 to one blank) and looked up among the known licence sentences; if it is not known, its lines
+are looked up one by one; what is still not known becomes a gap, and gaps in a row are one. The resulting sequence of identifiers is matched
+against the rules in their order, longer ones first: a rule's identifiers must stand side by side, and what a rule has matched no later rule uses
+again. Identifiers that no rule matched are reported as leftovers.
 
 No row meets another: one scan, no shuffle, and a hot source or a group of copies is nothing special. Both tables are constants of the plan.
 
-Edge cases: null and empty texts have no sentences, no licences and no leftovers; repeated rows each give a row; a null id stays null; an
-empty table gives no rows; only the id and text columns are read.
+Edge cases: null and empty texts have no sentences, no licences and no leftovers; sentences of a lone letter or of one or two digits (numbers of
+lists) and "all rights reserved" don't count; repeated rows each give a row; a null id stays null; an empty table gives no rows; only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import chain
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Licence sentences as published, normalised: fixed values.
@@ -42,54 +44,139 @@ SENTENCES = {
     "GPL-3-PLUS": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "GPL-2-PLUS": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
     "LGPL-REF": "this library is licensed under the gnu lesser general public license",
-    "MPL-2-REF": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "CC-BY-REF": "licensed under cc by 4 0",
     "CC-BY-SA-REF": "licensed under cc by sa 4 0",
     "CC-BY-NC-REF": "licensed under cc by nc 4 0",
     "CC0-REF": "licensed under cc0 1 0",
     "PD-REF": "this work is in the public domain",
+    "MIT-TITLE-2": "the mit license",
+    "MIT-TITLE-3": "the mit license mit",
+    "APACHE-URL": "http www apache org licenses license 2 0",
+    "APACHE-URL-2": "https www apache org licenses license 2 0",
+    "APACHE-AS-IS": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    "APACHE-SEE": "see the license for the specific language governing permissions and limitations under the license",
+    "APACHE-TEXT": "apache license version 2 0 january 2004 http www apache org licenses",
+    "LIBRARY-FREE": "this library is free software",
+    "GPL-2-TEXT": "gnu general public license version 2 june 1991",
+    "GPL-3-TEXT": "gnu general public license version 3 29 june 2007",
+    "LGPL-2.1-TEXT": "gnu lesser general public license version 2 1 february 1999",
+    "LGPL-3-TEXT": "gnu lesser general public license version 3 29 june 2007",
+    "AGPL-3-TEXT": "gnu affero general public license version 3 19 november 2007",
+    "MPL-2-REF": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "MPL-2-COPY": "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+    "MPL-2-COPY-2": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "MPL-2-TEXT": "mozilla public license version 2 0",
+    "ISC-TITLE": "isc license",
+    "ISC-GRANT": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "ISC-GRANT-2": "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "0BSD-GRANT": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "BSL-REF": "distributed under the boost software license version 1 0",
+    "BSL-TEXT": "boost software license version 1 0 august 17th 2003",
+    "UNLICENSE-FREE": "this is free and unencumbered software released into the public domain",
+    "UNLICENSE-ANYONE": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "CC-BY-LONG": "this work is licensed under a creative commons attribution 4 0 international license",
+    "CC-BY-LONG-2": "this work is licensed under the creative commons attribution 4 0 international license",
+    "CC-BY-SA-LONG": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+    "CC-BY-SA-LONG-2": "this work is licensed under the creative commons attribution sharealike 4 0 international license",
+    "CC-BY-NC-LONG": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
+    "CC-BY-NC-LONG-2": "this work is licensed under the creative commons attribution noncommercial 4 0 international license",
 }
 
-# Rules in order: licence, identifiers side by side.
-RULES = (
-    ("MIT", ("MIT-TITLE", "MIT-GRANT", "MIT-NOTICE", "MIT-AS-IS", "MIT-LIABILITY")),
-    ("MIT", ("MIT-GRANT", "MIT-NOTICE", "MIT-AS-IS", "MIT-LIABILITY")),
-    ("BSD-3-Clause", ("BSD-GRANT", "BSD-SOURCE", "BSD-BINARY", "BSD-ENDORSE")),
-    ("BSD-2-Clause", ("BSD-GRANT", "BSD-SOURCE", "BSD-BINARY")),
-    ("Apache-2.0", ("APACHE-2-HEAD", "APACHE-USE", "APACHE-COPY")),
-    ("GPL-3.0-or-later", ("GPL-FREE", "GPL-3-PLUS")),
-    ("GPL-2.0-or-later", ("GPL-FREE", "GPL-2-PLUS")),
-    ("MIT", ("MIT-REF",)),
-    ("MIT", ("MIT-REF-2",)),
-    ("Apache-2.0", ("APACHE-2-REF",)),
-    ("GPL-3.0-only", ("GPL-3-REF",)),
-    ("GPL-2.0-only", ("GPL-2-REF",)),
-    ("LGPL", ("LGPL-REF",)),
-    ("MPL-2.0", ("MPL-2-REF",)),
-    ("CC-BY-4.0", ("CC-BY-REF",)),
-    ("CC-BY-SA-4.0", ("CC-BY-SA-REF",)),
-    ("CC-BY-NC-4.0", ("CC-BY-NC-REF",)),
-    ("CC0-1.0", ("CC0-REF",)),
-    ("Public-domain", ("PD-REF",)),
-)
+# The notices of the GNU licences: "you can redistribute it ... under the terms of ...", whose second half a semicolon may part.
+GNU = {"GPL": "general", "LGPL": "lesser general", "AGPL": "affero general"}
+GNU_VERSIONS = {"GPL": ("2", "3"), "LGPL": ("2.1", "3"), "AGPL": ("3",)}
+for _family, _name in GNU.items():
+    _terms = f"you can redistribute it and or modify it under the terms of the gnu {_name} public license"
+    SENTENCES[f"{_family}-TERMS"] = f"{_terms} as published by the free software foundation"
+    for _v in GNU_VERSIONS[_family]:
+        _said = _v.replace(".", " ")
+        SENTENCES[f"EITHER-{_v}"] = f"either version {_said} of the license or at your option any later version"
+        SENTENCES[f"{_family}-{_v}-PLUS"] = f"{_terms} as published by the free software foundation either version {_said} of the license or at your option any later version"
+        SENTENCES[f"{_family}-{_v}-TERMS"] = f"{_terms} version {_said} as published by the free software foundation"
+
+# SPDX lines name a licence by its identifier.
+SPDX = "MIT BSD-2-Clause BSD-3-Clause 0BSD ISC Apache-2.0 MPL-2.0 BSL-1.0 Unlicense CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later".split()
+OLD_SPDX = {f"{x}{plus}": x + to for x in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0") for plus, to in (("", "-only"), ("+", "-or-later"))}
+TAG = "spdx license identifier "
+for _name in [*SPDX, *OLD_SPDX]:
+    SENTENCES[f"SPDX-{_name}"] = TAG + _name.lower().replace("+", "-plus").replace("-", " ").replace(".", " ")
+
+
+def _rules() -> list[tuple[str, tuple[str, ...]]]:
+    """Rules in order: licence, identifiers side by side."""
+    mit = ("MIT-GRANT", "MIT-NOTICE", "MIT-AS-IS", "MIT-LIABILITY")
+    out = [("MIT", (title, *mit)) for title in ("MIT-TITLE", "MIT-TITLE-2", "MIT-TITLE-3")] + [("MIT", mit)]
+    out += [("BSD-3-Clause", ("BSD-GRANT", "BSD-SOURCE", "BSD-BINARY", "BSD-ENDORSE")), ("BSD-2-Clause", ("BSD-GRANT", "BSD-SOURCE", "BSD-BINARY"))]
+    apache = ("APACHE-2-HEAD", "APACHE-USE", "APACHE-COPY")
+    out += [("Apache-2.0", (*apache, url, "APACHE-AS-IS", "APACHE-SEE")) for url in ("APACHE-URL", "APACHE-URL-2")] + [("Apache-2.0", apache)]
+    for family, versions in GNU_VERSIONS.items():
+        for v in versions:
+            licence = f"{family}-{v}" + ("" if "." in v else ".0")
+            for free in ("GPL-FREE", "LIBRARY-FREE"):
+                out += [(f"{licence}-or-later", (free, f"{family}-TERMS", f"EITHER-{v}")), (f"{licence}-or-later", (free, f"{family}-{v}-PLUS")), (f"{licence}-only", (free, f"{family}-{v}-TERMS"))]
+            out.append((f"{licence}-only", (f"{family}-{v}-TEXT",)))
+    out += [("MPL-2.0", ("MPL-2-REF", copy)) for copy in ("MPL-2-COPY", "MPL-2-COPY-2")]
+    out += [("ISC", ("ISC-TITLE", grant)) for grant in ("ISC-GRANT", "ISC-GRANT-2")] + [("ISC", ("ISC-GRANT",)), ("ISC", ("ISC-GRANT-2",)), ("0BSD", ("0BSD-GRANT",))]
+    out += [("Unlicense", ("UNLICENSE-FREE", "UNLICENSE-ANYONE")), ("Unlicense", ("UNLICENSE-FREE",))]
+    alone = {
+        "MIT": ("MIT-REF", "MIT-REF-2"), "Apache-2.0": ("APACHE-2-REF", "APACHE-2-HEAD", "APACHE-TEXT"), "GPL-3.0-only": ("GPL-3-REF",), "GPL-2.0-only": ("GPL-2-REF",), "LGPL": ("LGPL-REF",),
+        "MPL-2.0": ("MPL-2-REF", "MPL-2-TEXT"), "BSL-1.0": ("BSL-REF", "BSL-TEXT"), "CC-BY-4.0": ("CC-BY-REF", "CC-BY-LONG", "CC-BY-LONG-2"), "CC-BY-SA-4.0": ("CC-BY-SA-REF", "CC-BY-SA-LONG", "CC-BY-SA-LONG-2"),
+        "CC-BY-NC-4.0": ("CC-BY-NC-REF", "CC-BY-NC-LONG", "CC-BY-NC-LONG-2"), "CC0-1.0": ("CC0-REF",), "Public-domain": ("PD-REF",),
+    }
+    out += [(licence, (i,)) for licence, ids in alone.items() for i in ids]
+    return out + [(licence, (f"SPDX-{name}",)) for name, licence in (dict(zip(SPDX, SPDX, strict=True)) | OLD_SPDX).items()]
+
+
+RULES = tuple(_rules())
 
-ENDS = r"[.!?;:]+[ \t\r\n]+|\n"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# In turn, on lower-case text after a line end: what it finds and what stands for it; a form feed ends a sentence.
+CUTS = (
+    (r"\r\n?", "\n"),
+    (r"\bv\.[ \t]+([0-9])", "v {1}"),
+    (r"spdx-license-identifier:[ \t]*([^\n]*)", "\f@{1}\f"),
+    (r"\n[^a-z0-9\n\f]*\n", "\f"),
+    (r"[\n\f][^a-z0-9@\n\f]*(?:[0-9]{1,2}|[a-z])[.)][ \t]+", "\f"),
+    (r"[\n\f][^a-z0-9@\n\f]*copyright[ \t]+(?:\(c\)|©|[0-9]{4})[^\n\f]*", "\f"),
+    (r"[.!?;:][\"')\]]*[ \t\n]+", "\f"),
+)
+ENDORSE = ("neither the names? of .+ nor the names of its contributors", "neither the name of the copyright holder nor the names of its contributors")
+NO_SENTENCE = "^([0-9]{0,2}|[a-z]|all rights reserved)$"
+
+
+def _plain(s: Column) -> Column:
+    return F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
+
+
+def _spdx(s: Column) -> Column:
+    """The normalised sentences of an SPDX line: one for each licence of its expression."""
+    return F.transform(F.split(F.replace(F.substring(s, 2, 1 << 30), F.lit("+"), F.lit("-plus")), r"[ \t](?:or|and|with)[ \t]"), lambda x: F.concat(F.lit(TAG), _plain(x)))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] | None = None, rules: tuple = RULES) -> DataFrame:
     """doc_id, n_sentences, sentence_ids, licences (in text order, repeats kept), n_licences, leftovers of every document. Lists are joined by commas."""
-    known = SENTENCES if sentences is None else sentences
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    lines = F.regexp_replace(F.translate(F.regexp_replace(text, ENDS, "\n"), UPPER, LOWER), r"[^a-z0-9\n]+", " ")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.filter(F.transform(F.split(lines, "\n"), lambda s: F.trim(s)), lambda s: s != "").alias("_sentences"))
-    ids = F.create_map(*chain.from_iterable((F.lit(s), F.lit(i)) for i, s in known.items()))
-    rows = rows.select("doc_id", F.size("_sentences").cast("long").alias("n_sentences"), F.transform("_sentences", lambda s: F.coalesce(F.try_element_at(ids, s), F.lit("-"))).alias("_ids"))
+    ids = F.create_map(*chain.from_iterable((F.lit(s), F.lit(i)) for i, s in (SENTENCES if sentences is None else sentences).items()))
+
+    def known(s: Column) -> Column:
+        return F.try_element_at(ids, s)
+
+    def names(x: Column) -> Column:
+        lines = F.filter(F.transform(F.split(x["raw"], "\n"), _plain), lambda s: s != "")
+        listed = F.transform(F.when(x["raw"].startswith("@"), _spdx(x["raw"])).otherwise(lines), lambda s: F.coalesce(known(s), F.lit("-")))
+        return F.when(x["id"].isNotNull(), F.array(x["id"])).when(x["raw"].startswith("@") | F.contains(x["raw"], F.lit("\n")), listed).otherwise(F.array(F.lit("-")))
+
+    text = F.concat(F.lit("\n"), F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, LOWER))
+    marked = F.replace(text, F.lit("@"), F.lit(" "))  # so that @ marks SPDX lines only
+    cut = reduce(lambda s, c: F.regexp_replace(s, c[0], c[1].replace("{1}", "$1")), CUTS, marked)
+    split = F.transform(F.split(cut, "\f"), lambda s: F.struct(s.alias("raw"), _plain(s).alias("whole")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.filter(split, lambda x: ~x["whole"].rlike(NO_SENTENCE)).alias("_sentences"))
+    named = F.transform("_sentences", lambda x: F.struct(x["raw"].alias("raw"), known(F.when(x["whole"].startswith("neither the name"), F.regexp_replace(x["whole"], *ENDORSE)).otherwise(x["whole"])).alias("id")))
+    rows = rows.select("doc_id", F.size("_sentences").cast("long").alias("n_sentences"), F.flatten(F.transform(named, names)).alias("_ids"))
     sequence = F.regexp_replace(F.concat(F.lit("<"), F.array_join("_ids", "><"), F.lit(">")), "(<->)+", "<->")
     rows = rows.withColumn("_found", F.filter("_ids", lambda i: i != "-"))
     matched = reduce(lambda s, rule: F.replace(s, F.lit("".join(f"<{i}>" for i in rule[1])), F.lit(f"<={rule[0]}>")), rules, sequence)
     rows = rows.withColumn("_matched", F.when(F.size("_found") > 0, matched).otherwise(""))
-    rows = rows.withColumn("_licences", F.regexp_extract_all("_matched", F.lit("<=([^>]+)>"), F.lit(1))).withColumn("_rest", F.regexp_extract_all("_matched", F.lit("<([A-Z][^>]*)>"), F.lit(1)))
+    rows = rows.withColumn("_licences", F.regexp_extract_all("_matched", F.lit("<=([^>]+)>"), F.lit(1))).withColumn("_rest", F.regexp_extract_all("_matched", F.lit("<([A-Z0-9][^>]*)>"), F.lit(1)))
     return rows.select("doc_id", "n_sentences", F.array_join("_found", ",").alias("sentence_ids"), F.array_join("_licences", ",").alias("licences"), F.size("_licences").cast("long").alias("n_licences"), F.array_join("_rest", ",").alias("leftovers"))
 
 
@@ -97,16 +184,30 @@ def oracle() -> str:
     """DuckDB SQL for scan() over documents with the tables above."""
     values = ", ".join(f"('{i}', '{s}')" for i, s in SENTENCES.items())
     matched = reduce(lambda s, rule: f"replace({s}, '{''.join(f'<{i}>' for i in rule[1])}', '<={rule[0]}>')", RULES, "seq")
+    cut = "chr(10) || translate(replace(coalesce(text, ''), '@', ' '), '" + UPPER + "', '" + LOWER + "')"
+    for find, put in CUTS:
+        pattern = find.replace("'", "''")
+        made = put.replace("{1}", "\\1").replace("\f", "' || chr(12) || '").replace("\n", "' || chr(10) || '")
+        cut = f"regexp_replace({cut}, '{pattern}', '{made}', 'g')"
+
+    def plain(s: str) -> str:
+        return f"trim(regexp_replace({s}, '[^a-z0-9]+', ' ', 'g'))"
+
     return rf"""
 WITH known AS (SELECT map_from_entries(list((s, i))) AS m FROM (VALUES {values}) t(i, s)),
-lines AS (
-  SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(translate(regexp_replace(coalesce(text, ''), '[.!?;:]+[ \t\r\n]+|\n', chr(10), 'g'),
-    '{UPPER}', '{LOWER}'), '[^a-z0-9\n]+', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents
+cuts AS (SELECT doc_id, string_split({cut}, chr(12)) AS s, row_number() OVER () AS doc FROM documents),
+parts AS (SELECT doc, unnest(s) AS raw, generate_subscripts(s, 1) AS nth FROM cuts),
+pieces AS (SELECT *, {plain("raw")} AS whole FROM parts),
+real AS (SELECT *, m[regexp_replace(whole, '^{ENDORSE[0]}', '{ENDORSE[1]}')] AS id FROM pieces, known WHERE NOT regexp_matches(whole, '{NO_SENTENCE}')),
+named AS (
+  SELECT doc, nth, CASE WHEN id IS NOT NULL THEN [id]
+    WHEN starts_with(raw, '@') THEN list_transform(regexp_split_to_array(replace(substr(raw, 2), '+', '-plus'), '[ \t](?:or|and|with)[ \t]'), lambda x: coalesce(m['{TAG}' || {plain("x")}], '-'))
+    ELSE list_transform(list_filter(list_transform(string_split(raw, chr(10)), lambda x: {plain("x")}), lambda x: x <> ''), lambda x: coalesce(m[x], '-')) END AS i FROM real
 ),
-ids AS (SELECT doc_id, len(s) AS n_sentences, list_transform(s, lambda x: coalesce(m[x], '-')) AS i FROM lines, known),
-seqs AS (SELECT doc_id, n_sentences, list_filter(i, lambda x: x <> '-') AS found, regexp_replace('<' || array_to_string(i, '><') || '>', '(<->)+', '<->', 'g') AS seq FROM ids),
+lists AS (SELECT doc, count(*) AS n_sentences, flatten(list(i ORDER BY nth)) AS i FROM named GROUP BY doc),
+seqs AS (SELECT doc, n_sentences, list_filter(i, lambda x: x <> '-') AS found, regexp_replace('<' || array_to_string(i, '><') || '>', '(<->)+', '<->', 'g') AS seq FROM lists),
 done AS (SELECT *, CASE WHEN len(found) > 0 THEN {matched} ELSE '' END AS m FROM seqs)
-SELECT doc_id, n_sentences, array_to_string(found, ',') AS sentence_ids, array_to_string(regexp_extract_all(m, '<=([^>]+)>', 1), ',') AS licences,
-  len(regexp_extract_all(m, '<=([^>]+)>', 1)) AS n_licences, array_to_string(regexp_extract_all(m, '<([A-Z][^>]*)>', 1), ',') AS leftovers
-FROM done
+SELECT doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(array_to_string(found, ','), '') AS sentence_ids, coalesce(array_to_string(regexp_extract_all(m, '<=([^>]+)>', 1), ','), '') AS licences,
+  coalesce(len(regexp_extract_all(m, '<=([^>]+)>', 1)), 0) AS n_licences, coalesce(array_to_string(regexp_extract_all(m, '<([A-Z0-9][^>]*)>', 1), ','), '') AS leftovers
+FROM cuts LEFT JOIN done USING (doc)
 """

@@ -2,9 +2,11 @@
 
 import hashlib
 import itertools
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -152,12 +154,128 @@ def test_mixture(spark, docs, none):
     assert abs(n["a"] - 3000) < 250 and abs(n["b"] - 3000) < 250
 
 
-def test_licences(spark, docs, none):
-    mit = ".\n".join(x.capitalize() for i, x in licences.SENTENCES.items() if i in ("MIT-GRANT", "MIT-NOTICE", "MIT-AS-IS", "MIT-LIABILITY"))
-    rows = [(1, mit), (2, "Foo. Licensed under the Apache License, Version 2.0.\nReleased under the MIT License!"), (3, "This program is free software; nothing"), (4, None), (5, "")]
-    got = {r.doc_id: (r.licences, r.leftovers) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: ("MIT", ""), 2: ("Apache-2.0,MIT", ""), 3: ("", "GPL-FREE"), 4: ("", ""), 5: ("", "")}
+MIT_TEXT = """The MIT License (MIT)
+
+Copyright (c) 2020 Some Holder. All rights.
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD_TEXT = """Copyright (c) 2019, Some Holder
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of Some Holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+"""
+APACHE_TEXT = """#!/usr/bin/env python
+# Copyright 2021 Some Holder
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+
+import os
+"""
+GNU_TEXT = """/*
+ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU %s Public License as published by
+ * the Free Software Foundation%s either version %s of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ */"""
+MPL_TEXT = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
+"""
+ISC_TEXT = """ISC License
+
+Copyright (c) 2018, Some Holder
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+LICENCE_CASES = [
+    (MIT_TEXT, "MIT", ""),
+    (MIT_TEXT.replace("\n", "\r\n"), "MIT", ""),
+    ("/**\n" + "".join(f" * {x}\n" for x in MIT_TEXT.split("\n")) + " */\nint x;", "MIT", ""),
+    (BSD_TEXT, "BSD-3-Clause", ""),
+    (BSD_TEXT.replace("1. ", "(1) ").replace("2. ", "(2) ").replace("3. ", "(3) "), "BSD-3-Clause", ""),
+    (BSD_TEXT[: BSD_TEXT.index("3. ")], "BSD-2-Clause", ""),
+    (APACHE_TEXT, "Apache-2.0", ""),
+    (GNU_TEXT % ("General", ";", "2"), "GPL-2.0-or-later", ""),
+    (GNU_TEXT % ("General", ",", "3"), "GPL-3.0-or-later", ""),
+    (GNU_TEXT % ("Lesser General", ";", "2.1"), "LGPL-2.1-or-later", ""),
+    (GNU_TEXT % ("Affero General", ",", "3"), "AGPL-3.0-or-later", ""),
+    (MPL_TEXT, "MPL-2.0", ""),
+    (ISC_TEXT, "ISC", ""),
+    ("// SPDX-License-Identifier: MIT\nint x;", "MIT", ""),
+    ("# SPDX-License-Identifier: (Apache-2.0 OR MIT)\nx = 1", "Apache-2.0,MIT", ""),
+    ("SPDX-License-Identifier: GPL-2.0+", "GPL-2.0-or-later", ""),
+    ("Foo. Licensed under the Apache License, Version 2.0.\nReleased under the MIT License!", "Apache-2.0,MIT", ""),
+    ("some words\nReleased under the MIT License\nmore words", "MIT", ""),
+    ("This program is free software; nothing", "", "GPL-FREE"),
+    ("an e-mail a@b.c; @MIT\n@", "", ""),
+    ("." * 300_000 + ")" * 300_000 + "\n" * 300_000 + "Released under the MIT License.", "MIT", ""),
+    (None, "", ""),
+    ("", "", ""),
+    (" \n\n\f1. a. ", "", ""),
+]
+
+
+def test_licences_as_published(spark, docs, none):
+    rows = [(k, text) for k, (text, *_) in enumerate(LICENCE_CASES)] * 2 + [(None, MIT_TEXT)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = licences.scan(df).collect()
+    assert sorted((r.doc_id, r.licences, r.leftovers) for r in got if r.doc_id is not None) == sorted((k, *want) for k, (_, *want) in enumerate(LICENCE_CASES) for _ in range(2))
+    assert [r.licences for r in got if r.doc_id is None] == ["MIT"]
     assert licences.scan(docs).where("n_licences = 1").count() == 1 and licences.scan(none).count() == 0
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert sorted(map(str, con.execute(licences.oracle()).fetchall())) == sorted(str(tuple(r)) for r in got)
+
+
+def test_every_licence_sentence_is_reachable(spark):
+    """Each known sentence, wrapped at 60 columns, is one sentence with its own identifier."""
+    rows = [(i, "\n".join(textwrap.wrap(s, 60))) for i, s in licences.SENTENCES.items() if not s.startswith(licences.TAG)]
+    got = {r.doc_id: r.sentence_ids for r in licences.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert all(found == i for i, found in got.items()) and len(got) == len(rows)
 
 
 def test_audio(spark, docs):
