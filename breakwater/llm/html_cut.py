@@ -19,6 +19,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,14 +30,19 @@ from pyspark.sql import functions as F
 TOKEN = re.compile(r"""<(?:!--|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|[!?/][^>]*+>)""")
 MARKS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.IGNORECASE)
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-SILENT = frozenset("script style noscript template textarea title iframe object svg math select option button canvas audio video datalist".split())
+SILENT = frozenset("script style noscript template textarea title iframe object svg select option button canvas audio video datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-ENDS_OWN = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
-STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
+# What a start tag closes: these elements, as far out as the nearest of those. Any block closes "p".
+CLOSES = {
+    "p": (("p",), ("table", "td", "th", "button")), "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)),
+    "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")),
+}
+CLOSED_BY = {"li": 1, "dt": 2, "dd": 2, "tr": 3, "td": 4, "th": 4}  # their numbers in CLOSES
+NAMED = frozenset(x for own, stops in CLOSES.values() for x in (*own, *stops))
 BAD_WORDS = frozenset("ad ads advert adverts advertisement banner sponsor sponsored promo cookie cookies consent notice alert popup modal nav navbar navigation menu breadcrumb breadcrumbs sidebar widget footer foot masthead toolbar share sharing social related recommended comment comments disqus respond reply replies subscribe newsletter signup login search pagination pager complementary contentinfo banner".split())
 GOOD_WORDS = frozenset("article content entry post story main body text".split())
 WORD = re.compile(r"[a-z]+")
-STATES = frozenset("has no not is with without open closed enabled disabled".split())  # such a name says what the page has, not what the element is
+STATES = frozenset("has no not is with without free less open closed enabled disabled".split())  # such a name says what the page has, not what the element is
 WHOLE = frozenset("html body article main".split())  # what they are called is no reason to drop what they hold
 
 # What an ancestor adds to the log odds; the strongest of each sign counts.
@@ -48,11 +54,25 @@ BAD, GOOD = -9.0, 2.0
 class Block:
     text: str
     linked: int  # characters in links
-    path: tuple[int, ...]  # numbers of the elements it stands in
+    leaf: int  # the innermost block element it stands in
     odds: float  # from its ancestors
     name: str
 
 
+@dataclass(slots=True)
+class Open:
+    """An open element, with what its ancestors hand down: every step of the parser is then free of their number."""
+
+    name: str
+    low: float  # odds so far
+    high: float
+    suspect: int  # innermost element around called by a bad word
+    over: int  # landmarks around
+    leaf: int  # innermost block element
+    closes: tuple[int, ...]  # by CLOSES: where in the stack the outermost element stands that such a tag would close, or 0
+    article: bool
+
+
 def _standing(name: str, attributes: str) -> tuple[float, bool]:
     """The log odds that an element gives to what it holds, and whether it is called by a bad word."""
     odds = INSIDE.get(name, 0.0)
@@ -65,33 +85,38 @@ def _standing(name: str, attributes: str) -> tuple[float, bool]:
     return odds, False
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's blocks of text, in order. An element called by a bad word spoils what it holds, unless that is most of the page's text and
-    no article, main or element called by a good word stands elsewhere."""
+def blocks(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
+    """The page's blocks of text, in order, and of each block element its parent and depth. An element called by a bad word spoils what it
+    holds, unless that is most of the page's text and no article, main or element called by a good word stands elsewhere."""
     out: list[Block] = []
-    # name, number, lowest and highest odds so far, elements around called by bad words, landmarks around
-    stack: list[tuple[str, int, float, float, tuple[int, ...], int]] = [("", 0, 0.0, 0.0, (), 0)]
-    suspects: list[tuple[int, ...]] = []  # of each block
-    inside: dict[int, int] = {}  # by suspect: landmarks in it and around it
-    landmarks = 0
+    tree: list[tuple[int, int]] = [(0, 0)]
+    kinds = [""]
+    stack = [Open("", 0.0, 0.0, 0, 0, 0, (0,) * len(CLOSES), False)]
+    open_names: Counter[str] = Counter()
+    around: list[int] = [0]  # of each suspect the suspect around it
+    over: list[int] = [0]  # of each suspect the landmarks around it
+    inside: list[int] = [0]  # of each suspect the landmarks in it, but not in a suspect within
+    suspects: list[int] = []  # of each block
     parts: list[str] = []
-    linked = links = number = at = 0
+    linked = links = at = 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            _, _, low, high, around, _ = stack[-1]
-            suspects.append(around)
-            inner = next((s for s in reversed(stack) if s[0] in BLOCKS), stack[0])
-            path = tuple(s[1] for s in stack if s[0] in BLOCKS)
-            out.append(Block(text, min(linked, len(text)), path, low if low < 0 else high, inner[0]))
+            e = stack[-1]
+            name = kinds[e.leaf]
+            low = 0.0 if e.low == INSIDE["header"] and e.article and name[0:1] == "h" and name[1:].isdigit() else e.low  # the article's title
+            suspects.append(e.suspect)
+            out.append(Block(text, min(linked, len(text)), e.leaf, low if low < 0 else e.high, name))
         linked = 0
 
     def pop(size: int) -> None:
         nonlocal links
-        links -= sum(s[0] == "a" for s in stack[size:])
+        for e in stack[size:]:
+            links -= e.name == "a"
+            open_names[e.name] -= 1
         del stack[size:]
 
     def say(raw: str) -> None:
@@ -119,14 +144,13 @@ def blocks(page: str) -> list[Block]:
             continue
         attributes = m[3] or m[6] or ""
         if m[1] or m[4]:
-            at_open = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
             if name in BLOCKS:
                 flush()
-            if at_open:
-                pop(at_open)
+            if open_names[name]:
+                pop(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name))
             continue
         if name in SILENT:
-            if not attributes.endswith("/") or name not in ("svg", "math"):
+            if not attributes.endswith("/") or name != "svg":
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.IGNORECASE).search(page, at)
                 close = page.find(">", end.end()) if end else -1
                 at = size if close < 0 else close + 1
@@ -135,44 +159,46 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in BLOCKS:
             flush()
-            k = len(stack) - 1
-            while k and stack[k][0] not in ("table", "td", "th", "button"):  # a block ends an open paragraph
-                if stack[k][0] == "p":
-                    pop(k)
-                    break
-                k -= 1
-            own, stops = ENDS_OWN.get(name, ()), STOPS.get(name, ())
-            k = len(stack) - 1
-            while own and k and stack[k][0] not in stops:
-                if stack[k][0] in own:
-                    pop(k)
-                k -= 1
+            for closer in (0, CLOSED_BY.get(name)):
+                if closer is not None and stack[-1].closes[closer]:
+                    pop(stack[-1].closes[closer])
         elif name == "br":
             parts.append("\n")
         if name not in VOID:
-            number += 1
+            e = stack[-1]
             odds, bad = _standing(name, attributes)
-            _, _, low, high, around, over = stack[-1]
+            suspect, landmarks_over, leaf, closes = e.suspect, e.over, e.leaf, e.closes
             if bad:
-                inside[number] = over
-                around = (*around, number)
+                around.append(suspect)
+                over.append(landmarks_over)
+                inside.append(0)
+                suspect = len(around) - 1
             elif odds > 0:
-                landmarks += 1
-                over += 1
-                for k in around:
-                    inside[k] += 1
-            stack.append((name, number, min(low, odds), max(high, odds), around, over))
+                landmarks_over += 1
+                inside[suspect] += 1
+            if name in BLOCKS:
+                tree.append((leaf, tree[leaf][1] + 1))
+                kinds.append(name)
+                leaf = len(tree) - 1
+            if name in NAMED:
+                closes = tuple(0 if name in stops else held or (len(stack) if name in own else 0) for held, (own, stops) in zip(closes, CLOSES.values(), strict=True))
+            stack.append(Open(name, min(e.low, odds), max(e.high, odds), suspect, landmarks_over, leaf, closes, e.article or name == "article"))
+            open_names[name] += 1
             links += name == "a"
     flush()
-    held = dict.fromkeys(inside, 0)
-    for b, around in zip(out, suspects, strict=True):
-        for k in around:
-            held[k] += len(b.text)
-    half = sum(len(b.text) for b in out) / 2
-    for b, around in zip(out, suspects, strict=True):
-        if any(held[k] <= half or inside[k] < landmarks for k in around):
+    held = [0] * len(around)
+    for b, k in zip(out, suspects, strict=True):
+        held[k] += len(b.text)
+    for k in range(len(around) - 1, 0, -1):  # a suspect comes after those around it
+        held[around[k]] += held[k]
+        inside[around[k]] += inside[k]
+    spoils = [False] * len(around)
+    for k in range(1, len(around)):
+        spoils[k] = spoils[around[k]] or held[k] <= held[0] / 2 or over[k] + inside[k] < inside[0]
+    for b, k in zip(out, suspects, strict=True):
+        if spoils[k]:
             b.odds = min(b.odds, BAD)
-    return out
+    return out, tree
 
 
 def log_odds(b: Block) -> float:
@@ -190,17 +216,20 @@ def log_odds(b: Block) -> float:
     return odds
 
 
-def _links(found: list[Block], adjacent: float, sibling: float) -> list[tuple[int, int, float]]:
+def _links(found: list[Block], tree: list[tuple[int, int]], adjacent: float, sibling: float) -> list[tuple[int, int, float]]:
+    """Neighbours in page order, weaker the more elements lie between them, and the next block under one parent."""
     out, last = [], {}
     for k, b in enumerate(found):
         if k:
-            a, common = found[k - 1].path, 0
-            for x, y in zip(a, b.path, strict=False):
-                if x != y:
-                    break
-                common += 1
-            out.append((k - 1, k, adjacent / (1 + len(a) + len(b.path) - 2 * common)))
-        parent = b.path[:-1]
+            x, y, apart = found[k - 1].leaf, b.leaf, 0
+            while x != y:  # as many steps as elements open or close between the two
+                if tree[x][1] >= tree[y][1]:
+                    x = tree[x][0]
+                else:
+                    y = tree[y][0]
+                apart += 1
+            out.append((k - 1, k, adjacent / (1 + apart)))
+        parent = tree[b.leaf][0]
         if parent in last and last[parent] < k - 1:
             out.append((last[parent], k, sibling))
         last[parent] = k
@@ -268,13 +297,13 @@ def minimum_cut(costs: list[tuple[float, float]], links: list[tuple[int, int, fl
 
 def main_text(page: str | None, adjacent: float = 1.0, sibling: float = 0.5) -> str:
     """The main text of one page."""
-    found = blocks(page) if page else []
+    found, tree = blocks(page) if page else ([], [])
     if not found:
         return ""
     odds = [log_odds(b) for b in found]
     # -log(1 - p) is the cost of calling it boilerplate, -log(p) that of calling it content
     costs = [(math.log1p(math.exp(min(x, 30))), math.log1p(math.exp(min(-x, 30)))) for x in odds]
-    labels = minimum_cut(costs, _links(found, adjacent, sibling))
+    labels = minimum_cut(costs, _links(found, tree, adjacent, sibling))
     return "\n".join(b.text for b, keep in zip(found, labels, strict=True) if keep)
 
 

@@ -1,8 +1,11 @@
 """The corpus operators against brute force on small tables, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import html
 import itertools
+import re
 import textwrap
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -393,6 +396,37 @@ def test_main_text_under_names_of_layout():
         assert html_cut.main_text(f'<body><div class="post"><p>{story}</p></div><div class="{name}"><p>{said}</p></div>') == want
 
 
+def test_main_text_of_all_pages(spark):
+    """The articles of the given pages, read plainly: what stands in <article>, cut at block tags."""
+    pages = spark.read.parquet(f"{SF}/../sf0.01/pages.parquet")
+    want = {}
+    for r in pages.collect():
+        inner = re.sub(r"<!--.*?-->|<(script|style|form|aside)\b.*?</\1>|<(div|section) class=\"(?:ad|comments?|share|related)\".*?</\2>", "\n", re.search(r"<article\b[^>]*>(.*?)</article>", r.html, re.S)[1], flags=re.S)
+        cut = re.split(r"</?(?:p|h[1-6]|ul|ol|li|div|section|blockquote|pre|table|tr|td|th|figure|figcaption)\b[^>]*>", inner)
+        texts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br\b[^>]*>", " ", x))).split()) for x in cut]
+        want[r.page_id] = "\n".join(x for x in texts if x)
+    assert {r.page_id: r.text for r in html_cut.extract(pages).collect()} == want
+
+
+def test_main_text_inside_articles():
+    story = "The body of an article has words, many of them."
+    for page, want in (
+        (f'<article class="post share-price"><p>{story}</p></article>', story),
+        (f'<div class="comment-free body"><p>{story}</p></div>', story),
+        (f"<article><header><h1>The title</h1><a href=x>Someone</a></header><p>{story}</p></article>", f"The title\n{story}"),
+        ("<p>One <math><mi>x</mi></math> is the unknown of all of them.</p>", "One x is the unknown of all of them."),
+        (f"<ul><li>{story}<li>{story}</ul><table><tr><td>{story}<td>{story}<tr><td>{story}</table>", "\n".join([story] * 5)),
+    ):
+        assert html_cut.main_text(page) == want
+
+
+def test_deep_nesting_takes_linear_time():
+    for part in ("<div>words are here, yes.", '<div class="ad"><p>words', "<li><div><p>words", "<p><table>words<td>", "<div></b>", "<dl><dd><div>"):
+        began = time.process_time()
+        html_cut.main_text(part * 50_000)
+        assert time.process_time() - began < 20
+
+
 def test_golay():
     rng = np.random.default_rng(2)
     words = rng.integers(0, 1 << 23, 4000)
