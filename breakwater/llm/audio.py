@@ -5,14 +5,18 @@ rectangles' differences read off an integral image; each is quantised to two bit
 integer a place. Two recordings are aligned by the offset at which the most of their integers have their first ALIGN_BITS bits equal; the bits that differ there, over
 the stretch they share, are its errors.
 
-The search takes a query set against all rows in blocks: every block of queries meets every block of candidates once (a cell), and a cell's
-work is a sorted lookup and a histogram of (query, candidate, offset). A cell passes on k candidates a query and heaps merge them. Blocks have
-about QUERY_BLOCK and CANDIDATE_BLOCK recordings at every size; a group of copies is spread over them by id.
-
-Fingerprints: a recording shorter than a whole image is padded with silence. Edge cases: null and empty recordings have no integers and meet none;
-damaged WAV headers are read as raw samples; repeated rows are recordings of their own, but rows with the query's id are no candidates
-of it; rows with a null id are fingerprinted but take no part in the search; ties go to the smaller id, and among offsets to the smallest; an
-empty table gives no rows; only the id and audio columns are read.
+Recordings with one fingerprint are a class, named by its smallest id. Every other member has a row of rank 0 that names its class, so no group
+of copies, however large, takes the places of others. The search takes a query set against all classes in blocks: every block of queries
+meets every block of classes once (a cell), and a cell's work is a sorted lookup and a histogram of (query, candidate, offset). A cell passes
+on k classes a query and heaps merge them. Blocks have about QUERY_BLOCK queries and CANDIDATE_INTS integers at every size. Where a recording has over
+MATCHES equal places in a cell (silence, a held tone), its pairs are counted one by one, an integer that is frequent in both by convolution, so
+memory is bounded by the recordings' lengths.
+
+Fingerprints: WAV files are brought to RATE by averaging; a recording shorter than a whole image is padded with silence. Edge cases: null and
+empty recordings have no integers and meet none; damaged WAV headers are read as raw samples at RATE; rows repeated whole are one recording; of rows with one id and
+different sounds each is searched for and found, but a query's own id, where no other has that sound, is no match of it; rows with a null id are
+fingerprinted but take no part in the search; ties go to the smaller id, and among offsets to the smallest; an empty table gives no rows; only
+the id and audio columns are read.
 """
 
 from __future__ import annotations
@@ -27,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_runs, stored
+from .common import key_runs, salted_join, stored
 
-FRAME, HOP, RATE = 256, 64, 8000
+FRAME, HOP, RATE = 1024, 64, 8000  # bins of 7.8 Hz: a semitone at LOW is 11.9
 SPAN = 16  # frames a packed integer sees
-QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 32_768
+QUERY_BLOCK, CANDIDATE_INTS = 2048, 1_000_000
 LOW, HIGH = 200.0, 3520.0
 STEP = 0.06  # quantiser: below -STEP, below 0, below STEP, above
 GRAY = np.array([0, 1, 3, 2], np.uint32)
@@ -44,16 +48,25 @@ def filters() -> list[tuple[int, int, int, int]]:
     return [(k % 4, (3 * k + k // 4) % 7, 4 + 2 * (k % 2), (16, 8, 12, 4)[k // 4]) for k in range(16)]
 
 
-def samples(audio: bytes | None, kind: str = "wav") -> np.ndarray:
-    """Samples between -1 and 1. kind: wav, s16le or u8; channels of a WAV are averaged."""
+def resampled(sound: np.ndarray, rate: int, to: int) -> np.ndarray:
+    """The sound at another rate: each new sample is the mean of the old ones over its time."""
+    if rate == to or not len(sound):
+        return sound
+    sums = np.concatenate(([0.0], np.cumsum(sound, dtype=np.float64)))
+    edges = np.minimum(np.arange(int(len(sound) * to / rate) + 1) * (rate / to), len(sound))
+    return (np.diff(np.interp(edges, np.arange(len(sums)), sums)) * (to / rate)).astype(np.float32)
+
+
+def samples(audio: bytes | None, kind: str = "wav", rate: int = RATE) -> np.ndarray:
+    """Samples between -1 and 1. kind: wav, s16le or u8; channels of a WAV are averaged, and it is brought to `rate`."""
     if not audio:
         return np.zeros(0, np.float32)
     if kind == "wav":
         try:
             with wave.open(io.BytesIO(audio)) as w:
-                width, channels, raw = w.getsampwidth(), w.getnchannels(), w.readframes(w.getnframes())
+                width, channels, told, raw = w.getsampwidth(), w.getnchannels(), w.getframerate() or rate, w.readframes(w.getnframes())
         except (wave.Error, EOFError):
-            width, channels, raw = 2, 1, audio
+            width, channels, told, raw = 2, 1, rate, audio
         if width == 1:
             flat = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
         elif width == 2:
@@ -61,27 +74,27 @@ def samples(audio: bytes | None, kind: str = "wav") -> np.ndarray:
         else:
             top = np.frombuffer(raw[: len(raw) // width * width], np.uint8).reshape(-1, width)[:, -2:]
             flat = np.ascontiguousarray(top).view("<i2").ravel().astype(np.float32) / 32768
-        return flat[: len(flat) // channels * channels].reshape(-1, channels).mean(1)
+        return resampled(flat[: len(flat) // channels * channels].reshape(-1, channels).mean(1), told, rate)
     if kind == "s16le":
         return np.frombuffer(audio[: len(audio) // 2 * 2], "<i2").astype(np.float32) / 32768
     return (np.frombuffer(audio, np.uint8).astype(np.float32) - 128) / 128
 
 
-def _classes(rate: int) -> np.ndarray:
+def _classes(rate: int, frame: int) -> np.ndarray:
     """Which pitch class each bin of the spectrum belongs to, as a matrix."""
-    hz = np.arange(FRAME // 2 + 1) * rate / FRAME
+    hz = np.arange(frame // 2 + 1) * rate / frame
     real = (hz >= LOW) & (hz <= HIGH)
     out = np.zeros((len(hz), 12), np.float32)
     out[np.flatnonzero(real), np.rint(12 * np.log2(hz[real] / 440)).astype(int) % 12] = 1
     return out
 
 
-def fingerprints_of(sounds: list[np.ndarray], rate: int = RATE) -> list[np.ndarray]:
+def fingerprints_of(sounds: list[np.ndarray], rate: int = RATE, frame: int = FRAME) -> list[np.ndarray]:
     """The packed integers of each recording; the arithmetic runs over all of them at once."""
-    frames = np.array([0 if not len(s) else max(SPAN, 1 + -(-max(0, len(s) - FRAME) // HOP)) for s in sounds], np.int64)
+    frames = np.array([0 if not len(s) else max(SPAN, 1 + -(-max(0, len(s) - frame) // HOP)) for s in sounds], np.int64)
     if not frames.sum():
         return [np.zeros(0, np.uint32) for _ in sounds]
-    room = np.where(frames > 0, (frames - 1) * HOP + FRAME, 0)
+    room = np.where(frames > 0, (frames - 1) * HOP + frame, 0)
     at = np.cumsum(room) - room
     flat = np.zeros(int(room.sum()), np.float32)
     for s, a in zip(sounds, at.tolist(), strict=True):
@@ -89,9 +102,9 @@ def fingerprints_of(sounds: list[np.ndarray], rate: int = RATE) -> list[np.ndarr
     first = np.cumsum(frames) - frames
     owner = np.repeat(np.arange(len(sounds)), frames)
     starts = at[owner] + (np.arange(len(owner)) - first[owner]) * HOP
-    window, classes = np.hanning(FRAME).astype(np.float32), _classes(rate)
+    window, classes = np.hanning(frame).astype(np.float32), _classes(rate, frame)
     image = np.empty((len(starts), 12), np.float32)
-    views = np.lib.stride_tricks.sliding_window_view(flat, FRAME)
+    views = np.lib.stride_tricks.sliding_window_view(flat, frame)
     for k in range(0, len(starts), STRIP):
         spectrum = np.fft.rfft(views[starts[k : k + STRIP]] * window)
         image[k : k + STRIP] = (spectrum.real**2 + spectrum.imag**2) @ classes
@@ -122,7 +135,7 @@ def fingerprints_of(sounds: list[np.ndarray], rate: int = RATE) -> list[np.ndarr
     return np.split(packed, np.cumsum(count)[:-1])
 
 
-def fingerprint(recordings: DataFrame, id_col: str, audio_col: str, kind: str = "wav", rate: int = RATE) -> DataFrame:
+def fingerprint(recordings: DataFrame, id_col: str, audio_col: str, kind: str = "wav", rate: int = RATE, frame: int = FRAME) -> DataFrame:
     """id, fingerprint (packed little-endian unsigned 32-bit integers), n_ints of every row."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +146,7 @@ def fingerprint(recordings: DataFrame, id_col: str, audio_col: str, kind: str =
                 while end < b.num_rows and (end == at or size < 2_000_000):
                     size += raw[end].as_buffer().size + SPAN * HOP if raw[end].is_valid else 0
                     end += 1
-                got = fingerprints_of([samples(raw[k].as_py(), kind) for k in range(at, end)], rate)
+                got = fingerprints_of([samples(raw[k].as_py(), kind, rate) for k in range(at, end)], rate, frame)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), pa.array([x.astype("<u4").tobytes() for x in got], pa.binary()), pa.array(list(map(len, got)), pa.int32())], ["id", "fingerprint", "n_ints"])
                 at = end
 
@@ -154,6 +167,31 @@ NAMES = [x.split()[0] for x in FOUND.split(", ")]
 MATCHES = 4_000_000
 
 
+def _votes(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """The most equal places of two sequences at one offset, and the smallest such offset."""
+    total = np.zeros(len(a) + len(b) - 1, np.int64)  # by offset, from 1 - len(a)
+    common = np.intersect1d(a, b)
+    of_a, of_b = (np.searchsorted(common, x).clip(max=max(0, len(common) - 1)) for x in (a, b))
+    real_a, real_b = (np.isin(x, common) for x in (a, b))
+    n_a, n_b = np.bincount(of_a[real_a], minlength=len(common)), np.bincount(of_b[real_b], minlength=len(common))
+    hot = n_a * n_b > 32 * len(total)
+    room = 1 << int(len(total) - 1).bit_length()
+    for k in np.flatnonzero(hot):
+        in_a, in_b = (np.fft.rfft(real & (of == k), room) for real, of in ((real_a[::-1], of_a[::-1]), (real_b, of_b)))
+        total += np.rint(np.fft.irfft(in_a * in_b, room)[: len(total)]).astype(np.int64)
+    i = np.flatnonzero(real_a & ~hot[of_a]) if len(common) else np.zeros(0, np.int64)
+    j = np.flatnonzero(real_b & ~hot[of_b]) if len(common) else np.zeros(0, np.int64)
+    i = i[np.argsort(of_a[i], kind="stable")]
+    first = np.searchsorted(of_a[i], of_b[j])
+    n = np.searchsorted(of_a[i], of_b[j], side="right") - first
+    for at in np.split(np.arange(len(j)), np.flatnonzero(np.diff(np.cumsum(n) // MATCHES)) + 1):
+        m = n[at]
+        hit = np.repeat(first[at], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        total += np.bincount(np.repeat(j[at], m) - i[hit] + len(a) - 1, minlength=len(total))
+    best = int(total.argmax())
+    return int(total[best]), best + 1 - len(a)
+
+
 def _ints(rows: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
     return rows["id"].to_numpy(), [np.frombuffer(x, "<u4") for x in rows["fingerprint"].to_pylist()]
 
@@ -162,6 +200,7 @@ def _cell(k: int):
     def of(left: pa.Table, right: pa.Table) -> pa.Table:
         q_ids, q = _ints(left)
         c_ids, c = _ints(right)
+        c_last = right["last"].to_numpy()
         best: list[list[tuple]] = [[] for _ in q]
         if len(q) and len(c):
             sizes = np.array(list(map(len, q)))
@@ -172,9 +211,17 @@ def _cell(k: int):
             c_sizes = np.array(list(map(len, c)))
             wanted = np.concatenate(c) >> np.uint32(32 - ALIGN_BITS)
             a, z = np.searchsorted(ints, wanted), np.searchsorted(ints, wanted, side="right")
-            reach = np.add.reduceat(z - a, np.cumsum(c_sizes) - c_sizes)
-            cuts = np.flatnonzero(np.diff(np.cumsum(reach) // MATCHES)) + 1
             ends = np.concatenate(([0], np.cumsum(c_sizes)))
+            reach = np.add.reduceat(z - a, ends[:-1])
+            for y in np.flatnonzero(reach > MATCHES).tolist():
+                z[ends[y] : ends[y + 1]] = a[ends[y] : ends[y + 1]]
+                for x in range(len(q)):
+                    if q_ids[x] != c_ids[y] or q_ids[x] != c_last[y]:
+                        votes, shift = _votes(q[x] >> np.uint32(32 - ALIGN_BITS), c[y] >> np.uint32(32 - ALIGN_BITS))
+                        if votes:
+                            best[x].append((-votes, int(c_ids[y]), shift, y))
+            reach[reach > MATCHES] = 0
+            cuts = np.flatnonzero(np.diff(np.cumsum(reach) // MATCHES)) + 1
             for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(c)], strict=True):
                 s = slice(ends[lo], ends[hi])
                 n = z[s] - a[s]
@@ -183,7 +230,7 @@ def _cell(k: int):
                 cand = np.searchsorted(ends, from_c, side="right") - 1
                 shift = from_c - ends[cand] - q_at[hit]
                 query = q_of[hit]
-                other = q_ids[query] != c_ids[cand]
+                other = (q_ids[query] != c_ids[cand]) | (q_ids[query] != c_last[cand])
                 triples = np.stack((query[other], cand[other], shift[other]), 1)
                 if not len(triples):
                     continue
@@ -233,17 +280,25 @@ ALIGNED_NAMES = [x.split()[0] for x in ALIGNED.split(", ")]
 
 
 def align(prints: DataFrame, modulus: int = 50, k: int = 20, most_errors: float = 0.25) -> DataFrame:
-    """prints: id, fingerprint, n_ints. For each row whose id is divisible by modulus, the k others with the most equal places at one
-    offset (in integers, the match's place less the query's), with the bit errors there. Rows without an equal place don't appear."""
-    rows = stored(prints.where("id IS NOT NULL AND n_ints > 0").select("id", "fingerprint"), "audio-prints")
+    """prints: id, fingerprint, n_ints. For each row whose id is divisible by modulus, the k classes with the most equal places at one
+    offset (in integers, the match's place less the query's), with the bit errors there; its own class, if it has other members, is one of them.
+    And for each row whose id isn't the smallest of its class, a row of rank 0 with that one. Classes without an equal place don't appear."""
+    known = prints.where("id IS NOT NULL AND n_ints > 0").select("id", "fingerprint", "n_ints", F.md5("fingerprint").alias("digest"))
+    rows = stored(known, "audio-prints")
+    of_class = rows.groupBy("digest").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.first("fingerprint").alias("fingerprint"), F.first("n_ints").alias("n_ints"))
+    classes = stored(of_class, "audio-classes")
     asks = F.pmod("id", F.lit(modulus)) == 0
-    n, asked = rows.agg(F.count("*"), F.count(F.when(asks, 1))).first()
-    down, across = max(1, -(-n // CANDIDATE_BLOCK)), max(1, -(-asked // QUERY_BLOCK))
+    ints, asked = classes.agg(F.sum("n_ints")).first()[0] or 0, rows.where(asks).count()
+    down, across = max(1, -(-ints // CANDIDATE_INTS)), max(1, -(-asked // QUERY_BLOCK))
 
     def dealt(df: DataFrame, name: str, blocks: int, other: str, others: int) -> DataFrame:
-        mine = F.pmod(F.xxhash64("id", "fingerprint"), F.lit(blocks)).cast("int")
+        mine = F.pmod(F.xxhash64("id", "digest"), F.lit(blocks)).cast("int")
         return df.withColumn(name, mine).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
 
-    queries = dealt(rows.where(asks).distinct(), "across", across, "down", down)
-    met = queries.groupBy("across", "down").cogroup(dealt(rows, "down", down, "across", across).groupBy("across", "down")).applyInArrow(_cell(k), FOUND)
-    return met.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(_merge(k, most_errors), ALIGNED)
+    queries = dealt(rows.where(asks).dropDuplicates(["id", "digest"]), "across", across, "down", down)
+    met = queries.groupBy("across", "down").cogroup(dealt(classes, "down", down, "across", across).groupBy("across", "down")).applyInArrow(_cell(k), FOUND)
+    found = met.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(_merge(k, most_errors), ALIGNED)
+    named = salted_join(rows.select("digest", "id", "n_ints"), classes.select("digest", F.col("id").alias("match_id")), "digest", "id").where("id <> match_id").distinct()
+    full = F.col("n_ints").cast("long").alias("matches")
+    members = named.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), "match_id", F.lit(0).alias("offset"), full, F.col("n_ints").alias("overlap"), F.lit(0).cast("long").alias("bit_errors"), F.lit(0.0).alias("error_rate"), F.lit(True).alias("aligned"))
+    return found.unionByName(members)

@@ -32,9 +32,9 @@ def op5_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bytes of each whole text are the samples of a recording: no table has a media column."""
+    """The bytes of each whole text are the samples of a recording, in frames of 256 as texts are short: no table has a media column."""
     recordings = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("audio"))
-    return audio.align(audio.fingerprint(recordings, "doc_id", "audio", "u8"))
+    return audio.align(audio.fingerprint(recordings, "doc_id", "audio", "u8", frame=256))
 
 
 def op7_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
