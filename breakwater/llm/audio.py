@@ -8,7 +8,7 @@ the stretch they share, are its errors.
 Recordings with one fingerprint are a class, named by its smallest id. Every other member has a row of rank 0 that names its class, so no group
 of copies, however large, takes the places of others. The search takes a query set against all classes in blocks: every block of queries
 meets every block of classes once (a cell), and a cell's work is a sorted lookup and a histogram of (query, candidate, offset). A cell passes
-on k classes a query and heaps merge them. Blocks have about QUERY_BLOCK queries and CANDIDATE_INTS integers at every size. Where a recording has over
+on k classes a query and heaps merge them. Blocks have about QUERY_INTS and CANDIDATE_INTS integers at every size. Where a recording has over
 MATCHES equal places in a cell (silence, a held tone), its pairs are counted one by one, an integer that is frequent in both by convolution, so
 memory is bounded by the recordings' lengths.
 
@@ -35,7 +35,7 @@ from .common import key_runs, salted_join, stored
 
 FRAME, HOP, RATE = 1024, 64, 8000  # bins of 7.8 Hz: a semitone at LOW is 11.9
 SPAN = 16  # frames a packed integer sees
-QUERY_BLOCK, CANDIDATE_INTS = 2048, 1_000_000
+QUERY_INTS, CANDIDATE_INTS = 500_000, 1_000_000
 LOW, HIGH = 200.0, 3520.0
 STEP = 0.06  # quantiser: below -STEP, below 0, below STEP, above
 GRAY = np.array([0, 1, 3, 2], np.uint32)
@@ -283,22 +283,22 @@ def align(prints: DataFrame, modulus: int = 50, k: int = 20, most_errors: float
     """prints: id, fingerprint, n_ints. For each row whose id is divisible by modulus, the k classes with the most equal places at one
     offset (in integers, the match's place less the query's), with the bit errors there; its own class, if it has other members, is one of them.
     And for each row whose id isn't the smallest of its class, a row of rank 0 with that one. Classes without an equal place don't appear."""
-    known = prints.where("id IS NOT NULL AND n_ints > 0").select("id", "fingerprint", "n_ints", F.md5("fingerprint").alias("digest"))
+    known = prints.where("id IS NOT NULL AND n_ints > 0").select("id", "fingerprint", "n_ints", F.unhex(F.md5("fingerprint")).alias("digest"))
     rows = stored(known, "audio-prints")
     of_class = rows.groupBy("digest").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.first("fingerprint").alias("fingerprint"), F.first("n_ints").alias("n_ints"))
     classes = stored(of_class, "audio-classes")
     asks = F.pmod("id", F.lit(modulus)) == 0
-    ints, asked = classes.agg(F.sum("n_ints")).first()[0] or 0, rows.where(asks).count()
-    down, across = max(1, -(-ints // CANDIDATE_INTS)), max(1, -(-asked // QUERY_BLOCK))
+    ints, asked = (df.agg(F.sum("n_ints")).first()[0] or 0 for df in (classes, rows.where(asks)))
+    down, across = max(1, -(-ints // CANDIDATE_INTS)), max(1, -(-asked // QUERY_INTS))
 
     def dealt(df: DataFrame, name: str, blocks: int, other: str, others: int) -> DataFrame:
         mine = F.pmod(F.xxhash64("id", "digest"), F.lit(blocks)).cast("int")
-        return df.withColumn(name, mine).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+        return df.withColumn(name, mine).drop("digest", "n_ints").withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
 
     queries = dealt(rows.where(asks).dropDuplicates(["id", "digest"]), "across", across, "down", down)
     met = queries.groupBy("across", "down").cogroup(dealt(classes, "down", down, "across", across).groupBy("across", "down")).applyInArrow(_cell(k), FOUND)
     found = met.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(_merge(k, most_errors), ALIGNED)
-    named = salted_join(rows.select("digest", "id", "n_ints"), classes.select("digest", F.col("id").alias("match_id")), "digest", "id").where("id <> match_id").distinct()
+    named = salted_join(rows.select("digest", "id", "n_ints"), classes.where("last > id").select("digest", F.col("id").alias("match_id")), "digest", "id").where("id <> match_id").distinct()
     full = F.col("n_ints").cast("long").alias("matches")
     members = named.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), "match_id", F.lit(0).alias("offset"), full, F.col("n_ints").alias("overlap"), F.lit(0).cast("long").alias("bit_errors"), F.lit(0.0).alias("error_rate"), F.lit(True).alias("aligned"))
     return found.unionByName(members)
