@@ -9,7 +9,7 @@ Recordings with one fingerprint are a class, named by its smallest id. Every oth
 of copies, however large, takes the places of others. The search takes a query set against all classes in blocks: every block of queries
 meets every block of classes once (a cell), and a cell's work is a sorted lookup and a histogram of (query, candidate, offset). A cell passes
 on k classes a query and heaps merge them. Blocks have about QUERY_INTS and CANDIDATE_INTS integers at every size. Where a recording has over
-MATCHES equal places in a cell (silence, a held tone), its pairs are counted one by one, an integer that is frequent in both by convolution, so
+MANY equal places in a cell (silence, a held tone), its pairs are counted one by one, an integer that is frequent in both by convolution, so
 memory is bounded by the recordings' lengths.
 
 Fingerprints: WAV files are brought to RATE by averaging; a recording shorter than a whole image is padded with silence. Edge cases: null and
@@ -164,7 +164,7 @@ def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
 
 FOUND = "query_id long, id long, shift int, matches long, bits long, overlap int"
 NAMES = [x.split()[0] for x in FOUND.split(", ")]
-MATCHES = 4_000_000
+MATCHES, MANY = 1_000_000, 4_000_000
 
 
 def _votes(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -213,14 +213,14 @@ def _cell(k: int):
             a, z = np.searchsorted(ints, wanted), np.searchsorted(ints, wanted, side="right")
             ends = np.concatenate(([0], np.cumsum(c_sizes)))
             reach = np.add.reduceat(z - a, ends[:-1])
-            for y in np.flatnonzero(reach > MATCHES).tolist():
+            for y in np.flatnonzero(reach > MANY).tolist():
                 z[ends[y] : ends[y + 1]] = a[ends[y] : ends[y + 1]]
                 for x in range(len(q)):
                     if q_ids[x] != c_ids[y] or q_ids[x] != c_last[y]:
                         votes, shift = _votes(q[x] >> np.uint32(32 - ALIGN_BITS), c[y] >> np.uint32(32 - ALIGN_BITS))
                         if votes:
                             best[x].append((-votes, int(c_ids[y]), shift, y))
-            reach[reach > MATCHES] = 0
+            reach[reach > MANY] = 0
             cuts = np.flatnonzero(np.diff(np.cumsum(reach) // MATCHES)) + 1
             for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(c)], strict=True):
                 s = slice(ends[lo], ends[hi])
@@ -247,6 +247,8 @@ def _cell(k: int):
                 for nth in np.flatnonzero(np.arange(len(order)) - np.searchsorted(triples[:, 0], triples[:, 0]) < k).tolist():
                     x, y, shift_of = triples[nth].tolist()
                     best[x].append((-int(votes[nth]), int(c_ids[y]), shift_of, y))
+                    if len(best[x]) > 8 * k:
+                        best[x] = heapq.nsmallest(k, best[x])
         rows: list[tuple] = []
         for x, found in enumerate(best):
             for votes, i, shift_of, y in heapq.nsmallest(k, found):

@@ -310,6 +310,7 @@ def test_audio(spark, docs, monkeypatch):
         want += [(q, k, c, s, -n, e, o) for k, (n, c, s, e, o) in enumerate(sorted(found)[:20], 1)]
     assert sorted(got) == sorted(want) and {(50, 2), (2, 3)} & {(g[0], g[2]) for g in got}
     monkeypatch.setattr(audio, "MATCHES", 3)
+    monkeypatch.setattr(audio, "MANY", 3)
     assert sorted(got) == sorted((r.query_id, r["rank"], r.match_id, r.offset, r.matches, r.bit_errors, r.overlap) for r in audio.align(prints).collect())
     assert audio.align(prints.limit(0)).count() == 0
 
