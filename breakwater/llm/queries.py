@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, html_cut, language_model, licences, mixing, neighbours, packing, quality, sequences, simhash
+from . import audio, html_cut, language_model, licences, mixing, neighbours, packing, quality, sequences, simhash, spelling
 from .common import table
 
 
@@ -53,6 +53,10 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_discriminant": op1_quality_discriminant,
     "op2_nearest_vectors": op2_nearest_vectors,
@@ -64,10 +68,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_main_text_cut": op9_main_text_cut,
     "op10_simhash_groups": op10_simhash_groups,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_nearest_vectors": neighbours.ORACLE,
     "op4_poisson_mixture": mixing.ORACLE,
     "op5_licence_rules": licences.oracle(),
+    "op13_spelling_variants": spelling.ORACLE,
 }
