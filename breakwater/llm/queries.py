@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, html_cut, language_model, licences, mixing, neighbours, packing, quality, sequences, simhash, spelling
+from . import audio, chat, html_cut, language_model, licences, mixing, negatives, neighbours, packing, quality, sequences, simhash, spelling
 from .common import table
 
 
@@ -53,6 +53,17 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_reply_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With conversation -1, a user and an assistant who say control strings."""
+    said = F.explode(F.array(*(F.struct(F.lit(-1).cast("bigint").alias("conv_id"), F.lit(i).cast("bigint").alias("turn"), F.lit(who).alias("role"), F.lit(chat.SAID).alias("text")) for i, who in enumerate(("user", "assistant")))))
+    more = spark.range(1).select(said.alias("x")).select("x.*")
+    return chat.digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -68,6 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_main_text_cut": op9_main_text_cut,
     "op10_simhash_groups": op10_simhash_groups,
+    "op11_reply_examples": op11_reply_examples,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
@@ -75,5 +88,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_nearest_vectors": neighbours.ORACLE,
     "op4_poisson_mixture": mixing.ORACLE,
     "op5_licence_rules": licences.oracle(),
+    "op11_reply_examples": chat.ORACLE,
+    "op12_hard_negatives": negatives.ORACLE,
     "op13_spelling_variants": spelling.ORACLE,
 }
