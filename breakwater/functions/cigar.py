@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ADVANCE = ("M", "=", "X", "D", "N")
+ALIGNED = ("M", "=", "X")
+PIECE = 64  # operations folded at once: arrays that grow in a fold stay short
 
 
 def operations(cigar: Column) -> Column:
@@ -36,3 +38,23 @@ def events(cigar: Column, start: Column, min_insertion: int, min_deletion: int)
         return F.struct(moved.alias("at"), F.when(hit, F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
 
     return F.aggregate(operations(cigar), first, step, lambda acc: acc["out"])
+
+
+def with_blocks(df: DataFrame, cigar: str = "cigar", start: str = "start") -> DataFrame:
+    """Adds blocks, array<struct<start bigint, stop bigint>>: where bases of the read stand on the reference, without deletions and skips; and
+    span_stop. Operations are folded piece by piece, so the work grows with their number, not with its square. A null start has no blocks."""
+    zero, empty = F.lit(0).cast("bigint"), F.expr("cast(array() as array<struct<start bigint, stop bigint>>)")
+    moved = lambda x: F.when(x["op"].isin(*ADVANCE), x["n"]).otherwise(zero)
+    n = F.greatest(F.lit(1), F.ceil(F.size("_ops") / PIECE)).cast("int")
+    rows = df.withColumn("_ops", operations(F.col(cigar))).withColumn("_pieces", F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice("_ops", i * PIECE + 1, F.lit(PIECE))))
+    sums = F.transform("_pieces", lambda piece: F.aggregate(piece, zero, lambda acc, x: acc + moved(x)))
+    rows = rows.withColumn("_starts", F.aggregate(sums, F.array(F.col(start).cast("bigint")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))))
+
+    def step(acc: Column, x: Column) -> Column:
+        at = acc["at"] + moved(x)
+        block = F.array(F.struct(acc["at"].alias("start"), at.alias("stop")))
+        return F.struct(at.alias("at"), F.when(x["op"].isin(*ALIGNED) & (x["n"] > 0), F.concat(acc["out"], block)).otherwise(acc["out"]).alias("out"))
+
+    found = F.zip_with("_pieces", F.slice("_starts", F.lit(1), F.size("_pieces")), lambda piece, at: F.aggregate(piece, F.struct(at.alias("at"), empty.alias("out")), step, lambda acc: acc["out"]))
+    rows = rows.withColumn("blocks", F.when(F.col(start).isNotNull(), F.flatten(found)).otherwise(empty))
+    return rows.withColumn("span_stop", F.element_at("_starts", -1)).drop("_ops", "_pieces", "_starts")

@@ -13,23 +13,11 @@ from ..sources.tables import stored
 from . import calls, complexes, evidence, genotyping, scoring
 
 
-def coverage(reads: DataFrame, contigs: DataFrame, default: float, min_mapq: int = 8) -> float:
-    """The trimmed median of the mean depth of sampled windows over the positions that reads cover; where fewer than five windows are plausible, the default.
-    At most 100 windows, so what reaches the driver is one number."""
-    windows = F.broadcast(depth.sample_windows(contigs))
-    met = reads.where("primary").join(windows.withColumnsRenamed({"chrom": "c", "start": "s", "stop": "e"}), (F.col("chrom") == F.col("c")) & (F.col("start") < F.col("e")) & (F.col("stop") > F.col("s")))
-    at = F.explode(F.sequence(F.greatest("start", "s"), F.least("stop", "e") - 1)).alias("at")
-    bases = met.select("c", "sample", "mapq", at).groupBy("c", "sample", "at").agg(F.count(F.when(F.col("mapq") >= min_mapq, 1)).alias("n"))
-    means = bases.groupBy("c", "sample").agg(F.avg("n").alias("mean")).where("mean BETWEEN 0.5 AND 500")
-    found = depth.trimmed_median(means, "mean").first()["coverage"]
-    return float(found) if found is not None else default
-
-
 def call_variants(alignments: DataFrame, contigs: DataFrame, repeats: DataFrame, chunks: DataFrame | None = None, p: Params | None = None) -> DataFrame:
     """Calls with genotype, quality and filter. alignments, contigs, repeats and chunks: the tables of schema. Each step is a table in the shared folder."""
     p = p or Params()
     reads = evidence.usable(alignments)
-    p = replace(p, coverage=coverage(reads, contigs, p.coverage))
+    p = replace(p, coverage=depth.coverage(reads, contigs, p.coverage).first()["coverage"])
     simple = stored(evidence.everything(alignments, contigs, p), "evidence")
     windows = complexes.single_read_windows(simple.where("NOT startswith(read_name, 'depth_')"))
     found = stored(calls.summed(calls.clusters(simple.unionByName(windows), p), p), "calls")

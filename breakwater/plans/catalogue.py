@@ -123,15 +123,66 @@ def depth_duplications(spark: SparkSession, sf_dir: str) -> DataFrame:
     return depth.duplicated(found, 2.0, P.dup_depth_threshold).select("chrom", "start", "stop", "depth", "ev_type")
 
 
+SAMPLED = """s AS (SELECT chrom, length, length // 20 AS step, k FROM contigs, range(0, 20) t(k) WHERE ord < 5 AND length >= 10000),
+sampled AS (SELECT chrom, cast(k AS int) AS sample, k * step + 1000 AS start, least(k * step + 2000, length - 1000) AS stop FROM s WHERE k * step + 1000 < least(k * step + 2000, length - 1000))"""
+# Every base of every alignment as a row: what the sweep line must add up to.
+BASES = """num AS (SELECT *, row_number() OVER () AS rid FROM aln),
+ops AS (SELECT rid, chrom, start, mapq, flag, query_length, unnest(regexp_extract_all(cigar, '[0-9]+[MIDNSHP=X]')) AS o, generate_subscripts(regexp_extract_all(cigar, '[0-9]+[MIDNSHP=X]'), 1) AS k FROM num),
+cut AS (SELECT *, cast(substr(o, 1, length(o) - 1) AS bigint) AS n, right(o, 1) AS op FROM ops),
+loc AS (SELECT *, start + coalesce(sum(CASE WHEN op IN ('M', '=', 'X', 'D', 'N') THEN n ELSE 0 END) OVER (PARTITION BY rid ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM cut),
+base AS (SELECT chrom, cast(unnest(range(p::bigint, (p + n)::bigint)) AS bigint) AS pos, op IN ('M', '=', 'X') AND mapq >= 8 AS counted FROM loc WHERE op IN ('M', '=', 'X', 'D', 'N') AND flag & 1796 = 0),
+col AS (SELECT chrom, pos, count(*) AS reads, count(*) FILTER (counted) AS depth FROM base GROUP BY 1, 2)"""
+
+
 @query(
     sql("contigs")
-    + """, s AS (SELECT chrom, length, length // 20 AS step, k FROM contigs, range(0, 20) t(k) WHERE ord < 5 AND length >= 10000)
-SELECT chrom, cast(k AS int) AS sample, k * step + 1000 AS start, least(k * step + 2000, length) AS stop FROM s WHERE k * step + 1000 < least(k * step + 2000, length)"""
+    + f""", {SAMPLED} SELECT * FROM sampled"""
 )
 def coverage_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return depth.sample_windows(contigs(spark, sf_dir))
 
 
+@query(
+    sql("aln")
+    + f""", {BASES},
+brk AS (SELECT *, CASE WHEN lag(pos) OVER w = pos - 1 AND lag(reads) OVER w = reads AND lag(depth) OVER w = depth THEN 0 ELSE 1 END AS b FROM col WINDOW w AS (PARTITION BY chrom ORDER BY pos)),
+run AS (SELECT *, sum(b) OVER (PARTITION BY chrom ORDER BY pos ROWS UNBOUNDED PRECEDING) AS g FROM brk)
+SELECT chrom, min(pos) AS start, max(pos) + 1 AS stop, any_value(reads) AS reads, any_value(depth) AS depth FROM run GROUP BY chrom, g"""
+)
+def pileup_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth of every base as runs of equal depth; the SQL counts base by base."""
+    return depth.pileup(view(spark, sf_dir, "aln"), 8)
+
+
+MEANS = f""", {SAMPLED}, {BASES},
+means AS (SELECT s.chrom, s.sample, sum(least(depth, 500)) / count(*) AS mean FROM sampled s JOIN col c ON c.chrom = s.chrom AND c.pos >= s.start AND c.pos < s.stop GROUP BY 1, 2)"""
+BY_COUNT = """span AS (SELECT rid, any_value(chrom) AS chrom, any_value(start) AS start, any_value(mapq) AS mapq, any_value(flag) AS flag, any_value(query_length) AS size, sum(CASE WHEN op IN ('M', '=', 'X', 'D', 'N') THEN n ELSE 0 END) AS n FROM cut GROUP BY 1),
+bycount AS (SELECT sum(CASE WHEN s.size > 0 THEN s.size ELSE 100 END) / any_value(least(1000000, length // 2)) AS c FROM contigs g JOIN span s ON g.ord = 0 AND s.chrom = g.chrom
+  AND s.start < length // 4 + least(1000000, length // 2) AND s.start + s.n > length // 4 WHERE flag & 2308 = 0 AND mapq >= 10)"""
+
+
+@query(sql("aln", "contigs") + MEANS + " SELECT chrom, sample, round(mean, 9) AS mean FROM means")
+def window_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = depth.mean_depths(view(spark, sf_dir, "aln"), depth.sample_windows(contigs(spark, sf_dir)))
+    return found.withColumn("mean", F.round("mean", 9))
+
+
+@query(sql("aln", "contigs") + f", {BASES}, {BY_COUNT} SELECT CASE WHEN c BETWEEN 1 AND 200 THEN round(c, 9) END AS coverage FROM bycount")
+def read_count_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return depth.read_count_coverage(view(spark, sf_dir, "aln"), contigs(spark, sf_dir)).select(F.round("coverage", 9).alias("coverage"))
+
+
+@query(
+    sql("aln", "contigs")
+    + MEANS
+    + f""", {BY_COUNT}, r AS (SELECT mean, row_number() OVER (ORDER BY mean) AS i, count(*) OVER () AS n FROM means WHERE mean BETWEEN 0.5 AND 500),
+m AS (SELECT quantile_cont(mean, 0.5) AS c FROM r WHERE n >= 5 AND i > n // 5 AND i <= n - n // 5)
+SELECT round(coalesce(m.c, CASE WHEN b.c BETWEEN 1 AND 200 THEN b.c END, 30.0), 9) AS coverage FROM m, bycount b"""
+)
+def estimated_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return depth.coverage(view(spark, sf_dir, "aln"), contigs(spark, sf_dir), P.coverage).select(F.round("coverage", 9).alias("coverage"))
+
+
 @query(
     sql("cand")
     + """, r AS (SELECT size, row_number() OVER (ORDER BY size) AS i, count(*) OVER () AS n FROM cand)
@@ -314,11 +365,24 @@ def call_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.with_filters(scoring.with_quality(view(spark, sf_dir, "cand"), P), P).select("call_id", "filter")
 
 
-@query()
+@query(
+    sql("cand")
+    + """, c AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY start, stop, sv_type) AS i FROM cand),
+occ AS (SELECT chrom, i, 'r' || (call_id % 3 + unnest(range(0, 5))) AS read FROM c),
+near AS (SELECT a.chrom, a.i, max(b.i) AS r FROM c a JOIN c b ON b.chrom = a.chrom AND b.i >= a.i AND b.start - a.stop <= 1000 GROUP BY 1, 2),
+twice AS (SELECT n.chrom, n.i, n.r, o.read FROM near n JOIN occ o ON o.chrom = n.chrom AND o.i BETWEEN n.i AND n.r GROUP BY ALL HAVING count(*) >= 2),
+good AS (SELECT chrom, i, r FROM twice WHERE r > i GROUP BY ALL HAVING count(*) >= 4),
+walk AS (SELECT chrom, arg_min(r, i) AS r, min(i) AS i FROM good GROUP BY 1
+  UNION ALL SELECT w.chrom, g.r, g.i FROM walk w JOIN good g ON g.chrom = w.chrom AND g.i = (SELECT min(x.i) FROM good x WHERE x.chrom = w.chrom AND x.i > w.r))
+SELECT w.chrom, min(start) AS start, max(stop) AS stop, max(stop) - min(start) AS size, cast((SELECT count(DISTINCT read) FROM occ o WHERE o.chrom = w.chrom AND o.i BETWEEN w.i AND w.r) AS double) AS support, cast(trunc(avg(mapq)) AS int) AS mapq,
+  (SELECT string_agg(DISTINCT read, ',' ORDER BY read) FROM occ o WHERE o.chrom = w.chrom AND o.i BETWEEN w.i AND w.r) AS reads, string_agg(sv_type, ',' ORDER BY c.i) AS components
+FROM walk w JOIN c ON c.chrom = w.chrom AND c.i BETWEEN w.i AND w.r GROUP BY w.chrom, w.i, w.r"""
+)
 def shared_read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring candidates that share reads; checked against a loop in the tests."""
+    """Neighbouring candidates that share reads."""
     rows = view(spark, sf_dir, "cand").withColumn("reads", F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.concat(F.lit("r"), (F.col("call_id") % 3 + i).cast("string"))))
-    return complexes.shared_read_events(rows, Params(complex_reads=4))
+    found = complexes.shared_read_events(rows, Params(complex_reads=4))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("reads", "components")})
 
 
 @query(sql("cand") + " SELECT call_id, row_number() OVER (ORDER BY chrom, start, call_id) AS number FROM cand")
@@ -413,9 +477,19 @@ def top_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.patterns(view(spark, sf_dir, "ev").groupBy("read_name").agg(F.collect_list("sv_type").alias("components")), 8)
 
 
-@query()
+@query(
+    sql("cand")
+    + """, p AS (SELECT t.call_id AS t, c.call_id AS c, row_number() OVER (ORDER BY abs(t.start - c.start), t.call_id, c.call_id) AS k FROM cand t JOIN cand c ON t.caller % 2 = 0 AND c.caller % 2 = 1 AND t.chrom = c.chrom AND t.sv_type = c.sv_type
+  AND abs(t.start - c.start) <= 500 AND least(greatest(abs(t.size), 1), greatest(abs(c.size), 1)) / greatest(abs(t.size), abs(c.size), 1) >= 0.7),
+best AS (SELECT *, k = min(k) OVER (PARTITION BY t) AND k = min(k) OVER (PARTITION BY c) AS ok FROM p),
+turn AS (SELECT t, c, k, ok, 0 AS n FROM best UNION ALL
+  SELECT t, c, k, k = min(k) OVER (PARTITION BY t) AND k = min(k) OVER (PARTITION BY c), n FROM (SELECT t, c, k, n + 1 AS n, bool_or(ok) OVER (PARTITION BY t) AS a, bool_or(ok) OVER (PARTITION BY c) AS b FROM turn) WHERE NOT a AND NOT b),
+met AS (SELECT t, c FROM turn WHERE ok)
+SELECT chrom, sv_type, call_id AS truth_id, met.c AS call_id, CASE WHEN met.c IS NULL THEN 'FN' ELSE 'TP' END AS state FROM cand LEFT JOIN met ON met.t = call_id WHERE caller % 2 = 0
+UNION ALL SELECT chrom, sv_type, NULL, call_id, 'FP' FROM cand WHERE caller % 2 = 1 AND call_id NOT IN (SELECT c FROM met)"""
+)
 def benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates of two callers as truth and calls; checked against a loop in the tests."""
+    """Candidates of two callers as truth and calls."""
     rows = view(spark, sf_dir, "cand").withColumnRenamed("call_id", "id")
     return evaluation.match(rows.where("caller % 2 = 0"), rows.where("caller % 2 = 1"))
 

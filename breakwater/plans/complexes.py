@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import itertools
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import sequences
 from ..params import Params
+from ..sources.tables import stored
 from .evidence import _filled
 
 
@@ -25,54 +27,120 @@ def single_read_windows(evidence: DataFrame, span: int = 1000) -> DataFrame:
     return _filled(found.select("chrom", F.col("first").alias("start"), F.col("last").alias("stop"), (F.col("last") - F.col("first")).alias("size"), "read_name", "mapq", "ord", "components", F.lit("CPX").alias("sv_type"), F.lit("COMPLEX_WINDOW").alias("ev_type")), 6)
 
 
-MERGED = "chrom string, start bigint, stop bigint, size bigint, support double, mapq int, reads array<string>, components array<string>"
-
-
-def _merged(p: Params):
-    def close(rows: list[tuple]) -> list[tuple]:
-        """Calls of one island in order; a call that went into an event begins no other."""
-        out, taken = [], set()
-        for i, (chrom, start, stop, mapq, reads, kind) in enumerate(rows):
-            if i in taken:
-                continue
-            near = [i]
-            for j in range(i + 1, len(rows)):
-                gap = rows[j][1] - stop
-                if gap <= p.complex_distance:
-                    if gap <= p.merge_distance or not reads.isdisjoint(rows[j][4]):
-                        near.append(j)
-                elif gap > 2 * p.complex_distance:
-                    break
-            shared = Counter(r for j in near for r in rows[j][4])
-            if len(near) >= 2 and sum(n >= 2 for n in shared.values()) >= p.complex_reads:
-                first, last = min(rows[j][1] for j in near), max(rows[j][2] for j in near)
-                out.append((chrom, first, last, last - first, float(len(shared)), int(sum(rows[j][3] for j in near) / len(near)), sorted(shared), [rows[j][5] for j in near]))
-                taken.update(near)
-        return out
-
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in MERGED.split(", ")]
-        now, rows = None, []
-        for pdf in batches:
-            out: list[tuple] = []
-            for chrom, island, start, stop, mapq, reads, kind in zip(*(pdf[c].tolist() for c in ("chrom", "island", "start", "stop", "mapq", "reads", "sv_type")), strict=True):
-                if now != (chrom, island):
-                    out += close(rows)
-                    now, rows = (chrom, island), []
-                rows.append((chrom, start, stop, mapq, frozenset(reads), kind))
-            yield pd.DataFrame(out, columns=names)
-        yield pd.DataFrame(close(rows), columns=names)
+FOUND = "anchor bigint, n bigint"
+
+
+class Contained:
+    """Counts of whole-number intervals within queries, for all queries at once: intervals are sorted by their begin, and every block of 2^k of
+    them by their end, so a query is a search in one block of each size."""
+
+    def __init__(self, first: np.ndarray, last: np.ndarray) -> None:
+        order = np.argsort(first, kind="stable")
+        self.first, self.top = first[order], int(last.max(initial=0)) + 2
+        size = 1 << max(0, int(np.ceil(np.log2(max(1, len(first))))))
+        self.level = np.full(size, self.top - 1, np.int64)
+        self.level[: len(last)] = last[order]
+
+    def within(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """How many intervals begin at low or later and end at high or earlier."""
+        begin, total, size, level = np.searchsorted(self.first, low), np.zeros(len(low), np.int64), 1, self.level
+        wanted = np.minimum(high, self.top - 2)
+        while True:
+            odd = (begin & 1) == 1 if size < len(level) else begin == 0  # blocks of this size that the rest of the intervals begins with
+            block = begin[odd]
+            keyed = level + np.arange(len(level)) // size * self.top
+            total[odd] += np.searchsorted(keyed, block * self.top + wanted[odd], "right") - block * size
+            if size >= len(level):
+                return total
+            begin = (begin + 1) >> 1
+            size *= 2
+            level = np.sort(level.reshape(-1, size), axis=1).ravel()
+
+
+def _anchors(starts: np.ndarray, stops: np.ndarray, at: np.ndarray, read: np.ndarray, p: Params) -> Iterator[tuple[int, np.ndarray]]:
+    """Anchors of events and their calls, among an island's calls in order; at and read: which calls a read is in, sorted by read and call.
+    A call that went into an event begins no other."""
+    n = len(starts)
+    same = read[1:] == read[:-1]
+    again = same[1:] & same[:-1]
+    every = np.arange(n)
+    sure = np.searchsorted(starts, stops + min(p.merge_distance, p.complex_distance), "right") - 1  # calls up to here are near by distance alone
+    far = np.searchsorted(starts, stops + p.complex_distance, "right") - 1  # up to here if a read is in both
+    sure, far = np.maximum(sure, every), np.maximum(far, every)
+    # A read in m calls of a run has m - 1 pairs of neighbours in it and m - 2 of neighbours but one: the difference is 1 if m is 2 or more.
+    shared = Contained(at[:-1][same], at[1:][same]).within(every, sure) - Contained(at[:-2][again], at[2:][again]).within(every, sure)
+    of_call = np.argsort(at, kind="stable")
+    begins = np.searchsorted(at[of_call], np.arange(n + 1))
+    ends = np.searchsorted(read, read, "right")
+    taken = np.zeros(n, bool)
+    for i in range(n):
+        if taken[i]:
+            continue
+        more: set[int] = set()
+        if far[i] > sure[i]:
+            for q in of_call[begins[i] : begins[i + 1]]:
+                later = at[q:ends[q]]
+                more.update(later[(later > sure[i]) & (later <= far[i])].tolist())
+        if more:
+            near = np.concatenate([np.arange(i, sure[i] + 1), np.array(sorted(more))])
+            names = read[np.concatenate([of_call[begins[j] : begins[j + 1]] for j in near])]
+            enough = int((np.unique(names, return_counts=True)[1] >= 2).sum()) >= p.complex_reads
+        else:
+            enough = sure[i] > i and shared[i] >= p.complex_reads
+            near = np.arange(i, sure[i] + 1) if enough else every[:0]
+        if enough:
+            taken[near] = True
+            yield i, near
+
+
+def _islands(p: Params):
+    """An island is whole numbers alone: three for a call, two for a read in a call."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            rest = now if rest is None else pa.concat_tables([rest, now])
+            if rest.num_rows and (key := rest["island"].to_numpy())[0] != key[-1]:
+                cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist()]
+                for a, b in itertools.pairwise(cuts):
+                    yield from found(rest.slice(a, b - a))
+                rest = rest.slice(cuts[-1])
+        if rest is not None and rest.num_rows:
+            yield from found(rest)
+
+    def found(island: pa.Table) -> Iterator[pa.RecordBatch]:
+        call = island["read"].is_null().to_numpy()
+        calls, reads = island.filter(pa.array(call)), island.filter(pa.array(~call))
+        n = calls["n"].to_numpy()
+        order = np.argsort(n, kind="stable")
+        n = n[order]
+        read = reads["read"].to_numpy()
+        at = np.searchsorted(n, reads["n"].to_numpy())
+        by_read = np.lexsort((at, read))
+        for i, near in _anchors(calls["start"].to_numpy()[order], calls["stop"].to_numpy()[order], at[by_read], read[by_read], p):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), n[i])), pa.array(n[near])], names=["anchor", "n"])
 
     return of
 
 
 def shared_read_events(calls: DataFrame, p: Params) -> DataFrame:
-    """Events of neighbouring calls with enough reads in common. Calls further apart than the distance from all before them begin an island,
-    and islands are folded apart, one at a time in memory."""
-    kept = calls.where("chrom IS NOT NULL AND start IS NOT NULL AND stop IS NOT NULL").withColumn("reads", F.coalesce("reads", F.expr("cast(array() as array<string>)"))).withColumn("mapq", F.coalesce("mapq", F.lit(0)))
-    reach = sequences.merge(kept.select("chrom", "start", "stop"), ["chrom"], pad=p.complex_distance).select(F.col("chrom").alias("_c"), F.col("start").alias("island"), F.col("stop").alias("_end"))
-    marks = kept.select("chrom", "start").distinct().join(reach.select(F.col("_c").alias("chrom"), F.col("island").alias("start"), F.lit(True).alias("_first")), ["chrom", "start"], "left")
-    numbered = sequences.chain(marks, ["chrom"], "start", [], [], lambda before: F.coalesce(F.col("_first"), F.lit(False)), "island")
-    rows = kept.join(numbered.select("chrom", "start", "island"), ["chrom", "start"])
-    dealt = rows.select("chrom", "island", "start", "stop", "mapq", "reads", "sv_type").repartition("chrom", "island").sortWithinPartitions("chrom", "island", "start", "stop", "sv_type")
-    return dealt.mapInPandas(_merged(p), MERGED)
+    """chrom, start, stop, size, support, mapq, reads, components: events of neighbouring calls with enough reads in common. A call's neighbours begin
+    at most merge_distance after its end, or complex_distance if they share one of its reads. Calls further apart than that from all before them
+    begin an island. Calls are numbered and reads are hashed: what an island's task holds is an index from reads to calls, of 16 bytes a read in a call,
+    and it returns numbers; names come back by a join. Reads without a name count in no call."""
+    label = F.coalesce("reads", F.expr("cast(array() as array<string>)"))
+    kept = calls.where("chrom IS NOT NULL AND start IS NOT NULL AND stop IS NOT NULL").select("chrom", F.col("start").cast("bigint").alias("start"), F.col("stop").cast("bigint").alias("stop"), F.coalesce("mapq", F.lit(0)).alias("mapq"), F.array_sort(F.array_distinct(F.array_compact(label))).alias("reads"), "sv_type")
+    placed = stored(sequences.numbered(kept, "chrom", "start", ["stop", "sv_type", "mapq", "reads"], "n"), "complex-calls")
+    distance = max(p.complex_distance, 0)
+    reach = sequences.merge(placed.select("chrom", "start", "stop"), ["chrom"], pad=distance).select("chrom", "start", F.lit(True).alias("first"))
+    marks = placed.select("chrom", "start").distinct().join(reach, ["chrom", "start"], "left")
+    islands = sequences.chain(marks, ["chrom"], "start", [], ["first"], lambda before: F.coalesce(F.col("first"), F.lit(False)), "island")
+    rows = placed.join(islands.select("chrom", "start", F.xxhash64("chrom", "island").alias("island")), ["chrom", "start"])
+    index = rows.select("island", "n", F.explode("reads").alias("name")).select("island", "n", F.lit(None).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("stop"), F.xxhash64("name").alias("read"))
+    both = rows.select("island", "n", "start", "stop", F.lit(None).cast("bigint").alias("read")).unionByName(index)
+    members = stored(both.repartition("island").sortWithinPartitions("island").mapInArrow(_islands(p), FOUND), "complex-members")
+    met = members.join(placed, "n")
+    names = met.select("anchor", F.explode("reads").alias("name")).distinct().groupBy("anchor").agg(F.array_sort(F.collect_list("name")).alias("reads"), F.count("*").cast("double").alias("support"))
+    ends = met.groupBy("anchor").agg(F.first("chrom").alias("chrom"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.avg("mapq").cast("int").alias("mapq"), F.transform(F.array_sort(F.collect_list(F.struct("n", "sv_type"))), lambda x: x["sv_type"]).alias("components"))
+    return ends.join(names, "anchor").select("chrom", "start", "stop", (F.col("stop") - F.col("start")).alias("size"), "support", "mapq", "reads", "components")

@@ -84,10 +84,29 @@ def test_chains(spark):
     assert sorted(r.cluster for r in sizes.collect()) == [1, 2]
 
 
-def test_chain_over_bins_is_one_chain(spark):
-    rows = spark.createDataFrame([(None if i % 3 == 0 else "k", i * 10 + (500 if i > 30 else 0)) for i in range(60)], "key string, pos long")
-    one, many = (sorted(map(tuple, sequences.chain(rows, ["key"], "pos", [], [], lambda b: F.col("pos") - b["pos"] > 100, "g", width=w).collect()), key=str) for w in (10**9, 17))
-    assert one == many and len({(r[0], r[2]) for r in one}) == 4
+def test_chain_over_ranges_is_one_chain(spark):
+    rows = spark.createDataFrame([(None if i % 3 == 0 else "k", i * 10 + (500 if i > 30 else 0), i % 4) for i in range(400)] + [("one", 5, 5)] * 3, "key string, pos long, more long")
+    found, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    for n in (1, 2, 7, 60):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found.append(sorted(map(tuple, sequences.chain(rows, ["key"], "pos", ["more"], ["more"], lambda b: (F.col("pos") - b["pos"] > 100) | (b["more"] == 3), "g").collect()), key=str))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found[0] == found[1] == found[2] == found[3]
+    want = []
+    for key in (None, "k"):
+        last, g = None, 0
+        for pos, more in sorted((i * 10 + (500 if i > 30 else 0), i % 4) for i in range(400) if (i % 3 == 0) == (key is None)):
+            g += last is None or pos - last[0] > 100 or last[1] == 3
+            want.append((key, pos, more, g))
+            last = pos, more
+    assert found[0] == sorted([*want, *[("one", 5, 5, 1)] * 3], key=str)
+    empty = sequences.chain(rows.limit(0), ["key"], "pos", [], [], lambda b: F.col("pos") > b["pos"], "g")
+    assert empty.columns == [*rows.columns, "g"] and empty.collect() == []
+
+
+def test_merge_and_numbers_over_bins(spark):
     flat = spark.createDataFrame([("k", i * 7, i * 7 + (300 if i % 10 == 0 else 3), "x") for i in range(80)], "chrom string, start long, stop long, info string")
     a, b = (sorted(map(tuple, sequences.merge(flat, ["chrom"], pad=1, label="info", width=w).collect())) for w in (10**9, 13))
     assert a == b
