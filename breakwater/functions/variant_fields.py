@@ -11,11 +11,11 @@ REPEATS = ("homopolymer", "tandem", "low_complexity", "repeat")
 def info_map(info: Column) -> Column:
     """INFO as a map; a flag has the value null, of repeated keys the last counts."""
     pairs = F.filter(F.split(F.coalesce(info, F.lit("")), ";"), lambda x: x != "")
-    key = lambda x: F.substring_index(x, "=", 1)
-    entry = lambda x: F.struct(key(x).alias("key"), F.when(F.contains(x, F.lit("=")), F.substr(x, F.length(key(x)) + 2)).alias("value"))
-    last = F.transform(pairs, lambda x: entry(x))
-    kept = F.filter(last, lambda x, i: ~F.exists(F.slice(last, i + 2, F.greatest(F.size(last), F.lit(1))), lambda y: y["key"] == x["key"]))
-    return F.map_from_entries(kept)
+    keys = F.transform(pairs, lambda x: F.substring_index(x, "=", 1))
+    values = F.transform(pairs, lambda x: F.when(F.contains(x, F.lit("=")), F.substr(x, F.length(F.substring_index(x, "=", 1)) + 2)))
+    entries = F.reverse(F.arrays_zip(keys.alias("key"), values.alias("value")))
+    last = F.filter(entries, lambda x, i: F.array_position(F.transform(entries, lambda y: y["key"]), x["key"]) == i + 1)
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.map_from_arrays(keys, values)).otherwise(F.map_from_entries(last))
 
 
 def genotype(form: Column, sample: Column) -> Column:

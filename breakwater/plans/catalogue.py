@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import bases, statistics
 from ..operators import depth, intervals, sequences
 from ..params import Params
-from ..sources import variants
+from ..sources import reference, variants
+from ..sources.tables import stored_path
 from . import calls, complexes, evaluation, evidence, genotyping, reports, scoring
 from .adapters import contigs, sql, view
 
@@ -466,6 +467,98 @@ def size_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.size_histogram(view(spark, sf_dir, "cand"))
 
 
+REASONS = ", r AS (SELECT unnest(string_split(filter, ';')) AS reason FROM cand WHERE filter <> 'PASS'), n AS (SELECT reason, count(*) AS n FROM r GROUP BY 1)"
+
+
+@query(sql("cand") + REASONS + " SELECT cast(row_number() OVER (ORDER BY n DESC, reason) AS int) AS place, reason, n, round(100 * n / (SELECT count(*) FROM cand), 9) AS percent FROM n")
+def reason_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.reason_shares(view(spark, sf_dir, "cand")).withColumn("percent", F.round("percent", 9))
+
+
+@query(sql("cand") + " SELECT sv_type, count(*) AS n, count(*) FILTER (filter = 'PASS') AS passed, round(100 * count(*) FILTER (filter = 'PASS') / count(*), 9) AS percent, round(avg(support), 9) AS mean_qual FROM cand GROUP BY 1")
+def type_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = reports.type_quality(view(spark, sf_dir, "cand").withColumn("qual", F.col("support")))
+    return found.withColumns({c: F.round(c, 9) for c in ("percent", "mean_qual")})
+
+
+@query(sql("ev") + ", c AS (SELECT read_name FROM ev GROUP BY 1 HAVING count(*) > 2) SELECT sv_type AS component, count(*) AS n FROM ev SEMI JOIN c USING (read_name) GROUP BY 1")
+def component_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads with three rows of evidence or more as complex calls of their types."""
+    rows = view(spark, sf_dir, "ev").groupBy("read_name").agg(F.collect_list("sv_type").alias("components")).where(F.size("components") > 2)
+    return reports.component_counts(rows.withColumn("sv_type", F.lit("CPX")))
+
+
+DETECTED = """, k(place, sv_type) AS (VALUES (0, 'DEL'), (1, 'INS'), (2, 'DUP'), (3, 'INV'), (4, 'BND'), (5, 'CPX')),
+n AS (SELECT sv_type, count(*) FILTER (caller % 2 = 0) AS truth, count(*) FILTER (caller % 2 = 1 AND filter = 'PASS') AS detected FROM cand WHERE {} GROUP BY 1)
+SELECT place, sv_type, coalesce(truth, 0) AS truth, coalesce(detected, 0) AS detected, round(CASE WHEN truth > 0 THEN 100 * detected / truth END, 9) AS rate FROM k LEFT JOIN n USING (sv_type)"""
+
+
+def _truth_and_calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = view(spark, sf_dir, "cand")
+    return rows.where("caller % 2 = 0"), rows.where("caller % 2 = 1")
+
+
+@query(sql("cand") + DETECTED.format("true"))
+def detection_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.detection(*_truth_and_calls(spark, sf_dir)).withColumn("rate", F.round("rate", 9))
+
+
+@query(sql("cand") + DETECTED.format("in_repeat"))
+def detection_in_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.detection(*_truth_and_calls(spark, sf_dir), F.col("in_repeat")).withColumn("rate", F.round("rate", 9))
+
+
+SIDES = """, side AS (SELECT CASE sv_type WHEN 'DUP' THEN 'DUP_' || dup_subtype ELSE sv_type END AS panel, CASE WHEN caller % 2 = 0 THEN 'truth' ELSE 'detected' END AS side, size, cast(size AS DOUBLE) AS x
+  FROM cand WHERE caller % 2 = 0 OR filter = 'PASS')"""
+
+
+@query(
+    sql("cand")
+    + SIDES
+    + """, e AS (SELECT panel, greatest(min(x), 50e0) AS lo, max(x) AS hi FROM side WHERE panel <> 'BND' AND x > 0 GROUP BY 1),
+b AS (SELECT panel, side, lo, hi, cast(least(23, floor((log10(x) - log10(lo)) / (log10(hi) - log10(lo)) * 24)) AS int) AS bin, count(*) AS n FROM side JOIN e USING (panel) WHERE x BETWEEN lo AND hi GROUP BY ALL),
+w AS (SELECT *, CASE bin WHEN 0 THEN lo ELSE pow(10, log10(lo) + bin / 24 * (log10(hi) - log10(lo))) END AS low, CASE bin WHEN 23 THEN hi ELSE pow(10, log10(lo) + (bin + 1) / 24 * (log10(hi) - log10(lo))) END AS high FROM b)
+SELECT panel, 'log' AS scale, side, bin, round(low, 6) AS low, round(high, 6) AS high, n, round(n / (sum(n) OVER (PARTITION BY panel, side) * (high - low)), 9) AS density FROM w
+UNION ALL SELECT panel, 'count', side, NULL, NULL, NULL, count(*), NULL FROM side WHERE panel = 'BND' GROUP BY ALL"""
+)
+def size_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = reports.size_distributions(*_truth_and_calls(spark, sf_dir))
+    return found.withColumns({"low": F.round("low", 6), "high": F.round("high", 6), "density": F.round("density", 9)})
+
+
+@query(sql("cand") + SIDES + " SELECT panel, side, count(*) AS n, quantile_disc(size, 0.5) AS median FROM side WHERE panel <> 'BND' AND size > 0 GROUP BY ALL HAVING count(*) > 1")
+def size_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.size_medians(*_truth_and_calls(spark, sf_dir))
+
+
+@query(
+    sql("cand")
+    + """, s AS (SELECT caller % 2 AS caller, CASE WHEN filter = 'PASS' THEN 'TP' WHEN in_repeat THEN 'FP' ELSE 'FN' END AS state FROM cand), k(outcome) AS (VALUES ('TP'), ('FP'), ('FN'))
+SELECT caller, outcome, count(*) FILTER (state = outcome) AS n FROM s, k GROUP BY ALL"""
+)
+def outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes by caller, of states taken from the candidates' filters."""
+    state = F.when(F.col("filter") == "PASS", "TP").when(F.col("in_repeat"), "FP").otherwise("FN")
+    return reports.outcomes(view(spark, sf_dir, "cand").select((F.col("caller") % 2).alias("caller"), state.alias("state")))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq FROM documents), r AS (SELECT o_orderkey AS region_id, o_orderkey % 200 AS doc_id, o_orderkey * 7 % 9000 AS s, o_orderkey * 7 % 9000 + o_custkey % 25000 AS e FROM orders)
+SELECT region_id, length(coalesce(seq, '')[s + 1:e]) AS n, md5(coalesce(seq, '')[s + 1:e]) AS md5 FROM r LEFT JOIN d USING (doc_id)"""
+)
+def reference_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The letters of all texts as sequences: written as FASTA, read back in chunks, and fetched by region."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    seqs = docs.select(F.col("doc_id").cast("string").alias("chrom"), F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("seq")).where("seq <> ''")
+    path = stored_path(spark, "reference")
+    reference.wrapped(seqs).write.text(path)
+    key = F.col("o_orderkey")
+    start = key * 7 % 9000
+    regions = spark.read.parquet(f"{sf_dir}/orders.parquet").select(key.alias("region_id"), (key % 200).cast("string").alias("chrom"), start.alias("start"), (start + F.col("o_custkey") % 25000).alias("stop"))
+    found = reference.fetch(regions, reference.read_fasta(spark, path))
+    return found.select("region_id", F.length("seq").cast("bigint").alias("n"), F.md5("seq").alias("md5"))
+
+
 @query(sql("cand") + ", m AS (SELECT chrom, start // 100 AS b, sv_type, bit_or(1 << caller) AS mask FROM cand WHERE filter = 'PASS' GROUP BY 1, 2, 3) SELECT mask, count(*) AS n FROM m GROUP BY 1")
 def caller_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.caller_overlap(view(spark, sf_dir, "cand"))

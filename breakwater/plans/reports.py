@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import variant_fields as fields
@@ -25,6 +25,49 @@ def filter_reasons(calls: DataFrame) -> DataFrame:
     return calls.select(F.explode(F.split("filter", ";")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+def reason_shares(calls: DataFrame) -> DataFrame:
+    """place, reason, n, percent: why calls didn't pass, the commonest reason first, with the share of all calls that have it."""
+    total = calls.agg(F.count("*").alias("_total"))
+    reasons = filter_reasons(calls.where(F.col("filter") != "PASS")).crossJoin(F.broadcast(total))  # one row
+    return reasons.select(F.row_number().over(Window.orderBy(F.desc("n"), "reason")).alias("place"), "reason", "n", (100 * F.col("n") / F.col("_total")).alias("percent")).orderBy("place")  # a row a reason
+
+
+def type_quality(calls: DataFrame) -> DataFrame:
+    """By type: all calls, those that passed, their percentage and the mean quality."""
+    passed = _n(F.col("filter") == "PASS")
+    return calls.groupBy("sv_type").agg(F.count("*").alias("n"), passed.alias("passed"), (100 * passed / F.count("*")).alias("percent"), F.avg("qual").alias("mean_qual"))
+
+
+def component_counts(calls: DataFrame) -> DataFrame:
+    """component, n: how often each type is part of a complex call, the commonest first."""
+    return calls.where(F.col("sv_type") == "CPX").select(F.explode("components").alias("component")).groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component")
+
+
+def outcomes(states: DataFrame, by: str = "caller") -> DataFrame:
+    """caller, outcome, n: true and false positives and false negatives, also those that a caller has none of. states: of evaluation.match, with a caller."""
+    counts = states.groupBy(by).agg(*(_n(F.col("state") == s).alias(s) for s in ("TP", "FP", "FN")))
+    return counts.unpivot([by], ["TP", "FP", "FN"], "outcome", "n")
+
+
+def summary_outcomes(summaries: DataFrame) -> DataFrame:
+    """The same of summaries that give the counts: caller, tp, fp, fn."""
+    return summaries.select("caller", *(F.col(s.lower()).alias(s) for s in ("TP", "FP", "FN"))).unpivot(["caller"], ["TP", "FP", "FN"], "outcome", "n")
+
+
+TYPES = ("DEL", "INS", "DUP", "INV", "BND", "CPX")
+
+
+def detection(truth: DataFrame, calls: DataFrame, where: Column | None = None) -> DataFrame:
+    """place, sv_type, truth, detected, rate: of each type in its usual order, the true variants, the calls that passed and their ratio in percent; null
+    without any true ones. where: a condition on both sides, as to lie in a repeat."""
+    rows = truth.select("sv_type", "in_repeat", F.lit(True).alias("real")).unionByName(calls.where(F.col("filter") == "PASS").select("sv_type", "in_repeat", F.lit(False).alias("real")))
+    rows = rows.where(where) if where is not None else rows
+    counts = rows.groupBy("sv_type").agg(_n(F.col("real")).alias("truth"), _n(~F.col("real")).alias("detected"))
+    kinds = calls.sparkSession.createDataFrame(list(enumerate(TYPES)), "place int, sv_type string")
+    both = kinds.join(counts, "sv_type", "left").select("place", "sv_type", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("truth", "detected")))
+    return both.withColumn("rate", F.when(F.col("truth") > 0, 100 * F.col("detected") / F.col("truth"))).orderBy("place")
+
+
 def dup_subtypes(calls: DataFrame) -> DataFrame:
     """By caller, passed duplications that are interspersed or else tandem."""
     dup = calls.where((F.col("sv_type") == "DUP") & (F.col("filter") == "PASS"))
@@ -61,6 +104,50 @@ def size_histogram(calls: DataFrame, low: float = 10.0, high: float = 1e6, bins:
     return rows.groupBy("sv_type", "bin").agg(F.count("*").alias("n")).join(medians, "sv_type")
 
 
+def _sides(truth: DataFrame, calls: DataFrame) -> DataFrame:
+    """panel, side, size: duplications by their kind, calls that passed."""
+    panel = F.when(F.col("sv_type") == "DUP", F.concat(F.lit("DUP_"), "dup_subtype")).otherwise(F.col("sv_type"))
+    rows = lambda df, side: df.select(panel.alias("panel"), F.lit(side).alias("side"), "size")
+    return rows(truth, "truth").unionByName(rows(calls.where(F.col("filter") == "PASS"), "detected")).where("panel IS NOT NULL")
+
+
+def size_distributions(truth: DataFrame, calls: DataFrame, bins: int = 24, least: int = 50) -> DataFrame:
+    """panel, scale, side, bin, low, high, n, density: sizes over 0 of true variants and of calls that passed, in bins whose edges come from the data of both
+    sides. From `least` (or the smallest size, if larger) to the largest, the edges are equally far apart by their logarithms; if no size is over `least`, by themselves,
+    from the smallest on. n / (all in the bins x width) is the density. Where all sizes are equal, and for breakends, which have none, there are counts alone.
+
+    One pass finds the ends, a row a panel, and one counts. A size on an edge belongs to the upper bin, the largest to the last."""
+    rows = _sides(truth, calls)
+    sized = rows.where((F.col("panel") != "BND") & (F.col("size") > 0))
+    ends = sized.groupBy("panel").agg(F.min("size").cast("double").alias("first"), F.max("size").cast("double").alias("last"))
+    log = F.col("last") > F.greatest("first", F.lit(least))
+    scale = F.when(F.col("last") == F.col("first"), "count").when(log, "log").otherwise("linear")
+    ends = ends.select("panel", scale.alias("scale"), F.when(log, F.greatest("first", F.lit(float(least)))).otherwise(F.col("first")).alias("first"), "last")
+    share = F.when(F.col("scale") == "log", (F.log10("size") - F.log10("first")) / (F.log10("last") - F.log10("first"))).when(F.col("scale") == "linear", (F.col("size") - F.col("first")) / (F.col("last") - F.col("first")))
+    placed = sized.join(F.broadcast(ends), "panel").where(F.col("size").between(F.col("first"), F.col("last")))  # a row a panel
+    counts = placed.groupBy("panel", "scale", "side", "first", "last", F.least(F.lit(bins - 1), F.floor(share * bins)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    counts = counts.withColumn("total", F.sum("n").over(Window.partitionBy("panel", "side")))  # a row a bin
+
+    def edge(k: Column) -> Column:
+        along = k / bins
+        logs = F.log10("first") + along * (F.log10("last") - F.log10("first"))
+        inner = F.when(F.col("scale") == "log", F.pow(F.lit(10.0), logs)).otherwise(F.col("first") + along * (F.col("last") - F.col("first")))
+        return F.when(k == 0, F.col("first")).when(k == bins, F.col("last")).when(F.col("scale") != "count", inner)
+
+    low, high = edge(F.col("bin")), edge(F.col("bin") + 1)
+    out = counts.select("panel", "scale", "side", "bin", F.when(F.col("scale") != "count", low).alias("low"), F.when(F.col("scale") != "count", high).alias("high"), "n", F.when(F.col("scale") != "count", F.col("n") / (F.col("total") * (high - low))).alias("density"))
+    nothing = F.lit(None).cast("double")
+    ends_only = rows.where("panel = 'BND'").groupBy("panel", "side").agg(F.count("*").alias("n")).select("panel", F.lit("count").alias("scale"), "side", F.lit(None).cast("int").alias("bin"), nothing.alias("low"), nothing.alias("high"), "n", nothing.alias("density"))
+    return out.unionByName(ends_only)
+
+
+def size_medians(truth: DataFrame, calls: DataFrame, accuracy: int = 10_000) -> DataFrame:
+    """panel, side, n, median of the sizes over 0, where there are two at least: from quantile sketches that tasks merge. A median's place among the sizes is off by
+    n / accuracy at most; up to so many sizes it is exact, of an even number the lower of the two in the middle."""
+    sized = _sides(truth, calls).where((F.col("panel") != "BND") & (F.col("size") > 0))
+    return sized.groupBy("panel", "side").agg(F.count("*").alias("n"), F.percentile_approx("size", 0.5, accuracy).alias("median")).where("n > 1")
+
+
 def caller_overlap(calls: DataFrame, width: int = 100) -> DataFrame:
     """How many places (chromosome, bucket, type) each set of callers has, as a bit mask: all regions of a Venn diagram."""
     place = [F.col("chrom"), fields.bucket(F.col("start"), width).alias("bucket"), F.col("sv_type")]

@@ -7,8 +7,22 @@ from pyspark.sql import functions as F
 
 from ..functions import variant_fields as fields
 from ..operators import sequences
-
-HEADER = ("##fileformat=VCFv4.2", "##source=breakwater", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tSAMPLE")
+from .lines import write_ordered
+
+FIELDS = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tSAMPLE"
+# Fixed values of the format: what ALT, INFO, FILTER and FORMAT fields are called, and their numbers and types.
+ALTS = {"DEL": "Deletion", "INS": "Insertion", "DUP": "Duplication", "DUP:TANDEM": "Duplication beside its source", "DUP:INTERSPERSED": "Duplication elsewhere", "INV": "Inversion", "BND": "Breakend", "CPX": "Event of several breakpoints"}
+INFOS = {
+    "SVTYPE": ("1", "String", "Type of the variant"), "END": ("1", "Integer", "Last position"), "SVLEN": ("1", "Integer", "Length, below zero for deletions"), "SUPPORT": ("1", "Float", "Weighted support by reads"),
+    "AF": ("A", "Float", "Share of reads"), "STDEV_POS": ("1", "Float", "Deviation of positions"), "STDEV_LEN": ("1", "Float", "Deviation of lengths"), "PRECISE": ("0", "Flag", "Seen within alignments"),
+    "IMPRECISE": ("0", "Flag", "Not seen within alignments"), "MAPQ": ("1", "Integer", "Mean mapping quality"), "DUPTYPE": ("1", "String", "Kind of duplication"), "CN": ("1", "Float", "Copies"),
+    "CHR2": ("1", "String", "Chromosome of the mate"), "POS2": ("1", "Integer", "Position of the mate"), "CPX_TYPE": (".", "String", "Types of a complex event"), "REPEAT": ("1", "String", "Repeat it lies in"), "STRAND_RATIO": ("1", "Float", "Share of the rarer strand"),
+}
+FILTERS = {
+    "PASS": "Passed all filters", "MinSize": "Too short", "MinSupport": "Too little support", "MinAF": "Too small a share of reads", "LowMAPQ": "Low mapping quality", "LowQual": "Low quality", "LowGQ": "Low genotype quality",
+    "HighSTDPos": "Positions differ too much", "StrandBias": "Nearly all reads on one strand", "Artifact": "Likely an artifact", "ImpreciseBreakpoint": "Imprecise breakpoint",
+}
+FORMATS = {"GT": ("1", "String", "Genotype"), "GQ": ("1", "Integer", "Genotype quality"), "DR": ("1", "Integer", "Reads of the reference"), "DV": ("1", "Integer", "Reads of the variant")}
 COLUMNS = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format", "sample")
 
 
@@ -24,7 +38,7 @@ def split(lines: DataFrame) -> DataFrame:
 
 def parsed(records: DataFrame) -> DataFrame:
     """Typed fields of VCF rows, 0-based. A field that is no number is null and never ends the file."""
-    rows = records.withColumn("m", fields.info_map(F.col("info")))
+    rows = records.withColumn("m", F.explode(F.array(fields.info_map(F.col("info")))))  # parsed once: an expression would be repeated for every key
     of = lambda key: F.try_element_at("m", F.lit(key))
     pos = F.col("pos").try_cast("bigint") - 1
     kind = F.coalesce(of("SVTYPE"), F.regexp_extract("alt", "^<([A-Z]+)", 1))
@@ -89,8 +103,26 @@ def rendered(calls: DataFrame) -> DataFrame:
     return rows.select(F.col("number").cast("bigint").alias("number"), line.alias("value"))
 
 
-def write_vcf(calls: DataFrame, path: str) -> None:
-    """Part files whose order is the VCF's: the header first, then calls by (chrom, start)."""
-    spark = calls.sparkSession
-    head = spark.createDataFrame([(i - len(HEADER), h) for i, h in enumerate(HEADER)], "number long, value string")
-    head.unionByName(rendered(calls)).repartitionByRange("number").sortWithinPartitions("number").select("value").write.mode("overwrite").text(path)
+def header(contigs: DataFrame | None = None) -> list[str]:
+    """The header's lines: version, source, the contigs in order (a few thousand names at most, as in any VCF), and every field that lines can have."""
+    known = contigs.orderBy("ord").select("chrom", "length").collect() if contigs is not None else []
+    typed = lambda kind, table: [f'##{kind}=<ID={k},Number={n},Type={t},Description="{d}">' for k, (n, t, d) in table.items()]
+    plain = lambda kind, table: [f'##{kind}=<ID={k},Description="{d}">' for k, d in table.items()]
+    named = [f"##contig=<ID={r['chrom']},length={r['length']}>" for r in known]
+    return ["##fileformat=VCFv4.3", "##source=breakwater", *named, *plain("ALT", ALTS), *typed("INFO", INFOS), *plain("FILTER", FILTERS), *typed("FORMAT", FORMATS), FIELDS]
+
+
+def write_vcf(calls: DataFrame, path: str, contigs: DataFrame | None = None) -> None:
+    """One VCF file: the header, then calls by (chrom, start)."""
+    write_ordered(rendered(calls), "number", path, header(contigs))
+
+
+def find_vcfs(spark: SparkSession, folder: str, names: dict[str, list[str]] | None = None, ending: str = "_calls.vcf") -> DataFrame:
+    """caller, path of a folder's VCF files: of each caller the first of its names that is there. Without names, truth.vcf is the caller `truth` and
+    files with the ending belong to the caller that they are called after. Contents aren't read; empty files don't count."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.vcf").load(folder).select("path", F.substring_index("path", "/", -1).alias("name"))
+    if names is None:
+        caller = F.when(F.col("name") == "truth.vcf", "truth").when(F.endswith("name", F.lit(ending)), F.expr(f"left(name, length(name) - {len(ending)})"))
+        return found.select(caller.alias("caller"), "path").where("caller IS NOT NULL")
+    wanted = spark.createDataFrame([(c, i, n) for c, files in names.items() for i, n in enumerate(files)], "caller string, rank int, name string")
+    return found.join(F.broadcast(wanted), "name").groupBy("caller").agg(F.min_by("path", "rank").alias("path"))  # a few names
