@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ADVANCE = ("M", "=", "X", "D", "N")
 ALIGNED = ("M", "=", "X")
-PIECE = 64  # operations folded at once: arrays that grow in a fold stay short
 
 
 def operations(cigar: Column) -> Column:
@@ -40,21 +45,67 @@ def events(cigar: Column, start: Column, min_insertion: int, min_deletion: int)
     return F.aggregate(operations(cigar), first, step, lambda acc: acc["out"])
 
 
-def with_blocks(df: DataFrame, cigar: str = "cigar", start: str = "start") -> DataFrame:
-    """Adds blocks, array<struct<start bigint, stop bigint>>: where bases of the read stand on the reference, without deletions and skips; and
-    span_stop. Operations are folded piece by piece, so the work grows with their number, not with its square. A null start has no blocks."""
-    zero, empty = F.lit(0).cast("bigint"), F.expr("cast(array() as array<struct<start bigint, stop bigint>>)")
-    moved = lambda x: F.when(x["op"].isin(*ADVANCE), x["n"]).otherwise(zero)
-    n = F.greatest(F.lit(1), F.ceil(F.size("_ops") / PIECE)).cast("int")
-    rows = df.withColumn("_ops", operations(F.col(cigar))).withColumn("_pieces", F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice("_ops", i * PIECE + 1, F.lit(PIECE))))
-    sums = F.transform("_pieces", lambda piece: F.aggregate(piece, zero, lambda acc, x: acc + moved(x)))
-    rows = rows.withColumn("_starts", F.aggregate(sums, F.array(F.col(start).cast("bigint")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))))
-
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + moved(x)
-        block = F.array(F.struct(acc["at"].alias("start"), at.alias("stop")))
-        return F.struct(at.alias("at"), F.when(x["op"].isin(*ALIGNED) & (x["n"] > 0), F.concat(acc["out"], block)).otherwise(acc["out"]).alias("out"))
-
-    found = F.zip_with("_pieces", F.slice("_starts", F.lit(1), F.size("_pieces")), lambda piece, at: F.aggregate(piece, F.struct(at.alias("at"), empty.alias("out")), step, lambda acc: acc["out"]))
-    rows = rows.withColumn("blocks", F.when(F.col(start).isNotNull(), F.flatten(found)).otherwise(empty))
-    return rows.withColumn("span_stop", F.element_at("_starts", -1)).drop("_ops", "_pieces", "_starts")
+def parsed(cigar: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of CIGAR strings all operations at once: the row, the letter's code and the length of each. Nulls and what is no operation have none.
+    For whole batches this takes a fraction of what folding every row as an array does."""
+    texts = pc.fill_null(cigar.cast(pa.large_string()), "")
+    size = np.asarray(pc.binary_length(texts), np.int64)
+    raw = np.frombuffer("".join(texts.to_pylist()).encode("ascii", "replace"), np.uint8)
+    ends = np.cumsum(size)
+    ops = np.flatnonzero(~((raw >= 48) & (raw <= 57)))
+    digits = np.flatnonzero((raw >= 48) & (raw <= 57))
+    of = np.searchsorted(ops, digits)
+    row = np.searchsorted(ends, ops, "right")
+    kept = of < len(ops)
+    digits, of = digits[kept], of[kept]
+    same = np.searchsorted(ends, digits, "right") == row[of] if len(ops) else np.zeros(0, bool)
+    digits, of = digits[same], of[same]
+    n = np.zeros(len(ops), np.int64)
+    np.add.at(n, of, (raw[digits].astype(np.int64) - 48) * 10 ** np.minimum(ops[of] - digits - 1, 17))
+    real = np.isin(raw[ops], np.frombuffer(b"MIDNSHP=X", np.uint8)) & (np.bincount(of, minlength=len(ops)) > 0)
+    return row[real], raw[ops][real], n[real]
+
+
+def _is(code: np.ndarray, letters: tuple[str, ...]) -> np.ndarray:
+    return np.isin(code, [ord(x) for x in letters])
+
+
+def with_span(df: DataFrame, cigar: str = "cigar", start: str = "start") -> DataFrame:
+    """Adds span_stop: where the alignment ends on the reference; null without a start."""
+    schema = T.StructType([*df.schema.fields, T.StructField("span_stop", T.LongType())])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, code, n = parsed(batch[cigar])
+            length = np.bincount(row, np.where(_is(code, ADVANCE), n, 0), batch.num_rows).astype(np.int64)
+            yield batch.append_column("span_stop", pc.add(batch[start].cast(pa.int64()), pa.array(length)))
+
+    return df.mapInArrow(of, schema)
+
+
+def depth_events(df: DataFrame, key: str = "chrom", cigar: str = "cigar", start: str = "start", good: str = "good") -> DataFrame:
+    """key, at, reads, depth: what changes where along the reference. An alignment is one more read from its start to its end, and, if it is good, one more
+    base over each of its blocks of bases; deletions and skips lie between them. Rows with a null start or without a length on the reference have no events."""
+    names = {"at": pa.int64(), "reads": pa.int64(), "depth": pa.int64()}
+    schema = T.StructType([df.schema[key], *(T.StructField(c, T.LongType()) for c in names)])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(batch[start].is_valid())
+            row, code, n = parsed(batch[cigar])
+            moved = np.where(_is(code, ADVANCE), n, 0)
+            upto = np.cumsum(moved)
+            length = np.bincount(row, moved, batch.num_rows).astype(np.int64)
+            first = batch[start].to_numpy().astype(np.int64)
+            at = first[row] + upto - (np.cumsum(length) - length)[row]  # where an operation ends
+            block = _is(code, ALIGNED) & (n > 0) & np.asarray(pc.fill_null(batch[good], False))[row].astype(bool)
+            rows = np.flatnonzero(length > 0)
+            b, e, r = at[block] - n[block], at[block], row[block]
+            one, none = np.ones(len(rows), np.int64), np.zeros(len(rows), np.int64)
+            more, no = np.ones(len(r), np.int64), np.zeros(len(r), np.int64)
+            places = [rows, rows, r, r]
+            columns = [[first[rows], (first + length)[rows], b, e], [one, -one, no, no], [none, none, more, -more]]
+            keys = batch[key].take(pa.array(np.concatenate(places)))
+            yield pa.RecordBatch.from_arrays([keys, *(pa.array(np.concatenate(c)) for c in columns)], names=[key, *names])
+
+    return df.mapInArrow(of, schema)
