@@ -40,15 +40,27 @@ def support(n: Column, n_reads: Column, n_depth: Column, n_split: Column) -> Col
     return F.when(F.col("sv_type") == "DUP", dup).when(F.col("sv_type") == "BND", bnd).otherwise(base)
 
 
+CLUSTER = ["sv_type", "chrom", "cluster"]
+
+
+def _real() -> Column:
+    return ~F.startswith("read_name", F.lit("depth_"))
+
+
+def reads_of(clustered: DataFrame) -> DataFrame:
+    """sv_type, chrom, cluster, read_name: which reads are in which cluster, each once. Depth windows and rows without a name are no reads."""
+    return clustered.where(_real()).select(*CLUSTER, "read_name").distinct()
+
+
 def summed(clustered: DataFrame, p: Params) -> DataFrame:
-    """One call a cluster. A cluster's reads are held as an array in its row."""
+    """One call a cluster, with n_reads; reads_of() has the reads. Only complex calls, whose components are part of the output, hold an array."""
     kind = F.col("ev_type")
-    real = ~F.startswith("read_name", F.lit("depth_"))
+    real = _real()
     by_order = F.struct("start", "step", "ord")
     mate = F.when(F.col("chr2").isNotNull(), F.struct("chr2", "pos2", "bnd_type"))
-    rows = clustered.groupBy("sv_type", "chrom", "cluster").agg(
+    rows = clustered.groupBy(*CLUSTER).agg(
         F.count("*").alias("n"),
-        F.array_sort(F.collect_set(F.when(real, F.col("read_name")))).alias("reads"),
+        F.count_distinct(F.when(real, F.col("read_name"))).alias("n_reads"),
         F.count(F.when(F.contains(kind, F.lit("DEPTH")), 1)).alias("n_depth"),
         F.count(F.when(F.contains(kind, F.lit("SA_")), 1)).alias("n_split"),
         F.count(F.when(kind.isin("SA_BND", "SEGMENT_BND"), 1)).alias("n_joined"),
@@ -63,10 +75,10 @@ def summed(clustered: DataFrame, p: Params) -> DataFrame:
         F.coalesce(F.bool_or(F.contains(kind, F.lit("CIGAR"))), F.lit(False)).alias("precise"),
         F.coalesce(F.bool_or(F.col("interspersed") | F.contains(kind, F.lit("INTER"))), F.lit(False)).alias("interspersed"),
         F.min_by(mate, F.when(mate.isNotNull(), by_order)).alias("mate"),
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(by_order.alias("at"), F.coalesce("components", F.expr("cast(array() as array<string>)")).alias("of")))), lambda x: x["of"])).alias("components"),
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.when((F.col("sv_type") == "CPX") & (F.size("components") > 0), F.struct(by_order.alias("at"), F.col("components").alias("of"))))), lambda x: x["of"])).alias("components"),
     )
     rows = rows.where(F.col("n") >= _by_type(LEAST_ROWS, 1))
-    n_reads = F.size("reads").cast("bigint")
+    n_reads = F.col("n_reads")
     rows = rows.withColumn("support", support(F.col("n"), n_reads, F.col("n_depth"), F.col("n_split")))
     bnd, cpx, dup, deep = F.col("sv_type") == "BND", F.col("sv_type") == "CPX", F.col("sv_type") == "DUP", F.col("n_depth") > 0
     least = F.when(bnd, 1).when(dup, F.when(deep, 1).otherwise(2)).otherwise(2)
@@ -75,7 +87,7 @@ def summed(clustered: DataFrame, p: Params) -> DataFrame:
     af = F.col("support") / max(1.0, p.coverage)
     return rows.select(
         "sv_type", "chrom", "cluster", F.when(cpx, F.col("first")).otherwise(F.col("start")).alias("start"), F.when(cpx, F.col("last")).otherwise(stop).alias("stop"),
-        F.when(cpx, F.col("last") - F.col("first")).otherwise(F.col("size")).alias("size"), "support", "mapq", "reads",
+        F.when(cpx, F.col("last") - F.col("first")).otherwise(F.col("size")).alias("size"), "support", "mapq", "n_reads",
         F.when(deep, "depth").otherwise("split_read").alias("source"), F.when(dup & deep, F.greatest(af, F.lit(0.15))).otherwise(af).alias("af"),
         "std_pos", F.when(bnd, 0.0).otherwise(F.col("std_len")).alias("std_len"), "precise",
         F.when(bnd, F.coalesce("mate.chr2", "chrom")).alias("mate_chr"), F.when(bnd, F.coalesce("mate.pos2", stop)).alias("mate_pos"), F.when(bnd, F.coalesce("mate.bnd_type", F.lit("N["))).alias("bnd_type"),

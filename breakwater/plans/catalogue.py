@@ -103,7 +103,7 @@ SELECT chrom, cast(trunc(quantile_cont(start, 0.5)) AS bigint) AS start, count(D
 )
 def bnd_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = evidence.from_segments(evidence.usable(view(spark, sf_dir, "aln")))
-    return calls.summed(calls.clusters(found, P), P).select("chrom", "start", F.size("reads").cast("bigint").alias("n_reads"), "support", "split_support")
+    return calls.summed(calls.clusters(found, P), P).select("chrom", "start", "n_reads", "support", "split_support")
 
 
 DEPTHS = f""", {USABLE},
@@ -233,7 +233,7 @@ SELECT sv_type, chrom, cluster, CASE sv_type WHEN 'CPX' THEN lo ELSE ms END AS s
 )
 def create_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "ev").withColumn("components", F.expr("cast(null as array<string>)"))
-    found = calls.summed(calls.clusters(rows, P), P).drop("reads", "components", "is_complex")
+    found = calls.summed(calls.clusters(rows, P), P).drop("n_reads", "components", "is_complex")
     return found.withColumns({c: F.round(c, 6) for c in ("af", "std_pos", "std_len")})
 
 
@@ -318,8 +318,9 @@ SELECT call_id, alt AS alt_support, ref AS ref_support, CASE WHEN alt + ref = 0
   CASE WHEN alt + ref = 0 THEN 0 ELSE cast(least(99, trunc(40 * (alt / (alt + ref)))) AS int) END AS genotype_qual, round(CASE WHEN alt + ref = 0 THEN old WHEN source = 'depth' THEN greatest(alt / (alt + ref), 0.25) ELSE alt / (alt + ref) END, 6) AS af FROM t"""
 )
 def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "cand").withColumn("reads", F.array_distinct(F.array((F.col("call_id") % 50).cast("string"), (F.col("call_id") % 77).cast("string"))))
-    found = genotyping.genotype(rows, evidence.usable(view(spark, sf_dir, "aln")), contigs(spark, sf_dir), P)
+    rows = view(spark, sf_dir, "cand")
+    own = rows.select("call_id", F.explode(F.array_distinct(F.array((F.col("call_id") % 50).cast("string"), (F.col("call_id") % 77).cast("string")))).alias("read_name"))
+    found = genotyping.genotype(rows, own, evidence.usable(view(spark, sf_dir, "aln")), contigs(spark, sf_dir), P)
     return found.select("call_id", "alt_support", "ref_support", "genotype", "genotype_qual", F.round("af", 6).alias("af"))
 
 
@@ -332,9 +333,9 @@ SELECT c.call_id, count(*) FILTER (s = '+') AS forward, count(*) FILTER (s = '-'
 )
 def strand_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("call_id")
-    reads = F.array_sort(F.array_distinct(F.array((key % 50).cast("string"), (key % 77).cast("string"), F.floor(key / 4).cast("bigint").cast("string"))))
-    rows = view(spark, sf_dir, "cand").drop("forward", "reverse").withColumn("reads", reads)
-    return genotyping.strands(rows, evidence.usable(view(spark, sf_dir, "aln"))).select("call_id", "forward", "reverse")
+    reads = F.array_distinct(F.array((key % 50).cast("string"), (key % 77).cast("string"), F.floor(key / 4).cast("bigint").cast("string")))
+    rows = view(spark, sf_dir, "cand").drop("forward", "reverse")
+    return genotyping.strands(rows, rows.select("call_id", F.explode(reads).alias("read_name")), evidence.usable(view(spark, sf_dir, "aln"))).select("call_id", "forward", "reverse")
 
 
 QUAL = """, cdf AS (SELECT *, 15.0 * CASE genotype WHEN '1/1' THEN 2 ELSE 1 END AS mu FROM cand),
@@ -381,9 +382,11 @@ FROM walk w JOIN c ON c.chrom = w.chrom AND c.i BETWEEN w.i AND w.r GROUP BY w.c
 )
 def shared_read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring candidates that share reads."""
-    rows = view(spark, sf_dir, "cand").withColumn("reads", F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.concat(F.lit("r"), (F.col("call_id") % 3 + i).cast("string"))))
-    found = complexes.shared_read_events(rows, Params(complex_reads=4))
-    return found.withColumns({c: F.array_join(c, ",") for c in ("reads", "components")})
+    rows = view(spark, sf_dir, "cand")
+    own = rows.select("call_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i")).select("call_id", F.concat(F.lit("r"), (F.col("call_id") % 3 + F.col("i")).cast("string")).alias("read_name"))
+    events, reads = complexes.shared_read_events(rows, own, Params(complex_reads=4))
+    named = reads.groupBy("event").agg(F.array_join(F.array_sort(F.collect_list("read_name")), ",").alias("reads"))
+    return events.join(named, "event").drop("event").withColumn("components", F.array_join("components", ","))
 
 
 @query(sql("cand") + " SELECT call_id, row_number() OVER (ORDER BY chrom, start, call_id) AS number FROM cand")

@@ -124,23 +124,25 @@ def _islands(p: Params):
     return of
 
 
-def shared_read_events(calls: DataFrame, p: Params) -> DataFrame:
-    """chrom, start, stop, size, support, mapq, reads, components: events of neighbouring calls with enough reads in common. A call's neighbours begin
-    at most merge_distance after its end, or complex_distance if they share one of its reads. Calls further apart than that from all before them
-    begin an island. Calls are numbered and reads are hashed: what an island's task holds is an index from reads to calls, of 16 bytes a read in a call,
-    and it returns numbers; names come back by a join. Reads without a name count in no call."""
-    label = F.coalesce("reads", F.expr("cast(array() as array<string>)"))
-    kept = calls.where("chrom IS NOT NULL AND start IS NOT NULL AND stop IS NOT NULL").select("chrom", F.col("start").cast("bigint").alias("start"), F.col("stop").cast("bigint").alias("stop"), F.coalesce("mapq", F.lit(0)).alias("mapq"), F.array_sort(F.array_distinct(F.array_compact(label))).alias("reads"), "sv_type")
-    placed = stored(sequences.numbered(kept, "chrom", "start", ["stop", "sv_type", "mapq", "reads"], "n"), "complex-calls")
-    distance = max(p.complex_distance, 0)
-    reach = sequences.merge(placed.select("chrom", "start", "stop"), ["chrom"], pad=distance).select("chrom", "start", F.lit(True).alias("first"))
+def shared_read_events(calls: DataFrame, own: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
+    """Events of neighbouring calls with enough reads in common: event, chrom, start, stop, size, support, mapq, components; and their reads: event, read_name.
+    calls: call_id, chrom, start, stop, mapq, sv_type; own: call_id, read_name, each once.
+
+    A call's neighbours begin at most merge_distance after its end, or complex_distance if they share one of its reads. Calls further apart than that from
+    all before them begin an island. Calls are numbered and reads are hashed: what an island's task holds is an index from reads to calls, of 16
+    bytes a read in a call, and it returns numbers; names come back by a join. Reads without a name count in no call."""
+    kept = calls.where("chrom IS NOT NULL AND start IS NOT NULL AND stop IS NOT NULL").select("call_id", "chrom", F.col("start").cast("bigint").alias("start"), F.col("stop").cast("bigint").alias("stop"), F.coalesce("mapq", F.lit(0)).alias("mapq"), "sv_type")
+    placed = stored(sequences.numbered(kept, "chrom", "start", ["stop", "sv_type", "mapq", "call_id"], "n"), "complex-calls")
+    reach = sequences.merge(placed.select("chrom", "start", "stop"), ["chrom"], pad=max(p.complex_distance, 0)).select("chrom", "start", F.lit(True).alias("first"))
     marks = placed.select("chrom", "start").distinct().join(reach, ["chrom", "start"], "left")
     islands = sequences.chain(marks, ["chrom"], "start", [], ["first"], lambda before: F.coalesce(F.col("first"), F.lit(False)), "island")
     rows = placed.join(islands.select("chrom", "start", F.xxhash64("chrom", "island").alias("island")), ["chrom", "start"])
-    index = rows.select("island", "n", F.explode("reads").alias("name")).select("island", "n", F.lit(None).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("stop"), F.xxhash64("name").alias("read"))
-    both = rows.select("island", "n", "start", "stop", F.lit(None).cast("bigint").alias("read")).unionByName(index)
+    nothing = F.lit(None).cast("bigint")
+    index = own.where("read_name IS NOT NULL").join(rows.select("call_id", "island", "n"), "call_id").select("island", "n", nothing.alias("start"), nothing.alias("stop"), F.xxhash64("read_name").alias("read"))
+    both = rows.select("island", "n", "start", "stop", nothing.alias("read")).unionByName(index)
     members = stored(both.repartition("island").sortWithinPartitions("island").mapInArrow(_islands(p), FOUND), "complex-members")
     met = members.join(placed, "n")
-    names = met.select("anchor", F.explode("reads").alias("name")).distinct().groupBy("anchor").agg(F.array_sort(F.collect_list("name")).alias("reads"), F.count("*").cast("double").alias("support"))
-    ends = met.groupBy("anchor").agg(F.first("chrom").alias("chrom"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.avg("mapq").cast("int").alias("mapq"), F.transform(F.array_sort(F.collect_list(F.struct("n", "sv_type"))), lambda x: x["sv_type"]).alias("components"))
-    return ends.join(names, "anchor").select("chrom", "start", "stop", (F.col("stop") - F.col("start")).alias("size"), "support", "mapq", "reads", "components")
+    reads = met.select("anchor", "call_id").join(own.where("read_name IS NOT NULL"), "call_id").select(F.col("anchor").alias("event"), "read_name").distinct()
+    support = reads.groupBy("event").agg(F.count("*").cast("double").alias("support"))
+    ends = met.groupBy(F.col("anchor").alias("event")).agg(F.first("chrom").alias("chrom"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.avg("mapq").cast("int").alias("mapq"), F.transform(F.array_sort(F.collect_list(F.struct("n", "sv_type"))), lambda x: x["sv_type"]).alias("components"))
+    return ends.join(support, "event").select("event", "chrom", "start", "stop", (F.col("stop") - F.col("start")).alias("size"), "support", "mapq", "components"), reads

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import intervals
@@ -12,40 +12,46 @@ PAD, STRAND_READS = 1000, 50
 
 
 def regions(calls: DataFrame, contigs: DataFrame) -> DataFrame:
-    """call_id, chrom, start, stop of what is looked at around a call, cut at the contig, of which a call beyond it has the last
-    base; calls on no known contig have none."""
-    lengths = contigs.select("chrom", "length")
+    """calls with _from and _to, what is looked at around a call, cut at the contig, of which a call beyond it has the last base; calls on no
+    known contig have nulls."""
+    lengths = contigs.select("chrom", F.col("length").alias("_length"))
     bnd = F.col("sv_type") == "BND"
     stop = F.when(bnd, F.col("start")).when(F.col("stop") > F.col("start"), F.col("stop")).otherwise(F.col("start") + F.greatest("size", F.lit(1)))
-    rows = calls.join(lengths, "chrom")
-    return rows.select("call_id", "chrom", F.least(F.greatest(F.lit(0), F.col("start") - PAD), F.col("length") - 1).alias("start"), F.least("length", stop + PAD).alias("stop")).where("start < stop")
+    first = F.least(F.greatest(F.lit(0), F.col("start") - PAD), F.col("_length") - 1)
+    last = F.least(F.col("_length"), stop + PAD)
+    real = F.col("_length").isNotNull() & (first < last)
+    return calls.join(lengths, "chrom", "left").withColumns({"_from": F.when(real, first), "_to": F.when(real, last)}).drop("_length")
 
 
 def genotype_of(af: Column) -> Column:
     return F.when(af < 0.08, "0/0").when(af < 0.55, "0/1").otherwise("1/1")
 
 
-def genotype(calls: DataFrame, reads: DataFrame, contigs: DataFrame, p: Params) -> DataFrame:
-    """Adds alt_support, ref_support, genotype, genotype_qual; af becomes alt of all. calls have a call_id; reads are evidence.usable()."""
+def genotype(calls: DataFrame, own: DataFrame, reads: DataFrame, contigs: DataFrame, p: Params) -> DataFrame:
+    """Adds alt_support, ref_support, genotype, genotype_qual; af becomes alt of all. calls have a call_id; own: call_id, read_name, the calls' reads;
+    reads are evidence.usable(). Reads around a call and its own are put together once, so a read counts once, on the side of the call if it is one of its own."""
     seen = reads.where(F.col("primary") & (F.col("mapq") >= p.min_mapq)).select("chrom", "start", "stop", "read_name")
-    around = intervals.overlaps(regions(calls, contigs), seen, "chrom").select("call_id", F.col("r_read_name").alias("read_name")).distinct()
-    own = calls.select("call_id", F.explode("reads").alias("read_name"))
-    others = around.join(own, ["call_id", "read_name"], "left_anti").groupBy("call_id").agg(F.count("*").alias("_ref"))
-    placed = regions(calls, contigs).select("call_id").withColumn("_placed", F.lit(True))
-    rows = calls.join(others, "call_id", "left").join(placed, "call_id", "left").withColumn("_placed", F.coalesce("_placed", F.lit(False)))
-    rows = rows.withColumn("alt_support", F.when(F.col("_placed"), F.size("reads")).otherwise(0).cast("bigint")).withColumn("ref_support", F.when(F.col("_placed"), F.coalesce("_ref", F.lit(0))).otherwise(0).cast("bigint"))
+    placed = regions(calls, contigs)
+    around = intervals.overlaps(placed.select("call_id", "chrom", "_from", "_to"), seen, "chrom", bounds=("_from", "_to", "start", "stop")).select("call_id", F.col("r_read_name").alias("read_name"), F.lit(False).alias("own"))
+    each = around.unionByName(own.select("call_id", "read_name", F.lit(True).alias("own"))).groupBy("call_id", "read_name").agg(F.max("own").alias("own"))
+    counts = each.groupBy("call_id").agg(F.count(F.when(F.col("own"), 1)).alias("_alt"), F.count(F.when(~F.col("own"), 1)).alias("_ref"))
+    known = F.col("_from").isNotNull()
+    side = lambda c: F.when(known, F.coalesce(c, F.lit(0))).otherwise(0).cast("bigint")
+    rows = placed.join(counts, "call_id", "left").withColumns({"alt_support": side("_alt"), "ref_support": side("_ref")})
     total = F.col("alt_support") + F.col("ref_support")
     raw = F.when(total > 0, F.col("alt_support") / total)
     deep = F.col("source") == "depth"
     rows = rows.withColumn("_raw", raw).withColumn("genotype", F.when(F.col("_raw").isNull(), "./.").otherwise(genotype_of(F.col("_raw"))))
     rows = rows.withColumn("genotype_qual", F.when(F.col("_raw").isNull(), 0).otherwise(F.least(F.lit(99), (40 * F.col("_raw")).cast("int"))))
     af = F.when(F.col("_raw").isNull(), F.col("af")).when(deep, F.greatest("_raw", F.lit(0.25))).otherwise(F.col("_raw"))
-    return rows.withColumn("af", af).drop("_ref", "_placed", "_raw")
+    return rows.withColumn("af", af).drop("_alt", "_ref", "_from", "_to", "_raw")
 
 
-def strands(calls: DataFrame, reads: DataFrame) -> DataFrame:
+def strands(calls: DataFrame, own: DataFrame, reads: DataFrame) -> DataFrame:
     """Adds forward and reverse: of the call's first 50 reads by name, the strand of the first alignment within 1000 of it."""
-    asked = calls.select("call_id", "chrom", (F.col("start") - PAD).alias("_from"), (F.col("stop") + PAD).alias("_to"), F.explode(F.slice("reads", 1, STRAND_READS)).alias("read_name"))
+    first = F.row_number().over(Window.partitionBy("call_id").orderBy("read_name"))
+    asked = own.select("call_id", "read_name").withColumn("_nth", first).where(F.col("_nth") <= STRAND_READS).drop("_nth")
+    asked = asked.join(calls.select("call_id", "chrom", (F.col("start") - PAD).alias("_from"), (F.col("stop") + PAD).alias("_to")), "call_id")
     near = asked.join(reads.select("read_name", F.col("chrom").alias("_chrom"), F.col("start").alias("_s"), F.col("stop").alias("_e"), "strand", "ord"), "read_name")
     near = near.where((F.col("chrom") == F.col("_chrom")) & (F.col("_s") < F.col("_to")) & (F.col("_e") > F.col("_from")))
     first = near.groupBy("call_id", "read_name").agg(F.min_by("strand", "ord").alias("strand"))

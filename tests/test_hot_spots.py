@@ -89,10 +89,15 @@ def test_shared_reads_in_one_island(spark, merge, seed):
     rng = random.Random(seed)
     p = Params(complex_reads=3, merge_distance=merge)
     rows = sorted((s := rng.randint(0, 60_000), s + rng.choice([1, 50, 400, 5000]), frozenset(f"r{rng.randint(0, 80)}" for _ in range(rng.randint(0, 6))), f"K{i:03}") for i in range(300))
-    calls = spark.createDataFrame([("c", a, b, 30, sorted(r), k) for a, b, r, k in rows] + [(None, 1, 2, 3, ["r1"], "x"), ("d", None, 2, 3, ["r1"], "x"), ("d", 5, 6, None, None, "x")], "chrom string, start long, stop long, mapq int, reads array<string>, sv_type string")
-    got = sorted((r.start, r.stop, r.support, r.reads, r.components) for r in complexes.shared_read_events(calls, p).collect())
+    calls = spark.createDataFrame([(i, "c", a, b, 30, k) for i, (a, b, _, k) in enumerate(rows)] + [(900, None, 1, 2, 3, "x"), (901, "d", None, 2, 3, "x"), (902, "d", 5, 6, None, "x")], "call_id long, chrom string, start long, stop long, mapq int, sv_type string")
+    own = spark.createDataFrame([(i, x) for i, r in enumerate(rows) for x in r[2]] + [(900, "r1"), (901, "r1"), (3, None)], "call_id long, read_name string")
+    events, reads = complexes.shared_read_events(calls, own, p)
+    names = {}
+    for r in reads.collect():
+        names.setdefault(r.event, []).append(r.read_name)
+    got = sorted((r.start, r.stop, r.support, sorted(names[r.event]), r.components) for r in events.collect())
     assert got == plain_events([(a, b, r, k) for a, b, r, k in sorted(rows, key=lambda r: (r[0], r[1], r[3]))], p) and len(got) > 3
-    assert complexes.shared_read_events(calls.limit(0), p).collect() == []
+    assert complexes.shared_read_events(calls.limit(0), own.limit(0), p)[0].collect() == []
 
 
 def test_an_island_of_a_hundred_thousand_calls():
