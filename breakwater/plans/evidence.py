@@ -33,6 +33,11 @@ def usable(alignments: DataFrame) -> DataFrame:
     return kept.withColumn("primary", flag.bitwiseAND(2048) == 0).withColumn("strand", F.when(flag.bitwiseAND(16) != 0, "-").otherwise("+"))
 
 
+def _named(reads: DataFrame) -> DataFrame:
+    """Alignments that a name joins to a read: those without one (null or *) are each a read of their own, and no pairs of them."""
+    return reads.where(F.col("read_name").isNotNull() & (F.col("read_name") != "*"))
+
+
 def from_cigar(reads: DataFrame, p: Params) -> DataFrame:
     rows = reads.where(F.col("primary") & (F.col("mapq") >= p.min_mapq)).withColumn("e", F.explode(cigar.events(F.col("cigar"), F.col("start"), p.min_sv_size, p.min_del_size)))
     kind = F.when(F.col("e.op") == "I", "INS").otherwise("DEL")
@@ -63,7 +68,7 @@ def from_far_copies(reads: DataFrame) -> DataFrame:
     """A supplementary alignment far from the read's first primary one on the same chromosome, which must come before it."""
     before = Window.partitionBy("read_name").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)  # the alignments of one read
     first = F.first(F.when(F.col("primary"), F.struct("chrom", "start", "stop")), ignorenulls=True).over(before)
-    rows = reads.withColumn("p", first).where(~F.col("primary") & (F.col("p.chrom") == F.col("chrom")) & (F.abs(F.col("start") - F.col("p.stop")) > FAR_COPY))
+    rows = _named(reads).withColumn("p", first).where(~F.col("primary") & (F.col("p.chrom") == F.col("chrom")) & (F.abs(F.col("start") - F.col("p.stop")) > FAR_COPY))
     return _filled(rows.select("chrom", "read_name", "mapq", "ord", F.lit("INTER_DUP").alias("ev_type"), F.lit("DUP").alias("sv_type"), F.least("start", "p.start").alias("start"), F.greatest("stop", "p.stop").alias("stop"), (F.col("p.stop") - F.col("p.start")).alias("size"), F.lit(True).alias("interspersed")), 3)
 
 
@@ -75,7 +80,7 @@ def orientation(strand1: Column, strand2: Column) -> Column:
 def from_segments(reads: DataFrame) -> DataFrame:
     """Neighbouring segments of a read, in the order of their starts alone: breakends between chromosomes, or far apart on one."""
     cols = ["chrom", "start", "strand", "mapq", "primary"]
-    rows = reads.withColumn("n", F.lead(F.struct(*cols)).over(Window.partitionBy("read_name").orderBy("start", "ord"))).where(F.col("n").isNotNull() & (F.col("primary") | F.col("n.primary")))
+    rows = _named(reads).withColumn("n", F.lead(F.struct(*cols)).over(Window.partitionBy("read_name").orderBy("start", "ord"))).where(F.col("n").isNotNull() & (F.col("primary") | F.col("n.primary")))
     other = F.col("n.chrom") != F.col("chrom")
     rows = rows.where(other | (F.abs(F.col("n.start") - F.col("stop")) > FAR_SEGMENT))
     return _filled(
