@@ -17,8 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a warehouse folder where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a warehouse folder where it is unset and all run on one machine."""
     given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given and spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (given or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared").rstrip("/")
 
 

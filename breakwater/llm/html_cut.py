@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"""<(?:!--|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|[!?/][^>]*+>)""")
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+UNQUOTED = re.compile(r"""[^>"']*+""")
 MARKS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.IGNORECASE)
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 SILENT = frozenset("script style noscript template textarea title iframe object svg select option button canvas audio video datalist".split())
@@ -73,6 +74,48 @@ class Open:
     article: bool
 
 
+class Tags:
+    """The tags of a page, one after the other. A tag ends at the first > outside quotation marks or, where these don't close, at the first of all. A mark from
+    which no such end was found is remembered, so that the page is searched once, however many tags leave their quotations open."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last, self.open = page, page.rfind(">"), set()
+
+    def end(self, at: int) -> int:
+        """Where the tag ends whose attributes begin at `at`, which has a > behind it."""
+        page, pos, seen = self.page, at, []
+        while (pos := UNQUOTED.match(page, pos).end()) < len(page):
+            if page[pos] == ">":
+                return pos
+            if pos in self.open:
+                break
+            seen.append(pos)
+            closing = page.find(page[pos], pos + 1)
+            if closing < 0:
+                break
+            pos = closing + 1
+        self.open.update(seen)
+        return page.find(">", at)
+
+    def following(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """From `at` on the next tag: where it begins and ends, whether it closes an element, its name (none of declarations and comments) and attributes. A tag
+        that the page's end cuts off goes to there."""
+        page = self.page
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 2)
+                return at, len(page) if end < 0 else end + 3, False, "", ""
+            m = NAME.match(page, at)
+            if m or page.startswith(("<!", "<?", "</"), at):
+                start = m.end() if m else at + 2
+                if start > self.last:
+                    return at, len(page), False, "", ""
+                end = self.end(start) if m else page.find(">", start)
+                return at, end + 1, bool(m and m[1]), m[2].lower() if m else "", page[start:end] if m else ""
+            at += 1
+        return None
+
+
 def _standing(name: str, attributes: str) -> tuple[float, bool]:
     """The log odds that an element gives to what it holds, and whether it is called by a bad word."""
     odds = INSIDE.get(name, 0.0)
@@ -126,24 +169,19 @@ def blocks(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
         if links:
             linked += len(text.strip())
 
-    size = len(page)
+    size, tags = len(page), Tags(page)
     while at < size:
-        m = TOKEN.search(page, at)
-        if m is None:
+        tag = tags.following(at)
+        if tag is None:
             say(page[at:])
             break
-        if m.start() > at:
-            say(page[at : m.start()])
-        at = m.end()
-        if page.startswith("<!--", m.start()):
-            end = page.find("-->", m.start() + 2)
-            at = size if end < 0 else end + 3
-            continue
-        name = (m[2] or m[5] or "").lower()
+        start, end, closing, name, attributes = tag
+        if start > at:
+            say(page[at:start])
+        at = end
         if not name:
             continue
-        attributes = m[3] or m[6] or ""
-        if m[1] or m[4]:
+        if closing:
             if name in BLOCKS:
                 flush()
             if open_names[name]:

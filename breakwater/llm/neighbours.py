@@ -44,6 +44,13 @@ def _quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return codes, scale, np.linalg.norm(meant, axis=1), np.linalg.norm(x - meant, axis=1)
 
 
+def _near_one(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows times powers of two that bring their largest component to between 0.5 and 1, so that squares of small ones don't vanish; and what takes it back."""
+    power = np.frexp(np.abs(x).max(1))[1]
+    with np.errstate(over="ignore"):
+        return np.ldexp(x, -power[:, None]), np.ldexp(1.0, power)
+
+
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Inner products row by row, summed in the order of the components."""
     out = np.zeros(len(a))
@@ -59,15 +66,16 @@ def _cell(k: int):
         out: list[tuple[np.ndarray, ...]] = []
         if len(q) and len(x):
             exact = np.float32 if q.shape[1] * 127 * 127 < 1 << 24 else np.float64  # whole numbers a BLAS product keeps exact
-            qc, qs, qn, qe = _quantised(q)
-            xc, xs, _, xe = _quantised(x)
-            norm = np.linalg.norm(x, axis=1)
+            qc, qs, qn, qe = _quantised(_near_one(q)[0])  # a query's own scale doesn't change the order of its candidates
+            even, back = _near_one(x)
+            xc, xs, _, xe = _quantised(even)
+            norm = np.linalg.norm(even, axis=1)
             tile = xc.astype(exact).T
             for at in range(0, len(q), STRIP):
                 rows = slice(at, at + STRIP)
                 with np.errstate(over="ignore", invalid="ignore"):
-                    near = (qc[rows].astype(exact) @ tile).astype(np.float64) * qs[rows, None] * xs
-                    miss = (qe[rows, None] * norm + qn[rows, None] * xe) * (1 + 1e-9) + 1e-12 * (qn[rows, None] + qe[rows, None]) * norm
+                    near = (qc[rows].astype(exact) @ tile).astype(np.float64) * qs[rows, None] * xs * back
+                    miss = ((qe[rows, None] * norm + qn[rows, None] * xe) * (1 + 1e-9) + 1e-12 * (qn[rows, None] + qe[rows, None]) * norm) * back + 1e-322
                 unbounded = ~np.isfinite(near + miss)  # beyond double precision: such pairs survive and are recomputed
                 near[unbounded], miss[unbounded] = 0, np.inf
                 own = query_ids[rows, None] == ids
