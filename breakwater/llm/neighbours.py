@@ -66,7 +66,8 @@ def _cell(k: int):
         out: list[tuple[np.ndarray, ...]] = []
         if len(q) and len(x):
             exact = np.float32 if q.shape[1] * 127 * 127 < 1 << 24 else np.float64  # whole numbers a BLAS product keeps exact
-            qc, qs, qn, qe = _quantised(_near_one(q)[0])  # a query's own scale doesn't change the order of its candidates
+            even, query_scale = _near_one(q)
+            qc, qs, qn, qe = _quantised(even)
             even, back = _near_one(x)
             xc, xs, _, xe = _quantised(even)
             norm = np.linalg.norm(even, axis=1)
@@ -74,8 +75,8 @@ def _cell(k: int):
             for at in range(0, len(q), STRIP):
                 rows = slice(at, at + STRIP)
                 with np.errstate(over="ignore", invalid="ignore"):
-                    near = (qc[rows].astype(exact) @ tile).astype(np.float64) * qs[rows, None] * xs * back
-                    miss = ((qe[rows, None] * norm + qn[rows, None] * xe) * (1 + 1e-9) + 1e-12 * (qn[rows, None] + qe[rows, None]) * norm) * back + 1e-322
+                    near = (qc[rows].astype(exact) @ tile).astype(np.float64) * qs[rows, None] * xs * back * query_scale[rows, None]
+                    miss = ((qe[rows, None] * norm + qn[rows, None] * xe) * (1 + 1e-9) + 1e-12 * (qn[rows, None] + qe[rows, None]) * norm) * back * query_scale[rows, None] + 1e-322
                 unbounded = ~np.isfinite(near + miss)  # beyond double precision: such pairs survive and are recomputed
                 near[unbounded], miss[unbounded] = 0, np.inf
                 own = query_ids[rows, None] == ids
