@@ -5,7 +5,7 @@ import time
 import numpy as np
 import pytest
 
-from breakwater.llm import html_cut, neighbours
+from breakwater.llm import html_cut, neighbours, similar_text
 
 
 @pytest.mark.parametrize(
@@ -54,3 +54,14 @@ def test_scales(spark, queries, others):
             score += x[q, j] * x[:, j]
         order = [i for i in np.lexsort((np.arange(600), -score)) if i != q][:20]
         assert [got[q][k] for k in range(1, 21)] == order
+
+
+def test_rows_that_leave_and_change_nothing():
+    run = np.repeat([0, 10, 20, 30, 40], [5, 5, 4, 4, 3])
+    label = np.array([1, 1, 1, 2, 2, 1, 1, 1, 2, 2, 1, 1, 2, 2, 3, 3, 4, 5, 6, 6, 7])
+    kept = np.array([1, 1, 1, 1, 0, 0, 1, 0, 1, 1, 1, 0, 1, 1, 1, 1, 0, 0, 1, 0, 1], bool)
+    hubs = np.zeros(21, bool)
+    # three to two rows stay three to one; three to two become one to two; two and two become one and two; two single groups leave; two to one become equal
+    assert similar_text._changed(run, label, kept, hubs).tolist() == [10, 20, 40]
+    hubs[4] = True
+    assert similar_text._changed(run, label, kept, hubs).tolist() == [0, 10, 20, 40]
