@@ -53,21 +53,27 @@ def _streamed(rows: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> Data
 
 
 def _counted(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """With _local: how many rows of the same keys have begun a group, up to this one in its partition; _in_first: whether its keys are the partition's first."""
-    out = T.StructType([*rows.schema.fields, T.StructField("_local", T.LongType()), T.StructField("_in_first", T.BooleanType())])
+    """With _local: how many rows of the same keys have begun a group, up to this one in its partition; _in_first: whether its keys are the partition's
+    first; _end: whether it is the partition's last row."""
+    added = [("_local", T.LongType()), ("_in_first", T.BooleanType()), ("_end", T.BooleanType())]
+    out = T.StructType([*rows.schema.fields, *(T.StructField(*x) for x in added)])
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, runs = 0, 0
+        total, runs, waiting = 0, 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            same, new = (np.asarray(batch[c].to_pylist(), bool) for c in ("_same", "_new"))
+            if waiting is not None:
+                yield waiting.append_column("_end", pa.array(np.zeros(waiting.num_rows, bool)))
+            same, new = (np.asarray(batch[c].to_numpy(zero_copy_only=False), bool) for c in ("_same", "_new"))
             upto = np.cumsum(new) + total
             nth = np.cumsum(~same)
             base = np.concatenate([[0], (upto - new)[~same]])[nth]  # what was counted before the row's keys
             run = nth + runs
             total, runs = int(upto[-1] - base[-1]), int(run[-1])
-            yield batch.append_column("_local", pa.array(upto - base)).append_column("_in_first", pa.array(run == 1))
+            waiting = batch.append_column("_local", pa.array(upto - base)).append_column("_in_first", pa.array(run == 1))
+        if waiting is not None:
+            yield waiting.append_column("_end", pa.array(np.arange(waiting.num_rows) == waiting.num_rows - 1))
 
     return rows.mapInArrow(summed, out)
 
@@ -86,13 +92,11 @@ def chain(df: DataFrame, keys: Sequence[str], pos: str, ties: Sequence[str], car
     rows = rows.withColumn("_new", ~F.col("_same") | F.coalesce(breaks(before), F.lit(False)))
     rows = stored(_counted(rows, keys).drop("_same", *(f"_p{i}" for i in range(len(cols)))), "chain")
     given = F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)))
-    place = F.struct(*(F.col(c) for c in order))
-    parts = rows.groupBy("_part").agg(  # one row a partition
-        F.first(F.when(F.col("_first"), F.struct(*df.columns)), ignorenulls=True).alias("_head"), F.max(F.struct(F.struct("_in_first").alias("a"), F.col("_local").alias("n"))).alias("_x"),
-        F.max_by(F.struct(given.alias("key"), F.struct(*cols).alias("cols"), "_in_first"), place).alias("_last"), F.max_by("_local", place).alias("_n"),
-    ).drop("_x")
+    heads = rows.where("_first").select("_part", *df.columns)  # a row a partition, like the next
+    tails = rows.where("_end").select("_part", F.col("_local").alias("_n"), F.struct(given.alias("key"), F.struct(*cols).alias("cols"), "_in_first").alias("_last"))
+    parts = tails.join(heads, "_part")
     ahead = Window.orderBy("_part")
-    parts = parts.withColumn("_prior", F.lag("_last").over(ahead)).select("_part", "_n", F.col("_last._in_first").alias("_whole"), F.col("_prior.key").alias("_pk"), F.col("_prior.cols").alias("_pc"), "_head.*")
+    parts = parts.withColumn("_prior", F.lag("_last").over(ahead)).select("_part", "_n", F.col("_last._in_first").alias("_whole"), F.col("_prior.key").alias("_pk"), F.col("_prior.cols").alias("_pc"), *df.columns)
     goes_on = given.eqNullSafe(F.col("_pk")) & F.col("_pk").isNotNull()
     states = parts.select("_part", "_n", "_whole", goes_on.alias("on"), (goes_on & ~F.coalesce(breaks(F.col("_pc")), F.lit(False))).alias("joins")).orderBy("_part").collect()
     offsets, running = [], 0

@@ -76,6 +76,12 @@ def test_far_copies_need_the_primary_first(spark):
     assert evidence.from_far_copies(evidence.usable(aln(spark, *after[::-1]))).count() == 0
 
 
+@pytest.mark.parametrize("name", [None, "*"])
+def test_nameless_alignments_make_no_pairs(spark, name):
+    rows = evidence.usable(aln(spark, (name, 0, "chr1", 1000, 2000, 40, "1000M", None), (name, 2048, "chr1", 52_001, 52_500, 40, "499M", None), (name, 2048, "chr2", 1, 500, 40, "499M", None)))
+    assert evidence.from_far_copies(rows).count() == 0 and evidence.from_segments(rows).count() == 0
+
+
 def test_chains(spark):
     rows = ev(spark, ("CIGAR_DEL", "DEL", 100, 60, "a"), ("CIGAR_DEL", "DEL", 1100, 60, "b"), ("CIGAR_DEL", "DEL", 2101, 60, "c"), *(("X", "CPX", s, s * 7, "q") for s in (0, 70, 141)))
     got = {(r.sv_type, r.start): r.cluster for r in calls.clusters(rows, P).collect()}
