@@ -10,9 +10,10 @@ Rates are one row a source. They are broadcast if there are at most BROADCAST_SO
 join. All of it is DataFrame expressions, so any column is carried along.
 
 Without given weights the shares are proportional to n ** temper. Edge cases: a null source is a source of its own; sources that are not
-among given weights get none; rows with the same id in one source draw the same count; a null id draws as the text "null"; texts play no part, so
-null, empty and long ones are like any other; the added columns are named copy and shuffle_key, and columns of those names in docs are
-replaced; an empty table gives no rows.
+among given weights get none; rows with the same id in one source draw the same count; rows without an id are told apart by all their columns,
+and equal ones by a number from 0, so each draws for itself: equal rows are counted before the shuffle and dealt out again in blocks, so that
+no task holds them all; texts play no part, so null, empty and long ones are like any other; the added columns are named copy and shuffle_key,
+and columns of those names in docs are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,16 +25,22 @@ from .common import salted_join
 
 RATE_PART = 16.0
 BROADCAST_SOURCES = 10_000
+BLOCK = 65_536  # equal rows without an id that are dealt out as one
 
 
 def _source(col: str) -> Column:
     return F.coalesce(F.concat(F.lit("s"), F.col(col).cast("string")), F.lit("-"))
 
 
-def name_of(docs: DataFrame, id_col: str, text_col: str) -> Column:
-    """What a row's draws hang on: its id, or where it has none its text."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")) if text_col in docs.columns else F.lit("")
-    return F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null"), F.md5(text.cast("binary"))))
+def named(docs: DataFrame, id_col: str, source_col: str) -> DataFrame:
+    """row, _source, _name: the rows of docs and what their draws hang on, the id, or without one all columns and a number among equal rows."""
+    row, name = F.struct(*docs.columns).alias("row"), F.col(id_col).cast("string")
+    others = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in sorted(docs.columns) if c != id_col))
+    known = docs.where(name.isNotNull()).select(row, _source(source_col).alias("_source"), name.alias("_name"))
+    equal = docs.where(name.isNull()).groupBy(row, _source(source_col).alias("_source"), F.md5(others.cast("binary")).alias("_digest")).agg(F.count("*").alias("_n"))
+    blocks = equal.withColumn("_from", F.explode(F.sequence(F.lit(0), F.col("_n") - 1, F.lit(BLOCK)))).repartition("_digest", "_from")
+    numbers = blocks.withColumn("_nth", F.explode(F.sequence("_from", F.least(F.col("_from") + BLOCK, "_n") - 1)))
+    return known.unionAll(numbers.select("row", "_source", F.concat(F.lit("null"), "_digest", F.lit("."), F.col("_nth").cast("string"))))
 
 
 def uniform(seed: int, name: Column, part: Column) -> Column:
@@ -72,12 +79,12 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, targe
     return rated.select("_source", "_rate", "_parts", cumulative(F.col("_rate") / F.col("_parts")).alias("_cdf"))
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, target: int | None = None, temper: float = 0.5, seed: int = 42, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, target: int | None = None, temper: float = 0.5, seed: int = 42, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """docs with each row as often as it is drawn, in a global order by shuffle_key; copy counts a row's repetitions from 0."""
     docs = docs.drop("copy", "shuffle_key")
     rated = rates(docs, weights, target, temper, source_col)
     few = rated.agg(F.count("*")).first()[0] <= BROADCAST_SOURCES
-    rows = docs.select(F.struct(*docs.columns).alias("row"), _source(source_col).alias("_source"), name_of(docs, id_col, text_col).alias("_name"))
+    rows = named(docs, id_col, source_col)
     met = rows.join(F.broadcast(rated), "_source") if few else salted_join(rows, rated, "_source", "_name")
     parts = F.sequence(F.lit(0), F.col("_parts") - 1)
     draws = F.transform(parts, lambda p: (u := uniform(seed, F.col("_name"), p)) * 0 + F.size(F.filter(F.col("_cdf"), lambda c: c <= u)))
@@ -89,7 +96,11 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, target:
 
 
 ORACLE = """
-WITH named AS (SELECT *, coalesce(doc_id::VARCHAR, 'null' || md5(coalesce(text, ''))) AS name, coalesce('s' || source, '-') AS src FROM documents),
+WITH digests AS (SELECT *, md5(concat_ws('|', coalesce(lang, '-'), coalesce(n_chars::VARCHAR, '-'), coalesce(source, '-'), coalesce(text, '-'))) AS digest FROM documents),
+named AS (
+  SELECT * EXCLUDE (digest), coalesce('s' || source, '-') AS src,
+    coalesce(doc_id::VARCHAR, 'null' || digest || '.' || (row_number() OVER (PARTITION BY doc_id, digest) - 1)) AS name FROM digests
+),
 counts AS (SELECT coalesce('s' || source, '-') AS src, count(*) AS n FROM documents GROUP BY 1),
 sums AS (SELECT sum(n) AS everything, sum(pow(n, 0.5)) AS weight FROM counts),
 rated AS (SELECT src, round(everything * pow(n, 0.5) / weight / n, 9) AS rate FROM counts, sums),

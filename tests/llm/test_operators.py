@@ -134,12 +134,14 @@ def test_language_model_beats_the_base(spark):
 def test_mixture(spark, docs, none):
     got = Counter((r.doc_id, r.text) for r in mixing.mix(docs, {"s0": 3.0, "s1": 1.0, None: 1.0}, target=60).collect())
     sizes = Counter("s" + r.source if r.source else "-" for r in docs.collect())
-    want = Counter()
+    want, equal = Counter(), Counter()
     for r in docs.collect():
         rate = round(60 * {"s0": 3, "s1": 1, None: 1}.get(r.source, 0) / 5 / sizes["s" + r.source if r.source else "-"], 9)
         parts = max(1, int(np.ceil(rate / 16)))
+        others = "|".join("-" if r[c] is None else str(r[c]) for c in sorted(docs.columns) if c not in ("doc_id", "copy"))
+        digest = "null" + hashlib.md5(others.encode()).hexdigest()
         for p in range(parts):
-            name = f"null{hashlib.md5((r.text or '').encode()).hexdigest()}" if r.doc_id is None else r.doc_id
+            name = f"{digest}.{equal[digest]}" if r.doc_id is None else r.doc_id
             u = int(hashlib.md5(f"42|{name}|{p}".encode()).hexdigest()[:13], 16) / 2**52
             k, term = 0, np.exp(-rate / parts)
             total = term
@@ -148,11 +150,16 @@ def test_mixture(spark, docs, none):
                 term *= rate / parts / k
                 total += term
             want[r.doc_id, r.text] += k
+        equal[digest] += 1
     assert got == +want
     clash = docs.withColumns({"_source": F.lit(1), "_copies": F.lit(2), "row": F.lit(3), "_name": F.lit(4)})
     assert mixing.mix(clash).columns == [*(c for c in clash.columns if c != "copy"), "copy", "shuffle_key"]
     blank = spark.range(4000).selectExpr("cast(null as long) AS doc_id", "concat('text ', id) AS text", "'a' AS source")
     assert len({r.shuffle_key for r in mixing.mix(blank).collect()}) > 2000
+    same = spark.range(70_000).selectExpr("cast(null as long) AS doc_id", "'' AS text", "'a' AS source", "'en' AS lang", "0L AS n_chars", "map('k', 1) AS m")
+    found = mixing.mix(same.unionAll(same.limit(1).withColumn("doc_id", F.lit(7).cast("long"))))
+    rows, keys, ids, drawn, maps = found.agg(F.count("*"), F.count_distinct("shuffle_key"), F.count("doc_id"), F.sum((F.col("copy") == 0).cast("int")), F.sum(F.col("m")["k"])).first()
+    assert abs(rows - 70_001) < 1500 and keys == rows == maps and ids < 10 and abs(drawn / 70_001 - (1 - np.exp(-1))) < 0.01
     assert mixing.mix(none).count() == 0 and mixing.mix(docs, {}).count() == 0
     big = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS source")
     n = Counter(r.source for r in mixing.mix(big, {"a": 0.5, "b": 0.5}, target=6000).collect())
