@@ -242,7 +242,43 @@ Permission to use, copy, modify, and/or distribute this software for any
 purpose with or without fee is hereby granted, provided that the above
 copyright notice and this permission notice appear in all copies.
 """
+ZLIB_TEXT = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software. If you use this software
+   in a product, an acknowledgment in the product documentation would be
+   appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be
+   misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.
+"""
+ADVERT = """3. All advertising materials mentioning features or use of this software
+   must display the following acknowledgement:
+   This product includes software developed by the Some Organization.
+
+4. Neither"""
 LICENCE_CASES = [
+    (ZLIB_TEXT, "Zlib", ""),
+    (BSD_TEXT.replace("3. Neither", ADVERT), "BSD-4-Clause", ""),
+    ("This project is licensed under the Apache License, Version 2.0.", "Apache-2.0", ""),
+    ("Foo bar. This project is licensed under the MIT License - see LICENSE", "MIT", ""),
+    ("This project is licensed under the MIT License - see the [LICENSE.md](LICENSE.md) file for details.", "MIT", ""),
+    ("some words\nunder the terms of the MIT license\nmore words", "MIT", ""),
+    ("This project is not licensed under the MIT License.", "", ""),
+    ("A tale of a boat under the bridge. It is licensed under nothing.", "", ""),
+    ("Licensed under https://creativecommons.org/licenses/by/4.0/", "CC-BY-4.0", ""),
+    ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "CC-BY-ND-4.0", ""),
+    ("The text of this book is available under the CC BY-NC-SA 3.0 licence!", "CC-BY-NC-SA-3.0", ""),
+    ("This library is distributed under the GNU LGPL v2.1 or later. Released under GPLv3.", "LGPL-2.1-or-later,GPL-3.0-only", ""),
+    ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", "EPL-2.0", ""),
+    ("SPDX-License-Identifier: EPL-2.0 OR Zlib", "EPL-2.0,Zlib", ""),
+    ("DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nVersion 2, December 2004\n\nfoo", "WTFPL", ""),
     (MIT_TEXT, "MIT", ""),
     (MIT_TEXT.replace("\n", "\r\n"), "MIT", ""),
     ("/**\n" + "".join(f" * {x}\n" for x in MIT_TEXT.split("\n")) + " */\nint x;", "MIT", ""),
