@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from breakwater.operators import sequences
 from breakwater.params import Params
-from breakwater.plans import calls, catalogue
+from breakwater.plans import calls, catalogue, complexes
+
+from test_hot_spots import plain_events
 
 SF = "/root/testdata/sf0.001"
 P = Params()
@@ -31,3 +33,15 @@ def test_chains_go_on_over_ranges(spark):
         last = (k, p)
     got = sequences.chain(spark.createDataFrame(rows, "k string, p long").repartition(5), ["k"], "p", [], [], lambda before: F.col("p") - before["p"] > 3, "g")
     assert sorted((r.k or "", r.p, r.g) for r in got.collect()) == want
+
+
+def test_events_from_small_blocks(spark):
+    rng = random.Random(11)
+    for merge in (1000, 300):
+        p = Params(complex_reads=3, merge_distance=merge)
+        rows = sorted((s := rng.randint(0, 40_000), s + rng.choice([1, 50, 400, 5000]), frozenset(f"r{rng.randint(0, 60)}" for _ in range(rng.randint(0, 6))), f"K{i:03}") for i in range(250))
+        made = spark.createDataFrame([(i, "c", a, b, 30, k) for i, (a, b, _, k) in enumerate(rows)], "call_id long, chrom string, start long, stop long, mapq int, sv_type string")
+        own = spark.createDataFrame([(i, x) for i, r in enumerate(rows) for x in r[2]], "call_id long, read_name string")
+        got = complexes.shared_read_events(made, own, p, width=16)[0].collect()
+        want = plain_events([(a, b, r, k) for a, b, r, k in sorted(rows, key=lambda r: (r[0], r[1], r[3]))], p)
+        assert sorted((r.start, r.stop, r.support, r.components) for r in got) == [(a, b, n, k) for a, b, n, _, k in want] and len(want) > 3
