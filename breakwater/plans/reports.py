@@ -141,11 +141,19 @@ def size_distributions(truth: DataFrame, calls: DataFrame, bins: int = 24, least
     return out.unionByName(ends_only)
 
 
-def size_medians(truth: DataFrame, calls: DataFrame, accuracy: int = 10_000) -> DataFrame:
-    """panel, side, n, median of the sizes over 0, where there are two at least: from quantile sketches that tasks merge. A median's place among the sizes is off by
-    n / accuracy at most; up to so many sizes it is exact, of an even number the lower of the two in the middle."""
-    sized = _sides(truth, calls).where((F.col("panel") != "BND") & (F.col("size") > 0))
-    return sized.groupBy("panel", "side").agg(F.count("*").alias("n"), F.percentile_approx("size", 0.5, accuracy).alias("median")).where("n > 1")
+def size_medians(truth: DataFrame, calls: DataFrame, width: int = 65_536) -> DataFrame:
+    """panel, side, n, median of the sizes over 0, where there are two at least: exact, of an even number the lower of the two in the middle. Equal sizes are
+    counted first; bins of `width` sizes tell which of them the median is in, and only that one is put in order."""
+    by = ["panel", "side"]
+    counts = _sides(truth, calls).where((F.col("panel") != "BND") & (F.col("size") > 0)).groupBy(*by, "size").agg(F.count("*").alias("_c")).withColumn("_bin", F.floor(F.col("size") / width))
+    bins = counts.groupBy(*by, "_bin").agg(F.sum("_c").alias("_of_bin"))  # one row a bin
+    every = Window.partitionBy(*by)
+    bins = bins.withColumns({"n": F.sum("_of_bin").over(every), "_upto": F.sum("_of_bin").over(every.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))})
+    place = F.floor((F.col("n") + 1) / 2)
+    bins = bins.where((F.col("n") > 1) & (F.col("_upto") >= place) & (F.col("_upto") - F.col("_of_bin") < place))
+    inside = Window.partitionBy(*by).orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.join(F.broadcast(bins), [*by, "_bin"]).withColumn("_at", F.col("_upto") - F.col("_of_bin") + F.sum("_c").over(inside)).where(F.col("_at") >= place)
+    return placed.groupBy(*by, "n").agg(F.min("size").alias("median"))
 
 
 def caller_overlap(calls: DataFrame, width: int = 100) -> DataFrame:
