@@ -4,9 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from breakwater.operators import sequences
+from breakwater.operators import intervals, sequences
 from breakwater.params import Params
-from breakwater.plans import calls, catalogue, complexes
+from breakwater.plans import calls, catalogue, complexes, genotyping, reports
 
 from test_hot_spots import plain_events
 
@@ -45,3 +45,43 @@ def test_events_from_small_blocks(spark):
         got = complexes.shared_read_events(made, own, p, width=16)[0].collect()
         want = plain_events([(a, b, r, k) for a, b, r, k in sorted(rows, key=lambda r: (r[0], r[1], r[3]))], p)
         assert sorted((r.start, r.stop, r.support, r.components) for r in got) == [(a, b, n, k) for a, b, n, _, k in want] and len(want) > 3
+
+
+def test_reads_around_calls_without_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    reads = [(rng.choice("ab"), s := rng.randint(0, 30_000), s + rng.choice([0, 10, 900, 6000]), rng.choice(["x", "y", "*", None, *"0123456789"])) for _ in range(150)]
+    made = [(i, rng.choice("abc"), "DEL", s := rng.randint(0, 30_000), s + rng.choice([5, 2000, 20_000]), 1, 0.5, "split_read") for i in range(60)]
+    own = sorted({(rng.randrange(60), rng.choice("0123456789xy")) for _ in range(150)})
+    table = spark.createDataFrame([(c, a, b, n, True, 60) for c, a, b, n in reads], "chrom string, start long, stop long, read_name string, primary boolean, mapq int")
+    calls_ = spark.createDataFrame(made, "call_id long, chrom string, sv_type string, start long, stop long, size long, af double, source string")
+    contigs = spark.createDataFrame([(0, "a", 40_000), (1, "b", 25_000)], "ord int, chrom string, length long")
+    pairs = []
+    monkeypatch.setattr(genotyping.intervals, "overlaps", lambda left, right, *a, keep=intervals.overlaps, **k: pairs.append(right.count()) or keep(left, right, *a, **k))
+    got = {r.call_id: (r.alt_support, r.ref_support) for r in genotyping.genotype(calls_, spark.createDataFrame(own, "call_id long, read_name string"), table, contigs, P).collect()}
+    length = {"a": 40_000, "b": 25_000}
+    for i, chrom, _, start, stop, *_ in made:
+        mine = {n for c, n in own if c == i}
+        a, b = (min(max(0, start - 1000), length[chrom] - 1), min(length[chrom], stop + 1000)) if chrom in length else (1, 0)
+        near = {n for c, s, e, n in reads if c == chrom and s < b and max(e, s + 1) > a}
+        assert got[i] == ((len(mine), len(near - mine)) if a < b else (0, 0))
+    assert pairs and max(pairs) < len(reads)  # only reads with several alignments are met one by one
+
+
+def test_covered_makes_no_pairs(spark):
+    rng = random.Random(7)
+    rows = lambda n: [(i, rng.choice("ab"), s := rng.randint(0, 500_000), s + rng.choice([-3, 0, 9, 5000, 300_000])) for i in range(n)]
+    left, right = rows(80), rows(15)
+    frame = lambda x: spark.createDataFrame([*x, (99, "a", None, 4), (98, None, 1, 4)], "id long, chrom string, start long, stop long")
+    for more in (0, 1):
+        found = intervals.covered(frame(left), frame(right), "chrom", ["id"], closed=bool(more))
+        end = lambda s, e: max(e + more, s + 1)  # noqa: B023, E731
+        assert {r.id for r in found.where("covered").collect()} == {i for i, c, s, e in left if any(c == d and s < end(t, u) and end(s, e) > t for _, d, t, u in right)}
+        assert found.count() == 82 and "_abin" not in found._jdf.queryExecution().toString()
+
+
+def test_medians_of_sizes_are_exact(spark):
+    sizes = [1 + i * i % 99_991 for i in range(60_001)]
+    frame = spark.createDataFrame([("DEL", None, n, "PASS") for n in sizes] + [("INS", None, 7, "PASS"), ("INS", None, 70_000_000, "PASS"), ("INV", None, 5, "PASS")], "sv_type string, dup_subtype string, size long, filter string")
+    got = {(r.panel, r.side): (r.n, r.median) for r in reports.size_medians(frame, frame).collect()}
+    want = {"DEL": (len(sizes), sorted(sizes)[(len(sizes) - 1) // 2]), "INS": (2, 7)}
+    assert got == {(k, s): v for k, v in want.items() for s in ("truth", "detected")}
