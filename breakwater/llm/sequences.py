@@ -2,8 +2,8 @@
 
 Documents are dealt by ranges of doc_id and sorted. Each task writes one file of equal-length sequences, `ids` and `mask` as fixed-size
 lists in batches of `BATCH` sequences, and beside it an index file with each document's place. The ids of one file run on through its
-sequences; only its last sequence is padded, and mask is 0 there, else 1. So sequence k is row k % BATCH of batch k // BATCH, a view of the
-mapped file. Ids take 16 bits where the vocabulary allows.
+sequences; only its last sequence is padded, and mask is 0 there, else 1, a bit a place. So sequence k is row k % BATCH of batch k // BATCH, a view of the
+mapped file (its mask is unpacked). Ids take 16 bits where the vocabulary allows.
 
 A task writes under a name of its own and reports it when it is done: what a lost or repeated attempt leaves is never read. The driver
 gets one row a file.
@@ -50,7 +50,10 @@ class SequenceFile:
         self.index = _opened(uri + ".index.arrow").read_all()
 
     def _batch(self, k: int, column: str) -> np.ndarray:
-        return self.reader.get_batch(k).column(column).flatten().to_numpy(zero_copy_only=True)
+        flat = self.reader.get_batch(k).column(column).flatten()
+        if column == "mask":  # eight places a byte
+            return np.unpackbits(np.frombuffer(flat.buffers()[1], np.uint8), count=flat.offset + len(flat), bitorder="little")[flat.offset :]
+        return flat.to_numpy(zero_copy_only=True)
 
     def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         at = slice(k % BATCH * self.length, (k % BATCH + 1) * self.length)
@@ -77,13 +80,13 @@ def _writer(folder: str, vocabulary: str, length: int, end: int):
         fs, base = _at(folder)
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
-        schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.uint8(), length))])
+        schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.bool_(), length))])
         about = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("tokens", pa.int64())])
         span, rest, done, docs = BATCH * length, np.zeros(0, kind), 0, 0
         sink = index = None
 
         def put(flat: np.ndarray, real: int) -> None:
-            mask = pa.array((np.arange(len(flat)) < real).view(np.uint8))
+            mask = pa.array(np.arange(len(flat)) < real)
             sink.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(flat), length), pa.FixedSizeListArray.from_arrays(mask, length)], schema=schema))
 
         for b in batches:

@@ -2,8 +2,10 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from breakwater.llm import sequences as sequences_op7
 from breakwater.operators import intervals, sequences
 from breakwater.params import Params
 from breakwater.plans import calls, catalogue, complexes, genotyping, reports
@@ -85,3 +87,13 @@ def test_medians_of_sizes_are_exact(spark):
     got = {(r.panel, r.side): (r.n, r.median) for r in reports.size_medians(frame, frame).collect()}
     want = {"DEL": (len(sizes), sorted(sizes)[(len(sizes) - 1) // 2]), "INS": (2, 7)}
     assert got == {(k, s): v for k, v in want.items() for s in ("truth", "detected")}
+
+
+def test_masks_take_a_bit_a_place(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "some words " * (50 * i)) for i in range(40)], "doc_id long, text string").coalesce(1)
+    files = sequences_op7.write_sequences(docs, f"file://{tmp_path}/seq", length=1024)
+    for f in files:
+        made = sequences_op7.SequenceFile(f.path)
+        rows = sum(made.reader.get_batch(k).num_rows for k in range(made.reader.num_record_batches))
+        masks = [made.sequence(k)[1] for k in range(rows)]
+        assert sum(int(m.sum()) for m in masks) == f.tokens and all(m.all() for m in masks[:-1]) and made.reader.schema.field("mask").type.value_type == pa.bool_()
