@@ -5,12 +5,16 @@ The template: an example begins with <s>; a turn that isn't an assistant's is [I
 a control string, and the escapes are undone exactly.
 
 Every assistant turn is exploded into its own example: all turns before it are the context, and only the reply's text is under the loss mask. What
-follows the last reply makes a last example without a mask, so that no turn is lost. Full copies of all contexts would grow with the square of a conversation.
-So an example's row holds the part that its predecessors don't (the turns since the last reply, and the reply), how many characters of
-context stand before it, and the mask's places in the example's whole text; expanded() makes whole texts of the rows, one at a time.
+follows the last reply makes a last example without a mask, so that no turn is lost. digests() writes every example whole, with all its context, and reads
+the digests back from those texts and their masks alone.
+
+Whole examples grow with the square of a conversation. They are made from examples(), whose rows hold the part that their predecessors don't (the turns since
+the last reply, and the reply), how many characters of context stand before it, and the mask's places in the example's whole text: an example is
+the beginning of its conversation's text. Written with zstd, the contexts that examples share are small.
 
 A conversation may hold a third of all rows: its turns are cut into bins, and what a bin needs from those before it (replies, characters)
-comes from one row a bin. Only an example's own part is one row. The digests of read_back() need a conversation's whole text in a row, as sha256 is over all of it.
+comes from one row a bin. Its examples are made in blocks of EXAMPLES, each a task's row of the conversation's text. That text, of which read_back() makes
+digests too, is in one row, as sha256 is over all of it.
 
 Edge cases: turns go by number, then role, then text, nulls first; a null text or role is the empty one; a null id is a conversation of its own;
 equal rows are two turns; an empty table gives no rows; a role counts as an assistant's only if it is exactly `assistant`; only the four columns are read.
@@ -21,12 +25,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 BEGIN, OPEN, CLOSE, END = "<s>", "[INST]", "[/INST]", "</s>"
 ESCAPES = (("\\", "\\b"), (BEGIN, "\\c"), (END, "\\d"), (OPEN, "\\e"), (CLOSE, "\\f"))
 LINE = ("\n", "\\n")
 TURNS = 256  # turns in a bin
+EXAMPLES = 256  # examples of a conversation that are made whole together
 
 
 def escaped(text: Column, more: tuple = ()) -> Column:
@@ -64,19 +69,23 @@ def examples(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn"
 
 
 def expanded(rows: DataFrame) -> DataFrame:
-    """conv_id, example, text, mask_start, mask_stop: every example whole, with all preceding turns. Memory holds one conversation; the output
-    has each turn once for every reply after it."""
-    upto = Window.partitionBy("conv_id").orderBy("example").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("text", F.concat(F.lit(BEGIN), F.array_join(F.collect_list("part").over(upto), ""))).select("conv_id", "example", "text", "mask_start", "mask_stop")
+    """conv_id, example, text, mask_start, mask_stop: every example whole, with all preceding turns. Memory holds one conversation and one example; the
+    output has each turn once for every reply after it. rows are read twice."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("example", "part"))), lambda x: x["part"])
+    whole = rows.groupBy(F.col("conv_id").alias("c")).agg(F.concat(F.lit(BEGIN), F.array_join(parts, "")).alias("whole"), F.max("example").alias("last"))
+    whole = whole.select("c", "whole", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("last") / EXAMPLES))).alias("b"))
+    places = rows.select("conv_id", "example", (F.col("context_chars") + F.length("part")).cast("int").alias("stop"), "mask_start", "mask_stop", F.floor(F.col("example") / EXAMPLES).alias("block"))
+    met = places.join(whole, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")))
+    return met.select("conv_id", "example", F.substr("whole", F.lit(1), F.col("stop")).alias("text"), "mask_start", "mask_stop")
 
 
 def read_back(rows: DataFrame) -> DataFrame:
-    """The digests of each conversation, from stored examples alone: turns are parsed from the text, replies taken from under the mask."""
-    mask = F.substr("part", (F.col("mask_start") - F.col("context_chars") + 1).cast("int"), (F.col("mask_stop") - F.col("mask_start")).cast("int"))
-    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("example", "part", mask.alias("mask")))).alias("all"), F.sum(F.col("context_chars") + F.length("part")).alias("formatted_chars"))
-    text = F.array_join(F.transform("all", lambda x: x["part"]), "")
+    """The digests of each conversation, from stored whole examples alone: replies are taken from under each example's mask, turns are parsed from
+    the longest example's text, which has all of them."""
+    mask = F.substr("text", (F.col("mask_start") + 1).cast("int"), (F.col("mask_stop") - F.col("mask_start")).cast("int"))
+    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("example", mask.alias("mask")))).alias("all"), F.max_by("text", "example").alias("text"), F.sum(F.length("text")).alias("formatted_chars"))
     loss = F.array_join(F.transform("all", lambda x: unescaped(x["mask"])), "")
-    pieces = F.regexp_extract_all(text, F.lit(r"(?s)\[INST\].*?\[/INST\]|.*?</s>"), F.lit(0))
+    pieces = F.regexp_extract_all(F.substr("text", F.lit(len(BEGIN) + 1)), F.lit(r"(?s)\[INST\].*?\[/INST\]|.*?</s>"), F.lit(0))
     whole = whole.select("conv_id", pieces.alias("pieces"), loss.alias("loss"), "formatted_chars")
 
     def turn(p: Column) -> Column:
@@ -90,8 +99,11 @@ def read_back(rows: DataFrame) -> DataFrame:
 
 
 def digests(conversations: DataFrame) -> DataFrame:
-    """Formats, writes the examples to the shared folder, and reads them back as digests."""
-    return read_back(stored(examples(conversations), "chat-examples"))
+    """Formats, writes every example whole to the shared folder, and reads them back as digests."""
+    parts = stored(examples(conversations), "chat-parts")
+    whole = stored(expanded(parts), "chat-examples", compression="zstd")
+    discard(conversations.sparkSession, parts)
+    return read_back(whole)
 
 
 SAID = "</s>[INST] ok [/INST]"

@@ -63,6 +63,25 @@ def test_digests_and_whole_examples(spark, rows):
     assert chat.digests(table.limit(0)).collect() == []
 
 
+def test_digests_are_read_from_whole_examples(spark, rows, monkeypatch):
+    made = {}
+
+    def kept(df, label, **options):
+        made[label] = chat_stored(df, label, **options)
+        return made[label]
+
+    chat_stored = chat.stored
+    monkeypatch.setattr(chat, "stored", kept)
+    monkeypatch.setattr(chat, "EXAMPLES", 7)
+    expected = want(rows)
+    chat.digests(spark.createDataFrame(rows, SCHEMA)).collect()
+    written = made["chat-examples"]
+    found = {(r.conv_id, r.example): (r.text, r.mask_start, r.mask_stop) for r in written.collect()}
+    assert found == {(c, i): e for c, (_, es) in expected.items() for i, e in enumerate(es)}
+    changed = {r.conv_id: r for r in chat.read_back(written.withColumn("text", F.replace("text", F.lit("y"), F.lit("yy")))).collect()}  # in context and reply
+    assert changed[6].turns_sha256 != expected[6][0][1] and changed[6].formatted_chars > expected[6][0][4]
+
+
 def test_control_strings_stand_only_for_turns(spark, rows):
     parts = chat.examples(spark.createDataFrame(rows, SCHEMA)).toPandas()
     assert parts.part.str.count(r"\[INST\]").sum() == parts.part.str.count(r"\[/INST\]").sum() == sum(r[2] != "assistant" for r in rows)
