@@ -18,6 +18,12 @@ that the exact bounds part from all other groups of a key leave it after the tur
 where in every key and turn the bits take a pair below 0.8 for nearer than one above it.
 A key with over PART members is taken in parts, dealt anew in every turn; equal texts are one member throughout.
 
+What these keys and turns miss, an exact search finds after them, so the groups are those of all pairs at the similarity. Put in one order for all texts, two
+sets that similar share one of their first n - ceil(similarity n) + 1 shingles (prefix filter). Shingles known to be frequent from a sample of SAMPLE texts come last,
+so few texts share a prefix; the sample sets the order alone, and any order is exact. Of prefix shingles whose texts still lie in several groups, all pairs of texts of
+different groups are taken that sizes and counts by COUNTS classes of hashes, both exact bounds, let be as similar, and verified. A shingle of over SHARE texts is dealt
+out in pairs of blocks. No pair is left out; where many texts differ but share most of their text in frequent passages, these pairs grow with their square.
+
 Edge cases: null and empty texts and texts of white space only are equal to each other; texts of fewer words than a shingle are one
 shingle; rows of one id with different texts are different texts; a null id is replaced by one from the text; all columns may have any
 names; an empty table gives no rows.
@@ -47,6 +53,8 @@ FARTHEST = 104  # of SKETCH bits; at similarity 0.8, 48.5 +- 6.4 differ, for the
 COUNTS = 64  # classes of shingle hashes
 PART = 2048
 BLOCK = 1024
+SAMPLE, FREQUENT, MOST_FREQUENT = 8192, 4, 1 << 17  # texts sampled for the order of shingles, how many of them have a frequent one, frequent ones held
+SHARE = 4096
 FAR = 1 << 60
 PROPOSED = ["u", "v", "key", "node", "again"]
 LEFT, PARTED = 1, 2  # why a key is taken again though no group in it has changed: rows that left it have let others propose, it is dealt into other parts
@@ -70,13 +78,43 @@ def soft_bits(hashes: np.ndarray) -> np.ndarray:
     return np.clip(np.rint((2 * ones - len(hashes)) * (32 / max(1.0, len(hashes) ** 0.5))), -127, 127).astype(np.int8)
 
 
-def sketches(rows: DataFrame, words: int) -> DataFrame:
+def frequent_shingles(rows: DataFrame, words: int) -> np.ndarray:
+    """Hashes of shingles that several of about SAMPLE different texts have, the rarer ones first."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), words)).view("<i8"))], ["shingle"])
+
+    some = rows.where(F.pmod("text_hash", F.lit(max(1, rows.count() // SAMPLE))) == 0).dropDuplicates(["text_hash"]).select("text")
+    counts = some.mapInArrow(of, "shingle long").groupBy("shingle").count().where(F.col("count") >= FREQUENT)
+    found = counts.orderBy(F.desc("count"), "shingle").limit(MOST_FREQUENT).select("shingle").collect()
+    return np.array([r.shingle for r in found], "<i8").view("<u8")[::-1]
+
+
+def prefix(hashes: np.ndarray, similarity: float, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first of a set's hashes: a set of that similarity, ordered likewise, has one of them among its own first. known: frequent ones, ascending, which
+    come last, by their rank."""
+    if not len(hashes):
+        return hashes
+    size = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1
+    order = np.zeros(len(hashes), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        order = np.where(known[at] == hashes, rank[at] + 1, 0)
+    return hashes[np.lexsort((hashes, order))[:size]]
+
+
+def sketches(rows: DataFrame, words: int, similarity: float = SIMILARITY_BOUND, frequent: np.ndarray | None = None) -> DataFrame:
     """Of rows (doc_id, text, text_hash): doc_id, text_hash, digest of the words (16 bytes), fingerprint (long), n (distinct shingles), counts
-    (how many of them are in each class of hashes, clipped at 255), soft (BITS bytes; null for no words)."""
+    (how many of them are in each class of hashes, clipped at 255), soft (BITS bytes; null for no words), prefix (hashes of 8 bytes)."""
+    last = np.zeros(0, "<u8") if frequent is None else frequent
+    rank = np.argsort(last)
+    known = last[rank]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digest, mark, size, counts, soft = [], [], [], [], []
+            digest, mark, size, counts, soft, first = [], [], [], [], [], []
             for t in b.column(1):
                 text = t.as_py()
                 hashes = np.unique(shingle_hashes(text, words))
@@ -85,10 +123,11 @@ def sketches(rows: DataFrame, words: int) -> DataFrame:
                 size.append(len(hashes))
                 counts.append(np.minimum(np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=COUNTS), 255).astype(np.uint8).tobytes())
                 soft.append(soft_bits(hashes).tobytes() if len(hashes) else None)
-            made = [pa.array(digest, pa.binary()), pa.array(mark, pa.int64()), pa.array(size, pa.int64()), pa.array(counts, pa.binary()), pa.array(soft, pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *made], ["doc_id", "text_hash", "digest", "fingerprint", "n", "counts", "soft"])
+                first.append(prefix(hashes, similarity, known, rank).tobytes())
+            made = [pa.array(digest, pa.binary()), pa.array(mark, pa.int64()), pa.array(size, pa.int64()), pa.array(counts, pa.binary()), pa.array(soft, pa.binary()), pa.array(first, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *made], ["doc_id", "text_hash", "digest", "fingerprint", "n", "counts", "soft", "prefix"])
 
-    return rows.mapInArrow(of, "doc_id long, text_hash long, digest binary, fingerprint long, n long, counts binary, soft binary")
+    return rows.mapInArrow(of, "doc_id long, text_hash long, digest binary, fingerprint long, n long, counts binary, soft binary, prefix binary")
 
 
 def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,8 +181,28 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys), part.column(0).take(pa.array(rows))], ["key", "node"])
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of key-sorted batches whose key has more than one. A row is held back until its successor is seen, so a key may have any number."""
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, node, n: every shingle of a prefix."""
+    for b in batches:
+        for at in range(0, b.num_rows, BLOCK):
+            part = b.slice(at, BLOCK)
+            first = [np.frombuffer(x.as_py(), "<i8") for x in part.column(2)]
+            of = pa.array(np.repeat(np.arange(len(first)), [len(x) for x in first]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), part.column(0).take(of), part.column(1).take(of)], ["key", "node", "n"])
+
+
+def _alike(similarity: float):
+    """key, node of rows sorted by key and n whose key has another row of a size that allows the similarity: if any has, a neighbour has."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return (b.select(["key", "node"]) for b in _shared(batches, similarity))
+
+    return of
+
+
+def _shared(batches: Iterator[pa.RecordBatch], similarity: float = 0) -> Iterator[pa.RecordBatch]:
+    """Rows of key-sorted batches whose key has more than one, and, with a similarity, a neighbour by n of such a size. A row is held back until its successor is seen,
+    so a key may have any number."""
     last, known = None, False  # the row held back, and whether it shares its key with the one before
     for b in batches:
         if not b.num_rows:
@@ -151,6 +210,9 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = b if last is None else pa.concat_batches([last, b])
         key = now["key"].to_numpy()
         same = key[1:] == key[:-1]
+        if similarity:
+            n = now["n"].to_numpy()
+            same &= n[:-1] >= similarity * n[1:] - 1e-6
         before = np.concatenate(([known], same))
         yield now.slice(0, now.num_rows - 1).filter(pa.array(before[:-1] | same))
         last, known = now.slice(now.num_rows - 1), bool(before[-1])
@@ -297,6 +359,73 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return with_u.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("of_v")), "v").select("u", "v", "of_u", "of_v").mapInArrow(of, "u long, v long")
 
 
+def _texts_of(rows: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """_sets() of nodes (node, doc_id, text_hash), from rows (doc_id, text, text_hash)."""
+    named = rows.join(nodes.select("doc_id", "text_hash", "node"), ["doc_id", "text_hash"]).groupBy("node").agg(F.first("text").alias("text"))
+    return _sets(named.select("node", "text"), words)
+
+
+def _cells(start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places within runs, some at a time."""
+    small = np.flatnonzero((size > 1) & (size <= BLOCK // 2))
+    for part in np.split(small, np.flatnonzero(np.diff(np.cumsum(size[small] ** 2) // BLOCK**2)) + 1):
+        m = size[part]
+        nth = np.arange((m**2).sum()) - np.repeat(np.cumsum(m**2) - m**2, m**2)
+        base, width = np.repeat(start[part], m**2), np.repeat(m, m**2)
+        yield base + nth // width, base + nth % width
+    for k in np.flatnonzero(size > BLOCK // 2):
+        j = np.arange(start[k], start[k] + size[k])
+        for x in range(0, size[k], BLOCK // 4):
+            i = j[x : x + BLOCK // 4]
+            yield np.repeat(i, len(j)), np.tile(j, len(i))
+
+
+def _candidates(similarity: float):
+    """Of unit-sorted rows (unit, node, label, n, counts): u, v, all pairs of a unit's nodes with different labels whose sizes and counts allow the similarity."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in key_runs(batches, "unit"):
+            unit, node, label, n = (t[c].to_numpy() for c in ("unit", "node", "label", "n"))
+            counts = _fixed(t["counts"], COUNTS).view(np.uint8)
+            start = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
+            for i, j in _cells(start, np.diff(np.append(start, len(unit)))):
+                fits = (node[i] > node[j]) & (label[i] != label[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6)
+                i, j = i[fits], j[fits]
+                found = []
+                for x in range(0, len(i), BLOCK * 64):
+                    a, b = i[x : x + BLOCK * 64], j[x : x + BLOCK * 64]
+                    both = np.minimum(counts[a], counts[b])
+                    can = both.sum(1, dtype=np.int64) * (1 + similarity) >= similarity * (n[a] + n[b]) - 1e-6
+                    can |= both.max(1, initial=0) == 255
+                    found.append(np.stack((node[a[can]], node[b[can]]), 1))
+                if found and sum(map(len, found)):
+                    uv = np.unique(np.concatenate(found), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(uv[:, 0])), pa.array(np.ascontiguousarray(uv[:, 1]))], ["u", "v"])
+
+    return of
+
+
+def _units(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """unit, node, label: the texts of every key with several groups; two texts of a key meet in one unit at least. shared: key, node."""
+    named = shared.join(labels.select(F.col("u").alias("node"), "v"), "node", "left").select("key", "node", F.coalesce("v", "node").alias("label"))
+    sizes = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high")
+    met = named.join(sizes.select("key", F.ceil(F.col("size") / SHARE).alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    others = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda x: (x != F.col("block")) | (F.col("blocks") == 1))
+    dealt = met.select("key", "node", "label", "block", F.explode(others).alias("other"))
+    return dealt.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), "node", "label")
+
+
+def _missed(shared: DataFrame, labels: DataFrame, texts: DataFrame, rows: DataFrame, tried: DataFrame, words: int, similarity: float, spent: list[DataFrame]) -> DataFrame:
+    """u, v: all links between different groups. shared: key, node, the prefix shingles that several texts have."""
+    known = _units(shared, labels).join(texts.select("node", "n", "counts"), "node")
+    dealt = known.select("unit", "node", "label", "n", "counts").repartition("unit").sortWithinPartitions("unit")
+    pairs = stored(dealt.mapInArrow(_candidates(similarity), "u long, v long").distinct().join(tried, ["u", "v"], "left_anti"), "similar-candidates")
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    sets = stored(_texts_of(rows, texts.join(ends, "node"), words), "similar-candidate-sets")
+    spent += [pairs, sets]
+    return stored(_verified(pairs, sets, similarity), "similar-missed")
+
+
 def _close(texts: DataFrame, max_bits: int) -> DataFrame:
     """u, v: operator 10's links of texts (node, fingerprint), equal fingerprints among them."""
     marks = stored(texts.groupBy("fingerprint").agg(F.min("node").alias("first")), "similar-marks")
@@ -322,22 +451,23 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     if similarity < SIMILARITY_BOUND:
         raise ValueError(f"the keys find pairs of similarity {SIMILARITY_BOUND} or more")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    by_text = sketches(rows, words).groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), *(F.first(c).alias(c) for c in ("fingerprint", "n", "counts", "soft")))
+    by_text = sketches(rows, words, similarity, frequent_shingles(rows, words)).groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), *(F.first(c).alias(c) for c in ("fingerprint", "n", "counts", "soft", "prefix")))
     nth = F.row_number().over(Window.partitionBy("row.doc_id").orderBy("digest"))  # texts of one id are nodes of their own
     node = F.when(nth == 1, F.col("row.doc_id")).otherwise(-1 - F.pmod(F.xxhash64("digest"), F.lit(1 << 62)))
-    texts = stored(by_text.select(node.alias("node"), "row.doc_id", "row.text_hash", "fingerprint", "n", "counts", "soft"), "similar-texts")
+    texts = stored(by_text.select(node.alias("node"), "row.doc_id", "row.text_hash", "fingerprint", "n", "counts", "soft", "prefix"), "similar-texts")
+    firsts = texts.where("n > 0").select("node", "n", "prefix").mapInArrow(_spread, "key long, node long, n long")
+    shared = stored(firsts.repartition("key").sortWithinPartitions("key", "n").mapInArrow(_alike(similarity), "key long, node long"), "similar-prefixes")
 
     keyed = texts.where("soft is not null").select("node", "soft").mapInArrow(_emit, "key long, node long")
     runs = stored(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, node long"), "similar-runs")
     close = stored(_close(texts, max_bits), "similar-close")
     ids = runs.select("node").unionAll(close.select(F.explode(F.array("u", "v")).alias("node"))).distinct()
     held = stored(texts.join(ids, "node").select("node", "doc_id", "text_hash", "n", "counts", "soft"), "similar-held")
-    named = rows.join(held.select("doc_id", "text_hash", "node"), ["doc_id", "text_hash"]).groupBy("node").agg(F.first("text").alias("text"))
-    sets = stored(_sets(named.select("node", "text"), words), "similar-sets")
+    sets = stored(_texts_of(rows, held, words), "similar-sets")
     drawn = stored(held.where("soft is not null").select("node", "n", "soft", "counts").mapInArrow(_signs, "node long, n long, sketch binary, counts binary"), "similar-drawn")
 
     tried = good = labels = earlier = more = None
-    spent = [runs, close, held, sets, drawn]
+    spent = [shared, runs, close, held, sets, drawn]
     for turn in count():
         if labels is None:
             here = runs.withColumn("label", F.col("node")).join(drawn.withColumn("links", F.lit(0)), "node")
@@ -364,6 +494,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
         if earlier is not None:
             spent.append(earlier)
         tried, good = (fresh, more) if tried is None else (tried.unionAll(fresh), good.unionAll(more))
+    more = _missed(shared, labels, texts, rows, tried, words, similarity, spent)
+    spent.append(more)
+    if not more.isEmpty():
+        spent.append(labels)
+        labels = components(labels.unionAll(more), "similar-groups")
     discard(docs.sparkSession, *spent)
     return texts.select("node", "doc_id", "text_hash"), labels
 
