@@ -21,7 +21,7 @@ A key with over PART members is taken in parts, dealt anew in every turn; equal
 What these keys and turns miss, an exact search finds after them, so the groups are those of all pairs at the similarity. Put in one order for all texts, two
 sets that similar share one of their first n - ceil(similarity n) + 1 shingles (prefix filter). Shingles known to be frequent from a sample of SAMPLE texts come last,
 so few texts share a prefix; the sample sets the order alone, and any order is exact. Of prefix shingles whose texts still lie in several groups, all pairs of texts of
-different groups are taken that sizes and counts by COUNTS classes of hashes, both exact bounds, let be as similar, and verified. A shingle of over SHARE texts is dealt
+different groups are taken that sizes, counts by COUNTS classes of hashes and the number of prefix shingles in common, all exact bounds, let be as similar, and verified. A shingle of over SHARE texts is dealt
 out in pairs of blocks. No pair is left out; where many texts differ but share most of their text in frequent passages, these pairs grow with their square.
 
 Edge cases: null and empty texts and texts of white space only are equal to each other; texts of fewer words than a shingle are one
@@ -381,7 +381,8 @@ def _cells(start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np
 
 
 def _candidates(similarity: float):
-    """Of unit-sorted rows (unit, node, label, n, counts): u, v, all pairs of a unit's nodes with different labels whose sizes and counts allow the similarity."""
+    """Of unit-sorted rows (unit, node, label, n, counts): u, v, met, need: all pairs of a unit's nodes with different labels whose sizes and counts allow the similarity,
+    in how many units they meet here, and how many prefix shingles they share at least: of the set whose prefix ends first, only the rest can be shared besides."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in key_runs(batches, "unit"):
@@ -397,10 +398,12 @@ def _candidates(similarity: float):
                     both = np.minimum(counts[a], counts[b])
                     can = both.sum(1, dtype=np.int64) * (1 + similarity) >= similarity * (n[a] + n[b]) - 1e-6
                     can |= both.max(1, initial=0) == 255
-                    found.append(np.stack((node[a[can]], node[b[can]]), 1))
+                    a, b = a[can], b[can]
+                    need = np.ceil(similarity / (1 + similarity) * (n[a] + n[b]) - 1e-6) - np.ceil(similarity * np.maximum(n[a], n[b]) - 1e-9) + 1
+                    found.append(np.stack((node[a], node[b], need.astype(np.int64)), 1))
                 if found and sum(map(len, found)):
-                    uv = np.unique(np.concatenate(found), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(uv[:, 0])), pa.array(np.ascontiguousarray(uv[:, 1]))], ["u", "v"])
+                    uv, met = np.unique(np.concatenate(found), axis=0, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (uv[:, 0], uv[:, 1], met, uv[:, 2])], ["u", "v", "met", "need"])
 
     return of
 
@@ -419,7 +422,8 @@ def _missed(shared: DataFrame, labels: DataFrame, texts: DataFrame, rows: DataFr
     """u, v: all links between different groups. shared: key, node, the prefix shingles that several texts have."""
     known = _units(shared, labels).join(texts.select("node", "n", "counts"), "node")
     dealt = known.select("unit", "node", "label", "n", "counts").repartition("unit").sortWithinPartitions("unit")
-    pairs = stored(dealt.mapInArrow(_candidates(similarity), "u long, v long").distinct().join(tried, ["u", "v"], "left_anti"), "similar-candidates")
+    found = dealt.mapInArrow(_candidates(similarity), "u long, v long, met long, need long").groupBy("u", "v").agg(F.sum("met").alias("met"), F.max("need").alias("need"))
+    pairs = stored(found.where("met >= need").select("u", "v").join(tried, ["u", "v"], "left_anti"), "similar-candidates")
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     sets = stored(_texts_of(rows, texts.join(ends, "node"), words), "similar-candidate-sets")
     spent += [pairs, sets]
