@@ -21,8 +21,10 @@ A key with over PART members is taken in parts, dealt anew in every turn; equal
 What these keys and turns miss, an exact search finds after them, so the groups are those of all pairs at the similarity. Put in one order for all texts, two
 sets that similar share one of their first n - ceil(similarity n) + 1 shingles (prefix filter). Shingles known to be frequent from a sample of SAMPLE texts come last,
 so few texts share a prefix; the sample sets the order alone, and any order is exact. Of prefix shingles whose texts still lie in several groups, all pairs of texts of
-different groups are taken that sizes, counts by COUNTS classes of hashes and the number of prefix shingles in common, all exact bounds, let be as similar, and verified. A shingle of over SHARE texts is dealt
-out in pairs of blocks. No pair is left out; where many texts differ but share most of their text in frequent passages, these pairs grow with their square.
+different groups are taken that sizes, counts by COUNTS classes of hashes and the places of the shingle in both sets let be as similar: before the first shingle that two sets
+have in common there are at most as many as they may differ by. A pair is passed on where none of the EARLIER shingles before is common to both, so where it meets first, and seldom again.
+Those that have as many prefix shingles in common as the similarity needs are verified. All bounds are exact, and no pair is left out. A shingle of over SHARE texts is dealt out in pairs of blocks; where many
+texts differ but share most of their text in frequent passages, the pairs grow with their square.
 
 Edge cases: null and empty texts and texts of white space only are equal to each other; texts of fewer words than a shingle are one
 shingle; rows of one id with different texts are different texts; a null id is replaced by one from the text; all columns may have any
@@ -40,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_words, discard, key_runs, stored, unused
+from .common import ascii_words, discard, key_runs, small_batches, stored, unused
 from .components import components
 from .golay import CHECK, LENGTH, codeword, codeword_index
 from .simhash import links, shingle_hashes, simhash
@@ -55,6 +57,8 @@ PART = 2048
 BLOCK = 1024
 SAMPLE, FREQUENT, MOST_FREQUENT = 8192, 4, 1 << 17  # texts sampled for the order of shingles, how many of them have a frequent one, frequent ones held
 SHARE = 4096
+EARLIER = 4  # shingles of the prefix before this one that a text's row has with it
+CELLS = 1 << 18  # pairs compared at once
 FAR = 1 << 60
 PROPOSED = ["u", "v", "key", "node", "again"]
 LEFT, PARTED = 1, 2  # why a key is taken again though no group in it has changed: rows that left it have let others propose, it is dealt into other parts
@@ -182,20 +186,21 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, node, n: every shingle of a prefix."""
+    """key, node, n, place: every shingle of a prefix, and where it stands there."""
     for b in batches:
         for at in range(0, b.num_rows, BLOCK):
             part = b.slice(at, BLOCK)
             first = [np.frombuffer(x.as_py(), "<i8") for x in part.column(2)]
             of = pa.array(np.repeat(np.arange(len(first)), [len(x) for x in first]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), part.column(0).take(of), part.column(1).take(of)], ["key", "node", "n"])
+            place = pa.array(np.concatenate([np.arange(len(x), dtype=np.int32) for x in first]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), part.column(0).take(of), part.column(1).take(of), place], ["key", "node", "n", "place"])
 
 
 def _alike(similarity: float):
-    """key, node of rows sorted by key and n whose key has another row of a size that allows the similarity: if any has, a neighbour has."""
+    """key, node, place of rows sorted by key and n whose key has another row of a size that allows the similarity: if any has, a neighbour has."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return (b.select(["key", "node"]) for b in _shared(batches, similarity))
+        return (b.select(["key", "node", "place"]) for b in _shared(batches, similarity))
 
     return of
 
@@ -271,16 +276,16 @@ def _search(t: pa.Table, start: np.ndarray, size: np.ndarray, crowd: np.ndarray,
         at = np.nonzero(fits)
         a, b = (np.broadcast_to(x, far.shape)[at] for x in (i, j))
         can = np.empty(len(a), bool)
-        for x in range(0, len(a), BLOCK * 256):
-            u, v = a[x : x + BLOCK * 256], b[x : x + BLOCK * 256]
+        for x in range(0, len(a), BLOCK * 64):
+            u, v = a[x : x + BLOCK * 64], b[x : x + BLOCK * 64]
             both = np.minimum(counts[u], counts[v])
             most = both.sum(1, dtype=np.int64)  # of common shingles, but where a count of both is clipped
-            can[x : x + BLOCK * 256] = (most * (1 + SIMILARITY_BOUND) >= SIMILARITY_BOUND * (n[u] + n[v]) - 1e-6) | (both.max(1, initial=0) == 255)
+            can[x : x + BLOCK * 64] = (most * (1 + SIMILARITY_BOUND) >= SIMILARITY_BOUND * (n[u] + n[v]) - 1e-6) | (both.max(1, initial=0) == 255)
         fits[at] = can
         return np.where(fits, far << 32 | j, FAR)
 
     small = np.flatnonzero((size > 1) & (size <= BLOCK // 2))
-    for part in np.split(small, np.flatnonzero(np.diff(np.cumsum(size[small] ** 2) // BLOCK**2)) + 1):
+    for part in np.split(small, np.flatnonzero(np.diff(np.cumsum(size[small] ** 2) // CELLS)) + 1):
         if not len(part):
             continue
         m = size[part]
@@ -292,8 +297,8 @@ def _search(t: pa.Table, start: np.ndarray, size: np.ndarray, crowd: np.ndarray,
         best[i[first]] = np.minimum.reduceat(cells, first)
     for k in np.flatnonzero(size > BLOCK // 2):
         j = np.arange(start[k], start[k] + size[k])
-        for x in range(0, size[k], BLOCK // 4):
-            i = j[x : x + BLOCK // 4]
+        for x in range(0, size[k], CELLS // PART):
+            i = j[x : x + CELLS // PART]
             far = sum(np.bitwise_count(sketch[i, None, w] ^ sketch[None, j, w]).astype(np.int64) for w in range(sketch.shape[1]))
             best[i] = value(i[:, None], j[None, :], far).min(1)
     return np.where((best >= 0) & (best < FAR), best & 0xFFFFFFFF, -1)
@@ -368,65 +373,84 @@ def _texts_of(rows: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
 def _cells(start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of places within runs, some at a time."""
     small = np.flatnonzero((size > 1) & (size <= BLOCK // 2))
-    for part in np.split(small, np.flatnonzero(np.diff(np.cumsum(size[small] ** 2) // BLOCK**2)) + 1):
+    for part in np.split(small, np.flatnonzero(np.diff(np.cumsum(size[small] ** 2) // CELLS)) + 1):
         m = size[part]
         nth = np.arange((m**2).sum()) - np.repeat(np.cumsum(m**2) - m**2, m**2)
         base, width = np.repeat(start[part], m**2), np.repeat(m, m**2)
         yield base + nth // width, base + nth % width
     for k in np.flatnonzero(size > BLOCK // 2):
         j = np.arange(start[k], start[k] + size[k])
-        for x in range(0, size[k], BLOCK // 4):
-            i = j[x : x + BLOCK // 4]
+        step = max(1, CELLS // int(size[k]))
+        for x in range(0, size[k], step):
+            i = j[x : x + step]
             yield np.repeat(i, len(j)), np.tile(j, len(i))
 
 
 def _candidates(similarity: float):
-    """Of unit-sorted rows (unit, node, label, n, counts): u, v, met, need: all pairs of a unit's nodes with different labels whose sizes and counts allow the similarity,
-    in how many units they meet here, and how many prefix shingles they share at least: of the set whose prefix ends first, only the rest can be shared besides."""
+    """Of unit-sorted rows (unit, node, label, n, place, earlier, counts): u, v, need: the pairs of a unit's nodes with different labels whose sizes, places and counts allow the
+    similarity and that have met at none of both their earlier keys, and how many prefix shingles they share at least: of the set whose prefix ends first, only the rest can be shared
+    besides."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in key_runs(batches, "unit"):
-            unit, node, label, n = (t[c].to_numpy() for c in ("unit", "node", "label", "n"))
-            counts = _fixed(t["counts"], COUNTS).view(np.uint8)
+            unit, node, label, n, place = (t[c].to_numpy() for c in ("unit", "node", "label", "n", "place"))
+            counts, earlier = _fixed(t["counts"], COUNTS).view(np.uint8), [t[f"earlier{k}"].to_numpy() for k in range(EARLIER)]
             start = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
             for i, j in _cells(start, np.diff(np.append(start, len(unit)))):
-                fits = (node[i] > node[j]) & (label[i] != label[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6)
+                fits = (node[i] > node[j]) & (label[i] != label[j])
                 i, j = i[fits], j[fits]
-                found = []
+                common = np.ceil(similarity / (1 + similarity) * (n[i] + n[j]) - 1e-6).astype(np.int64)  # shingles of a pair as similar, at least
+                fits = (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6) & (place[i] <= n[i] - common) & (place[j] <= n[j] - common)
+                i, j, common = i[fits], j[fits], common[fits]
+                fits = np.ones(len(i), bool)
+                for x in earlier:
+                    for y in earlier:
+                        fits &= (x[i] != y[j]) | (x[i] == 0)  # 0: there is none
+                i, j, common = i[fits], j[fits], common[fits]
                 for x in range(0, len(i), BLOCK * 64):
-                    a, b = i[x : x + BLOCK * 64], j[x : x + BLOCK * 64]
+                    a, b, least = i[x : x + BLOCK * 64], j[x : x + BLOCK * 64], common[x : x + BLOCK * 64]
                     both = np.minimum(counts[a], counts[b])
-                    can = both.sum(1, dtype=np.int64) * (1 + similarity) >= similarity * (n[a] + n[b]) - 1e-6
-                    can |= both.max(1, initial=0) == 255
-                    a, b = a[can], b[can]
-                    need = np.ceil(similarity / (1 + similarity) * (n[a] + n[b]) - 1e-6) - np.ceil(similarity * np.maximum(n[a], n[b]) - 1e-9) + 1
-                    found.append(np.stack((node[a], node[b], need.astype(np.int64)), 1))
-                if found and sum(map(len, found)):
-                    uv, met = np.unique(np.concatenate(found), axis=0, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (uv[:, 0], uv[:, 1], met, uv[:, 2])], ["u", "v", "met", "need"])
+                    can = (both.sum(1, dtype=np.int64) * (1 + similarity) >= similarity * (n[a] + n[b]) - 1e-6) | (both.max(1, initial=0) == 255)
+                    a, b, least = a[can], b[can], least[can]
+                    if len(a):
+                        need = least - np.ceil(similarity * np.maximum(n[a], n[b]) - 1e-9).astype(np.int64) + 1
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (node[a], node[b], need)], ["u", "v", "need"])
 
     return of
 
 
-def _units(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """unit, node, label: the texts of every key with several groups; two texts of a key meet in one unit at least. shared: key, node."""
-    named = shared.join(labels.select(F.col("u").alias("node"), "v"), "node", "left").select("key", "node", F.coalesce("v", "node").alias("label"))
+def _mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, node, label, place, size: the texts of every key with several groups, and how many the key has. shared: key, node, place."""
+    named = shared.join(labels.select(F.col("u").alias("node"), "v"), "node", "left").select("key", "node", F.coalesce("v", "node").alias("label"), "place")
     sizes = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high")
-    met = named.join(sizes.select("key", F.ceil(F.col("size") / SHARE).alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    return named.join(sizes.select("key", "size"), "key")
+
+
+def _units(mixed: DataFrame, texts: DataFrame) -> DataFrame:
+    """unit, node, label, n, place, the node's EARLIER keys before this one, counts; two texts of a key meet in one unit at least."""
+    along = Window.partitionBy("node").orderBy("place")  # at most a prefix
+    before = [F.coalesce(F.lag("key", k + 1).over(along), F.lit(0).cast("bigint")).alias(f"earlier{k}") for k in range(EARLIER)]
+    known = mixed.select("*", *before).join(texts.select("node", "n", "counts"), "node")
+    met = known.withColumn("blocks", F.ceil(F.col("size") / SHARE)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     others = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda x: (x != F.col("block")) | (F.col("blocks") == 1))
-    dealt = met.select("key", "node", "label", "block", F.explode(others).alias("other"))
-    return dealt.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), "node", "label")
+    dealt = met.withColumn("other", F.explode(others))
+    return dealt.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), "node", "label", "n", "place", *(f"earlier{k}" for k in range(EARLIER)), "counts")
 
 
 def _missed(shared: DataFrame, labels: DataFrame, texts: DataFrame, rows: DataFrame, tried: DataFrame, words: int, similarity: float, spent: list[DataFrame]) -> DataFrame:
-    """u, v: all links between different groups. shared: key, node, the prefix shingles that several texts have."""
-    known = _units(shared, labels).join(texts.select("node", "n", "counts"), "node")
-    dealt = known.select("unit", "node", "label", "n", "counts").repartition("unit").sortWithinPartitions("unit")
-    found = dealt.mapInArrow(_candidates(similarity), "u long, v long, met long, need long").groupBy("u", "v").agg(F.sum("met").alias("met"), F.max("need").alias("need"))
-    pairs = stored(found.where("met >= need").select("u", "v").join(tried, ["u", "v"], "left_anti"), "similar-candidates")
+    """u, v: all links between different groups. shared: key, node, place, the prefix shingles that several texts have."""
+    mixed = stored(_mixed(shared, labels), "similar-mixed")
+    dealt = _units(mixed, texts).repartition("unit").sortWithinPartitions("unit")
+    found = dealt.mapInArrow(_candidates(similarity), "u long, v long, need long").distinct().join(tried, ["u", "v"], "left_anti")
+    met = beside = stored(found, "similar-met")
+    ends = met.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    keys = stored(mixed.join(ends, "node", "left_semi").groupBy("node").agg(F.collect_list("key").alias("keys")), "similar-met-keys")
+    for side in ("u", "v"):
+        beside = beside.join(keys.select(F.col("node").alias(side), F.col("keys").alias("of_" + side)), side)
+    pairs = stored(beside.where(F.size(F.array_intersect("of_u", "of_v")) >= F.col("need")).select("u", "v"), "similar-candidates")
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     sets = stored(_texts_of(rows, texts.join(ends, "node"), words), "similar-candidate-sets")
-    spent += [pairs, sets]
+    spent += [mixed, met, keys, pairs, sets]
     return stored(_verified(pairs, sets, similarity), "similar-missed")
 
 
@@ -459,8 +483,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     nth = F.row_number().over(Window.partitionBy("row.doc_id").orderBy("digest"))  # texts of one id are nodes of their own
     node = F.when(nth == 1, F.col("row.doc_id")).otherwise(-1 - F.pmod(F.xxhash64("digest"), F.lit(1 << 62)))
     texts = stored(by_text.select(node.alias("node"), "row.doc_id", "row.text_hash", "fingerprint", "n", "counts", "soft", "prefix"), "similar-texts")
-    firsts = texts.where("n > 0").select("node", "n", "prefix").mapInArrow(_spread, "key long, node long, n long")
-    shared = stored(firsts.repartition("key").sortWithinPartitions("key", "n").mapInArrow(_alike(similarity), "key long, node long"), "similar-prefixes")
+    firsts = texts.where("n > 0").select("node", "n", "prefix").mapInArrow(_spread, "key long, node long, n long, place int")
+    shared = stored(firsts.repartition("key").sortWithinPartitions("key", "n").mapInArrow(_alike(similarity), "key long, node long, place int"), "similar-prefixes")
 
     keyed = texts.where("soft is not null").select("node", "soft").mapInArrow(_emit, "key long, node long")
     runs = stored(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, node long"), "similar-runs")
@@ -512,6 +536,7 @@ def first_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     negative one from its text for this."""
     key, mark = unused(docs, "key"), unused(docs, "mark")
     rows = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), -1 - F.pmod(F.xxhash64(text_col), F.lit(1 << 62)))).withColumn(mark, F.xxhash64(F.col(text_col).cast("string")))
-    texts, grouped = groups(rows, key, text_col, words, similarity)
+    with small_batches(docs.sparkSession):
+        texts, grouped = groups(rows, key, text_col, words, similarity)
     stay = texts.join(grouped.select(F.col("u").alias("node")), "node", "left_anti").select(F.col("doc_id").alias(key), F.col("text_hash").alias(mark))
     return rows.join(stay, [key, mark], "left_semi").dropDuplicates([key, mark]).select(*docs.columns)

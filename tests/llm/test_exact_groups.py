@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from breakwater.llm import similar_text
@@ -69,3 +70,40 @@ def test_large_units_give_all_pairs():
     cells = [np.stack(c, 1) for c in similar_text._cells(start, size)]
     want = sum(int(n) ** 2 for n in size if n > 1)
     assert len(np.unique(np.concatenate(cells), axis=0)) == sum(map(len, cells)) == want
+
+
+def test_a_pair_is_passed_on_where_it_first_meets():
+    """Two texts that share 300 prefix shingles, one a batch as if dealt to tasks of their own: not a row for each."""
+    counts = [bytes([32] * similar_text.COUNTS)] * 2
+
+    def batches():
+        for k in range(1, 301):
+            before = {f"earlier{x}": [max(0, k - 1 - x)] * 2 for x in range(4)}
+            row = {"unit": [k] * 2, "node": [1, 2], "label": [1, 2], "n": [2048] * 2, "place": [k - 1] * 2, **before, "counts": counts}
+            yield pa.RecordBatch.from_pydict(row)
+
+    made = [r for b in similar_text._candidates(0.8)(batches()) for r in b.to_pylist()]
+    assert [(r["u"], r["v"]) for r in made] == [(2, 1)]
+
+
+def test_places_and_earlier_keys_leave_no_pair_out():
+    rng = np.random.default_rng(11)
+    sets, want = [], set()
+    for _ in range(60):
+        base = rng.integers(1, 1 << 62, rng.integers(1, 80))
+        sets += [np.unique(np.concatenate((base[rng.random(len(base)) < 0.95], rng.integers(1, 1 << 62, rng.integers(0, 8))))).astype("<u8") for _ in range(3)]
+    sets = [x for x in sets if len(x)]
+    want = {(i, j) for i in range(len(sets)) for j in range(i) if similar_text.jaccard(sets[i], sets[j]) >= 0.8}
+    rows = []
+    for i, x in enumerate(sets):
+        first = similar_text.prefix(x, 0.8, np.zeros(0, "<u8"), np.zeros(0, np.int64))
+        counts = np.bincount((x >> np.uint64(58)).astype(int), minlength=similar_text.COUNTS).astype(np.uint8).tobytes()
+        for k, key in enumerate(first):
+            before = {f"earlier{y}": int(first[k - 1 - y]) if k > y else 0 for y in range(4)}
+            rows.append({"unit": int(key), "node": i, "label": i, "n": len(x), "place": k, **before, "counts": counts})
+    rows.sort(key=lambda r: r["unit"])
+    made = [r for b in similar_text._candidates(0.8)(iter([pa.RecordBatch.from_pylist(rows)])) for r in b.to_pylist()]
+    assert len(want) > 40 and want <= {(r["u"], r["v"]) for r in made}
+    for r in made:
+        a, b = (similar_text.prefix(sets[r[x]], 0.8, np.zeros(0, "<u8"), np.zeros(0, np.int64)) for x in ("u", "v"))
+        assert (r["u"], r["v"]) not in want or len(np.intersect1d(a, b)) >= r["need"]
