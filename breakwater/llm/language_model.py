@@ -213,20 +213,25 @@ class _Bucket:
         bits = contexts.bit_length() - 1
         self.number = row["bucket"]
         self.kept = [k for k, w in enumerate(row["words"]) if w is not None]
-        words, keys, trains = [np.zeros(0, "<u8")], [np.zeros(0, np.int64)], [np.zeros(0)]
+        words, keys = [np.zeros(0, "<u8")], [np.zeros(0, np.int64)]
         for k in self.kept:
             words.append(_unpack(row["words"][k], "<u8"))
         self.types = np.unique(np.concatenate(words))
         for k, w in zip(self.kept, words[1:], strict=True):
             keys.append(np.repeat(np.searchsorted(self.types, w) << bits, _unpack(row["pairs"][k], "<u4")) | _unpack(row["contexts"][k], "<u4"))
+        key = np.concatenate(keys)
+        key.sort()  # in place; each block then finds its pairs, so that no copy of all blocks' pairs has to be held with its places
+        key = key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
+        self.pairs_of, self.count = [], np.zeros(len(key), np.int64)
+        for nth, k in enumerate(self.kept, 1):
+            self.pairs_of.append(np.searchsorted(key, keys[nth]).astype(np.int32))
+            keys[nth] = None
             entries, doc, count = self.entries(k)
-            trains.append(np.add.reduceat(np.where(doc & 1, 0, count), np.cumsum(entries) - entries))
-        sizes = list(map(len, keys))[1:]
-        key, pair_of = np.unique(np.concatenate(keys), return_inverse=True)
-        self.pairs_of = np.split(pair_of.astype(np.int32), np.cumsum(sizes)[:-1]) if sizes else []
+            np.add.at(self.count, self.pairs_of[-1], np.add.reduceat(np.where(doc & 1, 0, count), np.cumsum(entries) - entries))
         self.word, self.context = key >> bits, key & (contexts - 1)
-        self.names = self.types[self.word] ^ (self.context + 1).astype("<u8") * np.uint64(0xD6E8FEB86659FD93)  # of the pairs
-        self.count = np.bincount(pair_of, np.concatenate(trains), minlength=len(key)).astype(np.int64)
+        del key
+        self.many = np.flatnonzero(self.count > 1)  # pairs with more than one seating
+        self.names = self.types[self.word[self.many]] ^ (self.context[self.many] + 1).astype("<u8") * np.uint64(0xD6E8FEB86659FD93)  # of those
         at = np.searchsorted(hot, self.types)
         is_hot = np.isin(self.types, hot)
         self.hot = np.where(is_hot, at, -1)
@@ -313,7 +318,8 @@ def _chain(b: _Bucket, totals: Totals, burn_in: int, samples: int) -> Iterator[t
     d, d0 = totals.discounts
     tables, root_n, root_t = totals.tables.mean(0), totals.root_customers.mean(), totals.root_tables.mean()
     base = (STRENGTHS[1] + d0 * root_t) / (totals.types + 1)
-    strength = (STRENGTHS[0] + d * tables)[b.context]
+    count, word = b.count[b.many], b.word[b.many]
+    strength = (STRENGTHS[0] + d * tables)[b.context[b.many]]
     hot_parent = (totals.hot_customers.mean(0) - d0 * totals.hot_tables.mean(0) + base) / (STRENGTHS[1] + root_n)
     t = np.minimum(b.count, 1)
     for s in range(burn_in + samples + 1):
@@ -324,7 +330,8 @@ def _chain(b: _Bucket, totals: Totals, burn_in: int, samples: int) -> Iterator[t
             yield t, customers, root
         if s < burn_in + samples:
             parent = b.at_hot((own - d0 * root + base) / (STRENGTHS[1] + root_n), hot_parent)
-            t = _seat(b.count, strength * parent[b.word], d, _uniform(b.names, s))
+            t = np.minimum(b.count, 1)  # a new array: the one before may have been passed on
+            t[b.many] = _seat(count, strength * parent[word], d, _uniform(b.names, s))
 
 
 SUMS = "sample int, range int, packed binary"
