@@ -140,3 +140,48 @@ def test_changes_are_summed_and_listed(spark):
     assert found[1] == found[10**6] and len(found[1]) > 2 * cigar.LISTED
     same = spark.createDataFrame([("a", 9, "30M", True)] * 5000, "chrom string, start long, cigar string, good boolean").coalesce(1)
     assert cigar.depth_events(same, 1000).drop("chrom", "bin").collect() == [([9, 30], [5000, -5000], [5000, -5000])]  # one row for 5000 reads
+
+
+def test_points_are_counted_by_blocks(spark):
+    rng = random.Random(8)
+    number = lambda: rng.randint(-40, 300)
+    queries = [(i, rng.randint(1, 3), number(), number()) for i in range(200)]
+    points = [(rng.randint(1, 4), number(), number(), rng.choice([None, number()])) for _ in range(400)]
+    frames = spark.createDataFrame(queries, "id long, key long, low long, high long"), spark.createDataFrame(points, "key long, x long, y long, z long")
+    want = {i: sum((y <= high) - (z is not None and z <= high) for k, x, y, z in points if k == key and x >= low) for i, key, low, high in queries}
+    for width in (1, 16, 1000):
+        got = intervals.contained(*frames, width).groupBy("id").agg(F.sum("n").alias("n")).collect()
+        assert {r.id: r.n for r in got} == want
+    assert intervals.contained(frames[0].limit(0), frames[1], 16).count() == 0
+    assert intervals.contained(frames[0], frames[1].limit(0), 16).where("n <> 0").count() == 0
+
+
+def test_long_calls_are_not_copied_to_all_blocks(spark, monkeypatch):
+    made = []
+    for module in (complexes, intervals):
+        monkeypatch.setattr(module, "stored", lambda df, label, keep=sequences.stored: made.append(keep(df, label)) or made[-1], raising=False)
+    rng = random.Random(12)
+    p = Params(complex_reads=3)
+    rows = sorted((s := rng.randint(0, 400_000), s + rng.choice([5, 700, 300_000, 400_000]), frozenset(f"r{rng.randint(0, 4000)}" for _ in range(3)), f"K{i:03}") for i in range(640))
+    calls_ = spark.createDataFrame([(i, "c", a, b, 30, k) for i, (a, b, _, k) in enumerate(rows)], "call_id long, chrom string, start long, stop long, mapq int, sv_type string")
+    own = spark.createDataFrame([(i, x) for i, r in enumerate(rows) for x in r[2]], "call_id long, read_name string")
+    got = complexes.shared_read_events(calls_, own, p, width=16)[0].collect()
+    want = plain_events(rows, p)
+    assert sorted((r.start, r.stop, r.support, r.components) for r in got) == [(a, b, n, k) for a, b, n, _, k in want] and want
+    assert max(df.count() for df in made) < 6 * len(rows)  # by blocks of 16 calls, each with all that come after it: 20 rows a call
+
+
+def test_long_calls_and_reads_with_several_alignments(spark, monkeypatch):
+    rng = random.Random(9)
+    reads = [(s := rng.randint(0, 60_000), s + rng.choice([10, 900, 9000]), rng.choice("0123456789")) for _ in range(120)]
+    made = [(i, "DEL", s := rng.randint(0, 50_000), s + rng.choice([5, 900, 40_000]), 1, 0.5, "split_read") for i in range(80)]
+    table = spark.createDataFrame([("a", a, b, n, True, 60) for a, b, n in reads], "chrom string, start long, stop long, read_name string, primary boolean, mapq int")
+    calls_ = spark.createDataFrame([(i, "a", *r) for i, *r in made], "call_id long, chrom string, sv_type string, start long, stop long, size long, af double, source string")
+    monkeypatch.setattr(genotyping, "SHORT", 4000, raising=False)
+    monkeypatch.setattr(genotyping, "WIDE", 3000)
+    asked = []
+    monkeypatch.setattr(genotyping.intervals, "overlaps", lambda left, right, *a, keep=intervals.overlaps, **k: asked.append(left) or keep(left, right, *a, **k))
+    contigs = spark.createDataFrame([(0, "a", 70_000)], "ord int, chrom string, length long")
+    got = {r.call_id: r.ref_support for r in genotyping.genotype(calls_, spark.createDataFrame([], "call_id long, read_name string"), table, contigs, P).collect()}
+    assert got == {i: len({n for s, e, n in reads if s < stop + 1000 and e > max(0, start - 1000)}) for i, _, start, stop, *_ in made}
+    assert all(r["_to"] - r["_from"] <= 4000 for df in asked for r in df.collect())  # only short calls are dealt to the places they lie on
